@@ -86,37 +86,43 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]
                     buckets: int = 64) -> DataFrame:
     """Exact quantiles with linear interpolation: columns by, ``q``, ``quantile``.
 
-    Values are collapsed to counts first; ``weight`` is an integer multiplicity of the row.
+    Values are collapsed to counts first; ``weight`` is an integer multiplicity of the row. Bucket
+    totals then tell which buckets hold the wanted ranks, and only those buckets are sorted.
     Nulls are ignored; a group without a value gives no row.
     """
     w = F.col(weight) if weight else F.lit(1)
-    counts = (
-        df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v"))
-        .agg(F.sum(w).cast("long").alias("_n")).filter("_n > 0")
-    )
-    if not by:
-        counts, by, extra = counts.withColumn("_g", F.lit(0)), ["_g"], ["_g"]
-    else:
-        extra = []
-    cums = running_totals(counts, by, "_v", ["_n"], buckets=buckets)
-    sizes = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
+    keys = by or ["_g"]
+    known = df.filter(F.col(value).isNotNull())
+    grouped = known.groupBy(*by, F.col(value).alias("_v")) if by else known.groupBy(F.lit(0).alias("_g"), F.col(value).alias("_v"))
+    counts = range_buckets(grouped.agg(F.sum(w).cast("long").alias("_n")).filter("_n > 0"), keys, "_v", buckets)
+
+    group = Window.partitionBy(*keys)
+    totals = counts.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_in")).select(
+        *keys, "_bucket", "_in", F.sum("_in").over(group).alias("_total"),
+        F.coalesce(F.sum("_in").over(group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     points = F.array(*[F.lit(float(p)) for p in probs])
 
-    def holds(rank: Column) -> Column:
-        return (F.col("cum__n") - F.col("_n") <= rank) & (rank < F.col("cum__n"))
-
     def at(p: Column) -> Column:
         return p * (F.col("_total") - 1)
 
-    picked = (
-        cums.join(sizes, by)
-        .withColumn("_hit", F.filter(points, lambda p: holds(F.floor(at(p))) | holds(F.ceil(at(p)))))
-        .filter(F.size("_hit") > 0).withColumn("q", F.explode("_hit"))
-    )
-    ends = picked.groupBy(*by, "q").agg(
-        F.max(F.when(holds(F.floor(at(F.col("q")))), F.col("_v"))).alias("_lo"),
-        F.max(F.when(holds(F.ceil(at(F.col("q")))), F.col("_v"))).alias("_hi"),
-        F.max(at(F.col("q")) - F.floor(at(F.col("q")))).alias("_f"),
-    )
-    out = ends.withColumn("quantile", F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f"))
-    return out.drop("_lo", "_hi", "_f", *extra)
+    def wanted(start: Column, end: Column) -> Column:
+        def inside(rank: Column) -> Column:
+            return (start <= rank) & (rank < end)
+
+        return F.filter(points, lambda p: inside(F.floor(at(p))) | inside(F.ceil(at(p))))
+
+    holding = totals.filter(F.size(wanted(F.col("_before"), F.col("_before") + F.col("_in"))) > 0).drop("_in")
+    inside = Window.partitionBy(*keys, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    rows = counts.join(holding, keys + ["_bucket"]).withColumn("_end", F.col("_before") + F.sum("_n").over(inside))
+    start = F.col("_end") - F.col("_n")
+    picked = rows.withColumn("q", F.explode(wanted(start, F.col("_end"))))
+
+    def holds(rank: Column) -> Column:
+        return (start <= rank) & (rank < F.col("_end"))
+
+    pos = at(F.col("q"))
+    ends = picked.groupBy(*keys, "q").agg(
+        F.max(F.when(holds(F.floor(pos)), F.col("_v"))).alias("_lo"),
+        F.max(F.when(holds(F.ceil(pos)), F.col("_v"))).alias("_hi"),
+        F.max(pos - F.floor(pos)).alias("_f"))
+    return ends.select(*by, "q", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias("quantile"))

@@ -53,10 +53,8 @@ def feature_medians(df: DataFrame, features: list[str], train_until: Column | No
     """
     rows = df if train_until is None else df.filter(train_until)
     medians = exact_quantiles(unpivot_features(rows, ["model"], features), ["model", "attr"], "value", [0.5])
-    wide = medians.groupBy("model").pivot("attr", features).agg(F.first("quantile"))
-    models = df.select("model").distinct()
-    joined = models.join(wide, "model", "left")
-    return joined.select("model", *[F.coalesce(F.col(c), F.lit(0.0)).alias(f"median_{c}") for c in features])
+    return medians.groupBy("model").agg(*[
+        F.coalesce(F.max(F.when(F.col("attr") == c, F.col("quantile"))), F.lit(0.0)).alias(f"median_{c}") for c in features])
 
 
 def impute(df: DataFrame, features: list[str], train_until: Column | None = None) -> DataFrame:
@@ -64,9 +62,9 @@ def impute(df: DataFrame, features: list[str], train_until: Column | None = None
     filled = fill_within_device(df, features)
     medians = feature_medians(filled, features, train_until)
     # one row per device model, a short list by nature of the fleet
-    joined = filled.join(F.broadcast(medians), "model")
+    joined = filled.join(F.broadcast(medians), "model", "left")
     return joined.select(*[
-        F.coalesce(F.col(c), F.col(f"median_{c}")).alias(c) if c in features else F.col(c) for c in df.columns])
+        F.coalesce(F.col(c), F.col(f"median_{c}"), F.lit(0.0)).alias(c) if c in features else F.col(c) for c in df.columns])
 
 
 def null_rates(df: DataFrame, features: list[str]) -> DataFrame:

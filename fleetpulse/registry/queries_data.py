@@ -46,11 +46,10 @@ from tel where model = 'MB1' and strftime(day, '%Y') <> '1995'""")
 def s2(spark, sf):
     # one file per year stands in for one file per day; the skip list works on file names either way
     path = scratch_dir(spark, "model-logs")
-    rows = X.raw_log(spark, sf).filter("model = 'MB1'").withColumn("log_year", F.floor(F.col("ds") / 10000))
-    rows.repartition("log_year").write.partitionBy("log_year").option("header", True).csv(path)
+    rows = X.raw_log(spark, sf).filter("model = 'MB1'").withColumn("year_id", F.floor(F.col("ds") / 10000).cast("int"))
+    rows.repartitionById(16, F.pmod("year_id", F.lit(16))).drop("year_id").write.option("header", True).csv(path)
     logs = D.read_daily_logs(spark, [path], LOG_SCHEMA)
-    skipped = [r[0] for r in logs.filter(F.col("_metadata.file_path").contains("log_year=1995"))
-               .select("_metadata.file_name").distinct().collect()]
+    skipped = [r[0] for r in logs.filter(F.floor(F.col("ds") / 10000) == 1995).select("_metadata.file_name").distinct().collect()]
     kept = D.without_skipped_days(logs, skipped)
     return kept.agg(F.count("*").alias("n"), F.countDistinct("disk_id").alias("disks"),
                     *[F.sum(c).alias(c) for c in FEATURES])
