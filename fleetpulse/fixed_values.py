@@ -34,11 +34,17 @@ ATTR_PATCH_CAP = 50_000
 CROSS_PATCH_CAP = 20_000
 VOCAB_WINDOW_CAP = 800_000
 MAX_FALSE_ALARM = 0.05
-NOVELTY_QUANTILES = [0.90 + i * (0.995 - 0.90) / 11 for i in range(12)]
+NOVELTY_QUANTILES = [i * ((0.995 - 0.90) / 11) + 0.90 for i in range(12)]
 FALLBACK_QUANTILE = 0.95
-THRESHOLD_GRID = [0.05 * i for i in range(1, 20)]
+THRESHOLD_GRID = [i * ((0.95 - 0.05) / 18) + 0.05 for i in range(19)]
+HISTOGRAM_BINS = 50
+SEQUENCE_SEGMENTS = 4
+HISTORY_DAYS = 20
+FORECAST_DAYS = 10
+NEIGHBOURS = 5
+RECENT_DAYS = 7
 SCALER_EPS = 1e-6
-HISTOGRAM_RANGE_EPS = 1e-6
+MIN_RANGE = 1e-6
 SENSITIVITY_WINDOWS = [10, 20, 30, 40, 50]
 SENSITIVITY_PATCHES = [2, 4, 5, 10, 15]
 
