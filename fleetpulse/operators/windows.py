@@ -141,11 +141,29 @@ def split_windows(windows: DataFrame, months: DataFrame, rule: SplitRule, rounds
     return placed.select("*", "_p.round", "_p.split").drop("_p", "month")
 
 
+def mark_windows(rows: DataFrame, tags: DataFrame, rule: SplitRule, round_id: int = 1, size: int = WINDOW_DAYS,
+                 horizon: int = HORIZON_DAYS) -> DataFrame:
+    """Daily rows with ttf, y and split of the window that ends there; split is null where none counts.
+
+    Keeps every row, so that patches and scalers can be computed once per day instead of per window.
+    """
+    full = F.count(F.lit(1)).over(by_device().rowsBetween(-(size - 1), 0)) == size
+    counted = rows.withColumns({"_full": full, "month": month_start(F.col("day"))})
+    joined = with_failures(counted, earliest_failures(tags), "day").join(F.broadcast(month_index(rows)), ["model", "month"])
+    valid = F.col("_full") & (F.col("ttf").isNull() | (F.col("ttf") >= 0))
+    marked = joined.withColumns({"split": F.when(valid, rule.split(F.col("month_idx"), round_id)),
+                                 "y": label(F.col("ttf"), horizon)})
+    return marked.drop("_full", "month", "month_idx")
+
+
 def build_windows(daily: DataFrame, tags: DataFrame, features: list[str], rule: SplitRule, size: int = WINDOW_DAYS,
                   horizon: int = HORIZON_DAYS, keep_arrays: bool = True, rounds: tuple[int, ...] | None = None,
                   imputed: bool = False) -> DataFrame:
     """Daily rows and failure tags to labelled windows of every requested round."""
-    rows = daily if imputed else impute(daily, features)
+    # filling gaps changes values, not rows: without arrays there is nothing to fill
+    rows = impute(daily, features) if keep_arrays and not imputed else daily
+    if not keep_arrays:
+        rows = rows.drop(*features)
     windows = row_windows(rows, features, size, keep_arrays)
     labelled = label_windows(windows, earliest_failures(tags), horizon)
     return split_windows(labelled, month_index(daily), rule, rounds)
