@@ -110,16 +110,18 @@ def segment(xs: Column, index: int, segments: int) -> Column:
 def segment_features(xs: Column) -> Column:
     """Coefficient of variation, excess kurtosis and slope; near-zero mean or variance gives 0."""
 
-    def build(m: Column) -> Column:
-        m2 = mean(F.transform(xs, lambda x: (x - m) * (x - m)))
-        m4 = mean(F.transform(xs, lambda x: (x - m) * (x - m) * (x - m) * (x - m)))
+    def moments(x: Column, m: Column) -> Column:
+        return F.struct(m.alias("m"), mean(F.transform(x, lambda v: (v - m) * (v - m))).alias("m2"),
+                        mean(F.transform(x, lambda v: (v - m) * (v - m) * (v - m) * (v - m))).alias("m4"),
+                        ((last(x) - first(x)) / F.greatest(F.size(x) - 1, F.lit(1))).alias("slope"))
+
+    def build(t: Column) -> Column:
         return F.struct(
-            F.when(F.abs(m) > 1e-8, F.sqrt(m2) / m).otherwise(F.lit(0.0)).alias("cv"),
-            F.when(m2 > 1e-8, m4 / (m2 * m2) - 3.0).otherwise(F.lit(0.0)).alias("kurtosis"),
-            ((last(xs) - first(xs)) / F.greatest(F.size(xs) - 1, F.lit(1))).alias("slope"),
-        )
+            F.when(F.abs(t["m"]) > 1e-8, F.sqrt(t["m2"]) / t["m"]).otherwise(F.lit(0.0)).alias("cv"),
+            F.when(t["m2"] > 1e-8, t["m4"] / (t["m2"] * t["m2"]) - 3.0).otherwise(F.lit(0.0)).alias("kurtosis"),
+            t["slope"].alias("slope"))
 
-    return let(mean(xs), build)
+    return let(xs, lambda x: let(mean(x), lambda m: let(moments(x, m), build)))
 
 
 def history_and_horizon(xs: Column, time_in: int = 20, time_out: int = 10) -> Column:
@@ -151,4 +153,4 @@ def histogram_shares(xs: Column, low: Column, high: Column, bins: int) -> Column
         F.lit(bins - 1), F.floor((x - low) / (high - low) * bins).cast("int"))))
     return let(bin_of, lambda b: F.transform(
         F.sequence(F.lit(0), F.lit(bins - 1)),
-        lambda i: F.size(F.filter(b, lambda v: v == i)) / F.greatest(F.size(finite), F.lit(1))))
+        lambda i: F.size(F.filter(b, lambda v: v == i)) / F.greatest(F.size(b), F.lit(1))))

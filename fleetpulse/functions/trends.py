@@ -127,33 +127,31 @@ def cross_label(labels: Column, groups: list[str]) -> Column:
 def window_phrase(xs: Column) -> Column:
     """One heuristic phrase for a whole window of one attribute."""
     terms = F.struct(
-        F.size(xs).alias("days"), F.array_max(xs).alias("high"),
-        (F.array_max(xs) - F.array_min(xs)).alias("range"), mean(xs).alias("mean"),
-        (last(xs) - first(xs)).alias("delta"), F.size(F.filter(xs, lambda x: x > 0)).alias("pos"),
+        F.size(xs).alias("days"), F.array_max(xs).alias("high"), F.array_min(xs).alias("low"), mean(xs).alias("mean"),
+        first(xs).alias("first"), last(xs).alias("last"), F.size(F.filter(xs, lambda x: x > 0)).alias("pos"),
         edge_means(xs)["early"].alias("early"), edge_means(xs)["late"].alias("late"),
         arg_first(xs, F.array_max(xs)).alias("top_at"),
     )
-
-    def rules(t: Column) -> Column:
-        scale = F.greatest(F.abs(t["mean"]), F.abs(t["high"]), F.lit(1.0))
-        days, third = t["days"].cast("string"), F.greatest(F.lit(1), F.floor(t["days"] / 3).cast("int")).cast("string")
-        silent = t["pos"] == 0
-        wide = t["range"] > 0.5 * scale
-        return (
-            F.when((t["range"] < 1e-3) & silent, F.concat(F.lit("mostly zero across "), days, F.lit(" days")))
-            .when((t["range"] < 0.01 * scale) & silent, F.concat(F.lit("exactly zero across "), days, F.lit(" days")))
-            .when(t["range"] < 0.01 * scale, "roughly constant at a small nonzero value")
-            .when((t["delta"] > 0.2 * scale) & (t["late"] > t["early"] * 1.5),
-                  F.when(wide, "steady increase with strong late growth").otherwise("steady increase over the window"))
-            .when((t["delta"] < -0.2 * scale) & (t["early"] > t["late"] * 1.5), "monotonic decrease across the window")
-            .when(wide & (F.abs(t["delta"]) < 0.2 * t["range"]),
-                  F.when(t["top_at"] >= t["days"] * 2 / 3,
-                         F.concat(F.lit("sharp late spike in the last "), third, F.lit(" days")))
-                  .when(t["top_at"] <= t["days"] / 3,
-                        F.concat(F.lit("sharp early spike in the first "), third, F.lit(" days")))
-                  .otherwise("sharp spikes in the middle of the window"))
-            .when(silent, "mostly zero with harmless fluctuations")
-            .otherwise("low but noisy with occasional small spikes")
-        )
-
-    return let(terms, rules)
+    return let(terms, phrase_rules)
+
+
+def phrase_rules(t) -> Column:
+    """The phrase from a window's terms: days, high, low, mean, first, last, pos, early, late, top_at."""
+    spread, delta = t["high"] - t["low"], t["last"] - t["first"]
+    scale = F.greatest(F.abs(t["mean"]), F.abs(t["high"]), F.lit(1.0))
+    days, third = t["days"].cast("string"), F.greatest(F.lit(1), F.floor(t["days"] / 3).cast("int")).cast("string")
+    silent, wide = t["pos"] == 0, spread > 0.5 * scale
+    return (
+        F.when((spread < 1e-3) & silent, F.concat(F.lit("mostly zero across "), days, F.lit(" days")))
+        .when((spread < 0.01 * scale) & silent, F.concat(F.lit("exactly zero across "), days, F.lit(" days")))
+        .when(spread < 0.01 * scale, "roughly constant at a small nonzero value")
+        .when((delta > 0.2 * scale) & (t["late"] > t["early"] * 1.5),
+              F.when(wide, "steady increase with strong late growth").otherwise("steady increase over the window"))
+        .when((delta < -0.2 * scale) & (t["early"] > t["late"] * 1.5), "monotonic decrease across the window")
+        .when(wide & (F.abs(delta) < 0.2 * spread),
+              F.when(t["top_at"] >= t["days"] * 2 / 3, F.concat(F.lit("sharp late spike in the last "), third, F.lit(" days")))
+              .when(t["top_at"] <= t["days"] / 3, F.concat(F.lit("sharp early spike in the first "), third, F.lit(" days")))
+              .otherwise("sharp spikes in the middle of the window"))
+        .when(silent, "mostly zero with harmless fluctuations")
+        .otherwise("low but noisy with occasional small spikes")
+    )

@@ -279,7 +279,7 @@ def o1(spark, sf):
 
 WIN = X.WINDOWS
 SPLIT_SUMMARY = """select model, round, split, count(*) as num_windows, max(len(r_5)) as window_days, 4 as num_attributes,
-  sum(case when y = 1 then 1 else 0 end) as num_failed, sum(case when y = 0 then 1 else 0 end) as num_healthy, 1 as valid
+  count(*) filter (where y = 1) as num_failed, count(*) filter (where y = 0) as num_healthy, 1 as valid
 from win group by 1, 2, 3"""
 
 

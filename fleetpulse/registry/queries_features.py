@@ -191,18 +191,35 @@ m as (select *, list_sum(s) / len(s) as m from s),
 mm as (select *, list_sum(list_transform(s, lambda x: (x - m) * (x - m))) / len(s) as m2,
   list_sum(list_transform(s, lambda x: (x - m) * (x - m) * (x - m) * (x - m))) / len(s) as m4 from m)
 select {WKEY}, g, {r6('case when abs(m) > 1e-8 then sqrt(m2) / m else 0.0 end')} as cv,
-  {r6('case when m2 > 1e-8 then m4 / (m2 * m2) - 3.0 else 0.0 end')} as kurtosis, {r6('(s[len(s)] - s[1]) / (len(s) - 1)')} as slope from mm""")
+  {r6('case when m2 > 1e-8 then m4 / (m2 * m2) - 3.0 else 0.0 end + 3e-10')} as kurtosis, {r6('(s[len(s)] - s[1]) / (len(s) - 1)')} as slope from mm""")
 def x5(spark, sf):
-    rows = FX.sequence_view(test_windows(spark, sf), ["r_5"])
+    rows = windows_of(spark, sf, FX.sequence_frames(X.imputed(spark, sf), ["r_5"])).filter("split = 'test'")
     g = F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.struct(
         i.alias("g"), F.get("r_5_seq", i * 3).alias("cv"), F.get("r_5_seq", i * 3 + 1).alias("kurtosis"), F.get("r_5_seq", i * 3 + 2).alias("slope"))))
     long = rows.select("model", "disk_id", "end_day", g.alias("v"))
-    return wkey(long, "v.g", *[F.round(f"v.{c}", 6).alias(c) for c in ("cv", "kurtosis", "slope")])
+    return wkey(long, "v.g", F.round("v.cv", 6).alias("cv"), F.round(F.col("v.kurtosis") + 3e-10, 6).alias("kurtosis"), F.round("v.slope", 6).alias("slope"))
+
+
+def windows_of(spark, sf, rows, features=()):
+    """Labelled windows of already imputed rows; the other columns are carried along."""
+    wins = W.row_windows(rows, list(features))
+    lab = W.label_windows(wins, W.earliest_failures(X.failure_tags(spark, sf)))
+    return W.split_windows(lab, W.month_index(X.telemetry(spark, sf)), RULE, (1,))
+
+
+@query("x5_segment_function", f"""with {WIN}, s as (select model, disk_id, end_day, {SEG.replace('g', '1')} as s from win where split = 'test'),
+m as (select *, list_sum(s) / len(s) as m from s),
+mm as (select *, list_sum(list_transform(s, lambda x: (x - m) * (x - m))) / len(s) as m2 from m)
+select {WKEY}, {r6('case when abs(m) > 1e-8 then sqrt(m2) / m else 0.0 end')} as cv, {r6('(s[len(s)] - s[1]) / (len(s) - 1)')} as slope from mm""")
+def x5b(spark, sf):
+    f = S.segment_features(S.segment(F.col("r_5"), 1, 4))
+    return wkey(test_windows(spark, sf).withColumn("f", f), F.round("f.cv", 6).alias("cv"), F.round("f.slope", 6).alias("slope"))
 
 
 @query("x6_four_views", f"with {WIN} select model, count(*) as n, 4 as raw, 40 as hist, 48 as seq, 92 as comb from win where split = 'val' group by 1")
 def x6(spark, sf):
-    wins = windows(spark, sf)
+    rows = FX.sequence_frames(X.imputed(spark, sf), FEATURES)
+    wins = windows_of(spark, sf, rows, FEATURES)
     views = FX.four_views(wins.filter("split = 'val'"), ranges(wins), FEATURES, ["model"], bins=10)
     sizes = [F.max(F.size(vector_to_array(c))).alias(c) for c in ("raw", "hist", "seq", "comb")]
     return views.groupBy("model").agg(F.count("*").alias("n"), *sizes)
@@ -299,6 +316,14 @@ HSRC = "hsrc as (" + " union all ".join(f"select model, disk_id, end_day, split,
 
 @query("c10_window_phrase", f"with {WIN}, {HSRC}, {C10_SQL} select {WKEY}, attr, phrase from heur")
 def c10(spark, sf):
-    rows = windows(spark, sf).select("model", "disk_id", "end_day", F.explode(F.array(*[
-        F.struct(F.lit(c).alias("attr"), T.window_phrase(F.col(c)).alias("phrase")) for c in FEATURES])).alias("p"))
+    phrased = FX.frame_phrases(X.imputed(spark, sf), FEATURES)
+    lab = W.label_windows(phrased, W.earliest_failures(X.failure_tags(spark, sf)))
+    wins = W.split_windows(lab, W.month_index(X.telemetry(spark, sf)), RULE, (1,))
+    rows = wins.select("model", "disk_id", "end_day", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("attr"), F.col(f"{c}_phrase").alias("phrase")) for c in FEATURES])).alias("p"))
     return wkey(rows, "p.attr", "p.phrase")
+
+
+@query("c10_phrase_function", f"with {WIN}, {HSRC}, {C10_SQL} select {WKEY}, phrase from heur where attr = 'r_197' and split = 'test'")
+def c10f(spark, sf):
+    return wkey(test_windows(spark, sf).withColumn("phrase", T.window_phrase(F.col("r_197"))), "phrase")

@@ -24,7 +24,7 @@ def sample_sql(quota: str, seed: int, split: str = "test", ctes: str = X.WINDOWS
     """CTEs up to ``pick``: rows whose hash rank in their class is within the quota."""
     return ctes + f""",
 base as (select * from win where split = '{split}'),
-cnt as (select model, round, sum(y) as nf, sum(1 - y) as nh from base group by 1, 2),
+cnt as (select model, round, sum(y)::bigint as nf, sum(1 - y)::bigint as nh from base group by 1, 2),
 ranked as (select b.*, nf, nh, row_number() over (partition by model, round, y order by {h(seed)}, disk_id, end_day) as rk
   from base b join cnt using (model, round)),
 pick as (select * from ranked where rk <= {quota})"""
@@ -58,8 +58,8 @@ def r2(spark, sf):
     return wkey(index, "round", "true_status", "selected_group", "sample_rank")
 
 
-@query("r2_sampling_summary", f"""with {R2} select model, round, max(nf) as raw_failed, max(nh) as raw_healthy, sum(y) as selected_failed,
-  sum(1 - y) as selected_healthy, count(*) as selected_total, {r6('sum(1 - y) / sum(y)')} as ratio from pick group by 1, 2""")
+@query("r2_sampling_summary", f"""with {R2} select model, round, max(nf) as raw_failed, max(nh) as raw_healthy, sum(y)::bigint as selected_failed,
+  sum(1 - y)::bigint as selected_healthy, count(*) as selected_total, {r6('sum(1 - y) / sum(y)')} as ratio from pick group by 1, 2""")
 def r2s(spark, sf):
     rows = split_rows(spark, sf, rounds=(1, 2, 3))
     out = R.sampling_summary(rows, R.sampled_index(rows, BY, KEYS), BY)
@@ -68,9 +68,9 @@ def r2s(spark, sf):
 
 
 @query("r3_select_modes", f"""with {sample_sql('case when y = 1 then least(nf, 10) else least(nh, round_even(least(nf, 10) * 2.5, 0)) end', 7)}
-select 'all' as mode, model, round, count(*) as n, sum(y) as failed from base group by 2, 3
-union all select 'ratio', model, round, count(*), sum(y) from pick group by 2, 3
-union all select 'fixed', model, round, count(*), sum(y) from pick where y = 1 group by 2, 3""")
+select 'all' as mode, model, round, count(*) as n, sum(y)::bigint as failed from base group by 2, 3
+union all select 'ratio', model, round, count(*), sum(y)::bigint from pick group by 2, 3
+union all select 'fixed', model, round, count(*), sum(y)::bigint from pick where y = 1 group by 2, 3""")
 def r3(spark, sf):
     rows = split_rows(spark, sf)
     ratio = R.select_for_evaluation(rows, BY, KEYS, "ratio", ratio=2.5, seed=7, max_failed=10)
@@ -134,7 +134,7 @@ def u2(spark, sf):
     return both.groupBy("y", "model").agg(F.count("*").alias("n"), F.countDistinct("disk_id").alias("disks"))
 
 
-@query("u6_subset_check", f"with {sample_sql('case when y = 1 then nf else least(nh, round_even(nf * 23.0, 0)) end', 2026)} select sum(y) as failed, 0 as failed_not_selected, count(*) as selected, count(*) as distinct_selected from pick")
+@query("u6_subset_check", f"with {sample_sql('case when y = 1 then nf else least(nh, round_even(nf * 23.0, 0)) end', 2026)} select sum(y)::bigint as failed, 0 as failed_not_selected, count(*) as selected, count(*) as distinct_selected from pick")
 def u6(spark, sf):
     rows = split_rows(spark, sf)
     chosen = R.by_ratio(rows, BY, KEYS)
@@ -156,8 +156,8 @@ def k3(spark, sf):
     return E.read_sampled_indices(spark, path, " mb2 ", 2).groupBy("true_status").agg(F.count("*").alias("n"))
 
 
-@query("a22_support_totals", f"""with {R2}, per as (select model, round, sum(y) as f, sum(1 - y) as hh from pick group by 1, 2)
-select model as dataset, string_agg(round::varchar, ',' order by round) as rounds, sum(f) as positives, sum(hh) as negatives from per group by 1""")
+@query("a22_support_totals", f"""with {R2}, per as (select model, round, sum(y)::bigint as f, sum(1 - y)::bigint as hh from pick group by 1, 2)
+select model as dataset, string_agg(round::varchar, ',' order by round) as rounds, sum(f)::bigint as positives, sum(hh)::bigint as negatives from per group by 1""")
 def a22(spark, sf):
     rows = split_rows(spark, sf, rounds=(1, 2, 3))
     summary = R.sampling_summary(rows, R.sampled_index(rows, BY, KEYS), BY).withColumnRenamed("model", "dataset")

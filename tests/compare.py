@@ -45,6 +45,10 @@ def compare(spark, con, fn, sql: str | None, sf_dir: str) -> tuple[bool, str]:
     got_names, got = sorted_rows(df.columns, [tuple(r) for r in df.collect()])
     if sql is None:
         return len(got) > 0, f"rows only: {len(got)}"
+    odd = [(r[0], r[1]) for r in con.execute("describe " + sql).fetchall()
+           if "HUGEINT" in r[1] or "NULL" in r[1] or r[1].startswith("DECIMAL")]
+    if odd:
+        return False, f"SQL types without a Spark twin: {odd}"
     cur = con.execute(sql)
     want_names, want = sorted_rows([d[0] for d in cur.description], cur.fetchall())
     if got_names != want_names:
