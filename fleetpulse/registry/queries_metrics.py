@@ -408,7 +408,9 @@ def j10(spark, sf):
 BEST = CAND + """,
 zero as (select method, backbone, dataset, 0 as tp, least(neg, greatest(1, round_even(neg * 0.01, 0)))::bigint as fp, pos, neg from pub where p = 0 and r = 0 and f = 0),
 best as (select method, backbone, dataset, tp, fp, pos, neg from (select *, row_number() over (partition by method, backbone, dataset order by round(err, 12), tp + fp, fp) as rk from ok) where rk = 1
-  union all select * from zero)"""
+  union all select * from zero
+  union all select method, backbone, dataset, tp, case when p <= 0 then greatest(1, round_even(neg * 0.01, 0)) else greatest(0, least(neg, round_even(tp * (1 / p - 1), 0))) end, pos, neg
+  from (select *, greatest(0, least(pos, round_even(r * pos, 0))) as tp from pub where not (p = 0 and r = 0 and f = 0)) anti join ok using (method, backbone, dataset))"""
 
 
 @query("m6_o6_reconstruct", f"with {BEST} select method, backbone, dataset, tp::bigint as tp, fp::bigint as fp, (neg - fp)::bigint as tn, (pos - tp)::bigint as fn from best")
