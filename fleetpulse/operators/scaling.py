@@ -31,7 +31,7 @@ def window_scaler(rows: DataFrame, features: list[str], by: list[str], cover: st
     w = F.col(cover) * F.col("n")
     means = parts.groupBy(*by, "attr").agg(
         F.sum(w).alias("total"), (F.sum(w * F.col("m")) / F.sum(w)).alias("mean"),
-        F.collect_list(F.struct(w.alias("w"), "m", "v")).alias("parts"))
+        F.sort_array(F.collect_list(F.struct(F.col(cover), w.alias("w"), "m", "v"))).alias("parts"))
     spread = F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + p["w"] * (
         p["v"] + (p["m"] - F.col("mean")) * (p["m"] - F.col("mean"))))
     return means.select(*by, "attr", "mean", (F.sqrt(spread / F.col("total")) + SCALER_EPS).alias("std"))

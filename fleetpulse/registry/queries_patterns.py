@@ -23,9 +23,14 @@ from fleetpulse.session import materialize
 SHAPE = PT.PatchShape()
 
 
-def patch_rows(spark, sf):
+def learn_scaler(spark, sf):
+    """The scaler is learned once and written: distances and thresholds must come from the same numbers."""
     rows = SC.train_cover(marked(spark, sf), F.col("split") == "train")
-    scaler = SC.window_scaler(rows, FEATURES, ["model"])
+    return rows, materialize(SC.window_scaler(rows, FEATURES, ["model"]), "scaler")
+
+
+def patch_rows(spark, sf, learned=None):
+    rows, scaler = learned or learn_scaler(spark, sf)
     z = SC.standardize(rows, scaler, FEATURES, ["model"])
     return PT.with_train_weights(PT.with_patches(z, FEATURES, SHAPE), SHAPE)
 
@@ -41,7 +46,8 @@ class Learned:
     """Mean prototypes, matches and thresholds of both kinds, from one written table of patch rows."""
 
     def __init__(self, spark, sf):
-        self.rows = materialize(patch_rows(spark, sf), "patch-rows")
+        rows, self.scaler = learn_scaler(spark, sf)
+        self.rows = materialize(patch_rows(spark, sf, (rows, self.scaler)), "patch-rows")
         attr, cross = PT.attr_patches(self.rows, FEATURES), PT.cross_patches(self.rows, FEATURES)
         weight = F.col("n_healthy") + F.col("n_failed")
         self.attr = PT.mean_prototypes(attr, "attr", attr_index(), weight, SHAPE.days)
