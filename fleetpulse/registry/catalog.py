@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from fleetpulse.registry import queries_data, queries_features, queries_metrics, queries_patterns, queries_sampling, queries_text  # noqa: F401
+    from fleetpulse.registry import queries_data, queries_features, queries_metrics, queries_models, queries_patterns, queries_sampling, queries_text  # noqa: F401
