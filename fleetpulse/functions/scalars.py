@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, functions as F
 
 from fleetpulse.fixed_values import GROUP_WORDS, LABEL_ROLES, TTF_MIDPOINTS
 
 
 def let(value: Column, body) -> Column:
-    """Bind a value once and use it several times: ``let(x, lambda v: v + v)``."""
+    """Bind a value once and use it several times: ``let(x, lambda v: v + v)``.
+
+    Needed above all where a value is used inside a lambda: the optimizer counts that as one use, may
+    inline the value there, and it would then be computed again for every element.
+    """
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def constant(value, ddl: str) -> Column:
+    """A small nested Python value as one literal: folded at planning time, however many numbers it holds."""
+    return F.from_json(F.lit(json.dumps(value)), ddl)
+
+
 def parse_day(ds: Column) -> Column:
     """``20180131`` (number or text) to DATE; anything unreadable becomes null."""
     text = F.trim(ds.cast("string"))

@@ -41,22 +41,22 @@ def arg_first(xs: Column, value: Column) -> Column:
 def series_stats(xs: Column) -> Column:
     """Length, level, spread and step statistics of a series, all 0 when it is empty."""
 
-    def build(d: Column) -> Column:
-        steps = F.transform(d, F.abs)
-        many = F.size(xs) > 1
-        return F.struct(
-            F.size(xs).alias("L"),
-            F.coalesce(mean(xs), F.lit(0.0)).alias("level_mean"),
-            F.coalesce(std_pop(xs), F.lit(0.0)).alias("level_std"),
-            F.coalesce(last(xs) - first(xs), F.lit(0.0)).alias("delta"),
-            F.coalesce(F.array_max(xs) - F.array_min(xs), F.lit(0.0)).alias("amp"),
-            F.when(many, F.array_max(steps)).otherwise(F.lit(0.0)).alias("max_step"),
-            F.when(many, mean(steps)).otherwise(F.lit(0.0)).alias("mean_abs_step"),
-            F.when(many, std_pop(d)).otherwise(F.lit(0.0)).alias("step_std"),
-            F.when(many, arg_first(steps, F.array_max(steps)) / (F.size(xs) - 1)).otherwise(F.lit(0.0)).alias("pos_max_step"),
-        )
+    return let(xs, lambda x: let(diffs(x), lambda d: _stats(x, d, F.transform(d, F.abs))))
+
 
-    return let(diffs(xs), build)
+def _stats(xs: Column, d: Column, steps: Column) -> Column:
+    many = F.size(xs) > 1
+    return F.struct(
+        F.size(xs).alias("L"),
+        F.coalesce(mean(xs), F.lit(0.0)).alias("level_mean"),
+        F.coalesce(std_pop(xs), F.lit(0.0)).alias("level_std"),
+        F.coalesce(last(xs) - first(xs), F.lit(0.0)).alias("delta"),
+        F.coalesce(F.array_max(xs) - F.array_min(xs), F.lit(0.0)).alias("amp"),
+        F.when(many, F.array_max(steps)).otherwise(F.lit(0.0)).alias("max_step"),
+        F.when(many, mean(steps)).otherwise(F.lit(0.0)).alias("mean_abs_step"),
+        F.when(many, std_pop(d)).otherwise(F.lit(0.0)).alias("step_std"),
+        F.when(many, arg_first(steps, F.array_max(steps)) / (F.size(xs) - 1)).otherwise(F.lit(0.0)).alias("pos_max_step"),
+    )
 
 
 def span_stats(xs: Column) -> Column:
@@ -78,18 +78,23 @@ def edge_means(xs: Column) -> Column:
 
 def patches(xs: Column, length: int) -> Column:
     """Non-overlapping patches; a tail shorter than ``length`` is dropped."""
-    count = F.floor(F.size(xs) / length).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))),
-                      lambda i: F.slice(xs, i * length + 1, F.lit(length)))
-    return F.when(count > 0, cut).otherwise(F.slice(cut, F.lit(1), F.lit(0)))
+    def cut(x: Column) -> Column:
+        count = F.floor(F.size(x) / length).cast("int")
+        made = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda i: F.slice(x, i * length + 1, F.lit(length)))
+        return F.when(count > 0, made).otherwise(F.slice(made, F.lit(1), F.lit(0)))
+
+    return let(xs, cut)
 
 
 def all_patches(xs: Column, length: int) -> Column:
     """Every patch at stride 1 with its position."""
-    top = F.size(xs) - length
-    cut = F.transform(F.sequence(F.lit(0), F.greatest(top, F.lit(0))),
-                      lambda i: F.struct(i.alias("pos"), F.slice(xs, i + 1, F.lit(length)).alias("patch")))
-    return F.when(top >= 0, cut).otherwise(F.slice(cut, F.lit(1), F.lit(0)))
+    def cut(x: Column) -> Column:
+        top = F.size(x) - length
+        made = F.transform(F.sequence(F.lit(0), F.greatest(top, F.lit(0))),
+                           lambda i: F.struct(i.alias("pos"), F.slice(x, i + 1, F.lit(length)).alias("patch")))
+        return F.when(top >= 0, made).otherwise(F.slice(made, F.lit(1), F.lit(0)))
+
+    return let(xs, cut)
 
 
 def cross_patches(columns: list[Column], length: int) -> Column:

@@ -8,9 +8,12 @@ from fleetpulse.functions.scalars import label_role, let
 from fleetpulse.functions.series import arg_first, diffs, edge_means, first, last, mean
 
 
-def series_label(xs: Column) -> Column:
+def series_label(series: Column) -> Column:
     """Shape label of a (mean) patch."""
+    return let(series, _series_label)
 
+
+def _series_label(xs: Column) -> Column:
     def shaped(amp: Column, max_abs: Column) -> Column:
         norm = F.transform(xs, lambda x: (x - first(xs)) / (amp + F.lit(1e-12)))
         return let(norm, lambda n: let(diffs(n), lambda d: _shape_rules(xs, n, d, amp, max_abs)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetpulse.fixed_values import THRESHOLD_GRID, TTF_BUCKETS
-from fleetpulse.functions.scalars import bucket_midpoint, f_beta, safe_div, ttf_bucket
+from fleetpulse.functions.scalars import bucket_midpoint, f_beta, let, safe_div, ttf_bucket
 from fleetpulse.operators.ranking import exact_quantiles, running_totals
 
 COUNTS = ["tp", "fp", "tn", "fn"]
@@ -70,7 +70,7 @@ def grid_scores(df: DataFrame, by: list[str], score: str, label: str, grid: list
     the totals of the cells at or above it, so the grid never multiplies the rows.
     """
     points = F.array(*[F.lit(float(t)) for t in grid])
-    cell = F.size(F.filter(points, lambda t: t <= F.col(score)))
+    cell = let(F.col(score), lambda s: F.size(F.filter(points, lambda t: t <= s)))
     cells = df.groupBy(*by, cell.alias("cell")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
     packed = cells.groupBy(*by).agg(F.collect_list(F.struct("cell", "pos", "neg")).alias("cells"))

@@ -128,10 +128,12 @@ def center_lists(prototypes: DataFrame) -> DataFrame:
 
 def nearest(emb: Column, centers: Column) -> Column:
     """struct(dist, k) of the nearest center; the lowest k wins ties."""
-    dists = F.transform(centers, lambda c: F.sqrt(F.aggregate(
-        F.zip_with(c, emb, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x)))
-    return F.when(emb.isNotNull(), let(dists, lambda d: F.struct(
-        F.array_min(d).alias("dist"), (F.array_position(d, F.array_min(d)) - 1).cast("int").alias("k"))))
+    def dists(e: Column) -> Column:
+        return F.transform(centers, lambda c: F.sqrt(F.aggregate(
+            F.zip_with(c, e, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x)))
+
+    return F.when(emb.isNotNull(), let(emb, lambda e: let(dists(e), lambda d: F.struct(
+        F.array_min(d).alias("dist"), (F.array_position(d, F.array_min(d)) - 1).cast("int").alias("k")))))
 
 
 def match(patches: DataFrame, prototypes: DataFrame, emb: str = "emb") -> DataFrame:

@@ -58,7 +58,7 @@ pairs as (select struct_pack(model := t.model, disk_id := t.disk_id, end_day :=
 def c7(spark, sf):
     rows = materialize(mutated(spark, sf).select("model", "disk_id", "end_day", "split", "y", "mutation"), "mutation")
     train = R.one_to_one(rows.filter("split = 'train'"), ["model"], KEYS, 0)
-    scored = NB.knn_vote(train, rows.filter("split = 'test'").drop("y"), ["model", *KEYS], "mutation")
+    scored = NB.knn_vote(train, rows.filter("split = 'test'").drop("y"), ["model", *KEYS], "mutation", pivots=8, bands=4)
     return wkey(scored, F.round("score", 6).alias("score"))
 
 
