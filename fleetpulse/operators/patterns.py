@@ -44,7 +44,7 @@ class PatchShape:
 def with_patches(rows: DataFrame, features: list[str], shape: PatchShape = PatchShape(), prefix: str = "z_") -> DataFrame:
     """Adds ``raw_<attr>`` and ``zp_<attr>``, the last ``days`` values; null at the head of a series."""
     frame = by_device().rowsBetween(-(shape.days - 1), 0)
-    ready = F.count(F.lit(1)).over(frame) == shape.days
+    ready = F.row_number().over(by_device()) >= shape.days
     made = {}
     for c in features:
         made[f"raw_{c}"] = F.when(ready, F.collect_list(c).over(frame))

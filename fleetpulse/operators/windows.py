@@ -111,11 +111,11 @@ def label(ttf: Column, horizon: int = HORIZON_DAYS) -> Column:
 
 def row_windows(df: DataFrame, features: list[str], size: int = WINDOW_DAYS, keep_arrays: bool = True) -> DataFrame:
     """One row per window of the last ``size`` rows of a device (day gaps are not filled)."""
-    frame = by_device().rowsBetween(-(size - 1), 0)
-    cols = {"_rows": F.count(F.lit(1)).over(frame)}
+    cols = {"_row": F.row_number().over(by_device())}
     if keep_arrays:
+        frame = by_device().rowsBetween(-(size - 1), 0)
         cols.update({c: F.collect_list(c).over(frame) for c in features})
-    return df.withColumns(cols).filter(F.col("_rows") == size).drop("_rows").withColumnRenamed("day", "end_day")
+    return df.withColumns(cols).filter(F.col("_row") >= size).drop("_row").withColumnRenamed("day", "end_day")
 
 
 def with_failures(df: DataFrame, failures: DataFrame, day: str = "end_day") -> DataFrame:
@@ -147,7 +147,7 @@ def mark_windows(rows: DataFrame, tags: DataFrame, rule: SplitRule, round_id: in
 
     Keeps every row, so that patches and scalers can be computed once per day instead of per window.
     """
-    full = F.count(F.lit(1)).over(by_device().rowsBetween(-(size - 1), 0)) == size
+    full = F.row_number().over(by_device()) >= size
     counted = rows.withColumns({"_full": full, "month": month_start(F.col("day"))})
     joined = with_failures(counted, earliest_failures(tags), "day").join(F.broadcast(month_index(rows)), ["model", "month"])
     valid = F.col("_full") & (F.col("ttf").isNull() | (F.col("ttf") >= 0))
