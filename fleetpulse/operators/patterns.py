@@ -152,8 +152,9 @@ def threshold_scores(matched: DataFrame, by: list[str], quantiles: list[float] =
     # count once per (group, number of taus below the distance), then add up the cells above a tau
     cell = F.size(F.filter("taus", lambda t: t["tau"] < F.col("dist")))
     cells = matched.join(F.broadcast(rows), by).groupBy(*by, cell.alias("cell")).agg(
-        F.sum("n_healthy").alias("h"), F.sum("n_failed").alias("f"))
-    packed = cells.groupBy(*by).agg(F.collect_list(F.struct("cell", "h", "f")).alias("cells")).join(rows, by)
+        F.sum("n_healthy").alias("h"), F.sum("n_failed").alias("f"), F.any_value("taus").alias("taus"))
+    # the taus travel with the counts: joining them again would compute the quantiles twice
+    packed = cells.groupBy(*by).agg(F.collect_list(F.struct("cell", "h", "f")).alias("cells"), F.any_value("taus").alias("taus"))
 
     def total(field: str, i: Column | None = None) -> Column:
         return F.aggregate("cells", F.lit(0).cast("long"), lambda a, c: a + F.when(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fleetpulse.fixed_values import HEALTHY_PER_FAILED, SAMPLE_SEED, WINDOW_DAYS
-from fleetpulse.operators.sampling import sampled_index, sampling_summary
+from fleetpulse.operators.sampling import class_counts, require_both_classes, sampled_index, sampling_summary
 from fleetpulse.operators.windows import SplitRule, build_windows
 from fleetpulse.sources.daily_logs import project_model, read_daily_logs, with_day, without_skipped_days
 from fleetpulse.sources.window_store import read_split, write_windows
@@ -23,5 +23,6 @@ def store_windows(spark: SparkSession, log_dirs: list[str], tags: DataFrame, mod
 def evaluation_index(windows: DataFrame, ratio: float = HEALTHY_PER_FAILED, seed: int = SAMPLE_SEED) -> tuple[DataFrame, DataFrame]:
     """The sampled test index of every model and round, and its summary."""
     test = windows.filter("split = 'test'").select("model", "round", "disk_id", "end_day", "y")
+    require_both_classes(class_counts(test, ["model", "round"]))
     index = sampled_index(test, ["model", "round"], ["disk_id", "end_day"], ratio, seed)
     return index, sampling_summary(test, index, ["model", "round"])
