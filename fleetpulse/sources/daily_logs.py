@@ -21,24 +21,28 @@ def log_schema(attributes: Iterable[str] = RAW_ATTRIBUTES) -> T.StructType:
 def read_daily_logs(spark: SparkSession, directories: list[str], schema: T.StructType | None = None) -> DataFrame:
     """Every CSV below the listed folders as one DataFrame; corrupt files are skipped.
 
-    Column names are matched by header per file, so files may carry different attributes.
+    The files' header has to agree with the schema. Folders that carry other attributes go through
+    ``read_mixed_logs``.
     """
     reader = spark.read.option("header", True).option("ignoreCorruptFiles", True).option("enforceSchema", False)
     wanted = schema or log_schema()
     return reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").schema(wanted).csv(directories)
 
 
-def read_mixed_logs(spark: SparkSession, directories: list[str], schema: T.StructType | None = None) -> DataFrame:
-    """Folders whose files differ in columns: one read per folder by its own header, united by name.
+def read_mixed_logs(spark: SparkSession, directories: list[str], schema: T.StructType | None = None,
+                    skipped: list[str] | None = None) -> DataFrame:
+    """Folders that differ in columns: one read per folder by its own header, united by name.
 
-    The number of folders is the number of year folders, a short list.
+    The number of folders is the number of year folders, a short list. Day files named in ``skipped``
+    are left out.
     """
     wanted = schema or log_schema()
     out = None
     for folder in directories:
         header = spark.read.option("header", True).option("recursiveFileLookup", True).csv(folder).columns
         require_columns(header)
-        part = read_daily_logs(spark, [folder], T.StructType([f for f in _in_order(wanted, header)]))
+        part = read_daily_logs(spark, [folder], T.StructType(_in_order(wanted, header)))
+        part = without_skipped_days(part, skipped) if skipped else part
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 

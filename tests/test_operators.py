@@ -222,7 +222,7 @@ def write_days(spark, root):
 
 
 def test_daily_files_batch_and_stream(spark, tmp_path):
-    root = str(tmp_path)
+    root, extra = str(tmp_path / "logs"), str(tmp_path / "extra")
     write_days(spark, root)
     schema = "disk_id long, ds int, model string, r_5 double, r_9 double, n_x double"
     from pyspark.sql.types import StructType
@@ -237,11 +237,32 @@ def test_daily_files_batch_and_stream(spark, tmp_path):
     with pytest.raises(ValueError):
         D.project_model(logs.drop("ds"), "MB1")
 
+    import os
+
+    os.makedirs(f"{extra}/log2020")
+    with open(f"{extra}/log2020/20200101.csv", "w") as f:
+        f.write("model,disk_id,ds,r_12\nMB1,1,20200101,5\n")
+    mixed = D.read_mixed_logs(spark, [f"{root}/log2018", f"{root}/log2019", f"{extra}/log2020"], skipped=["20180101.csv", "20180102.csv"])
+    assert mixed.count() == 3 * 35 + 1
+    last = D.project_model(mixed, "MB1").filter("ds = 20200101").first()
+    assert last.r_12 == 5.0 and last.r_5 is None and last.disk_id == 1
+
+    from fleetpulse.plans.data import evaluation_index, store_windows
+
+    tags = spark.createDataFrame([("MB1", 1, "2019-01-02 10:00:00")], "model string, disk_id long, failure_time string")
+    rule = W.SplitRule(last_month=3, val=1, test=1, rounds=(1,))
+    wins = store_windows(spark, [f"{root}/log{y}" for y in (2018, 2019)], tags, "MB1", f"{extra}/windows", rule, size=30)
+    # 35 kept days per device give six windows; those of January 2019 are the test month
+    assert wins.groupBy("split").count().orderBy("split").collect() == [("test", 4), ("val", 8)]
+    assert wins.filter("disk_id = 1 and split = 'test'").agg(F.sum("y")).first()[0] == 2
+    index, summary = evaluation_index(wins, ratio=1.0)
+    assert index.count() == 4 and summary.first().selected_failed == 2
+
     from fleetpulse.streaming.daily_ingest import ingest
 
     for _ in range(2):  # the second run finds nothing new
-        ingest(spark, root, f"{root}/out", f"{root}/ck", typed).awaitTermination()
-    assert spark.read.parquet(f"{root}/out").count() == 74
+        ingest(spark, root, f"{extra}/out", f"{extra}/ck", typed).awaitTermination()
+    assert spark.read.parquet(f"{extra}/out").count() == 74
 
 
 def test_window_store_rewrites_only_its_partitions(spark):
