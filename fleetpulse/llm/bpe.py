@@ -24,8 +24,11 @@ from pyspark.sql import functions as F
 from fleetpulse.llm.common import importable
 
 NEVER = np.int64(1) << 40
+NO_RANK = 1 << 40
+#: Words of up to so many letters are merged by looking at all pairs each time.
+SHORT = 40
 #: Words a worker remembers before it starts anew.
-REMEMBERED_WORDS = 200_000
+REMEMBERED_WORDS = 400_000
 ROWS_AT_ONCE = 128
 
 
@@ -49,6 +52,10 @@ class WordBpe:
         self.names = {i: t for t, i in (self.vocab | self.special).items()}
         size = max(self.names) + 1
         self.longest = max(map(len, self.vocab))
+        self.reach: dict[str, int] = {}  # length of the longest token that begins with three letters
+        for t in self.vocab:
+            if len(t) > 2:
+                self.reach[t[:3]] = max(len(t), self.reach.get(t[:3], 0))
         pairs = [(m.split(" ", 1) if isinstance(m, str) else m) for m in model["merges"]]
         self.merge = {(self.vocab[a], self.vocab[b]): (r, self.vocab[a + b]) for r, (a, b) in enumerate(pairs)}
         self.made = np.full(size, -1, np.int64)  # rank of the merge that makes a token; -1: a letter
@@ -65,9 +72,10 @@ class WordBpe:
         letters = "|".join(regex.escape(t) for t in self.special)
         self.cut = regex.compile(f"({letters})") if letters else None
         space = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-        self.word = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{space}\p{{L}}\p{{N}}]+")
+        self.word = regex.compile(rf"\p{{L}}+|\p{{N}}|'s|'t|'re|'ve|'m|'ll|'d|[^{space}\p{{L}}\p{{N}}]+")
         self.whole = self._reproducible()
-        self.known: dict[str, tuple[int, str, str]] = {}
+        self.known: dict[str, str] = {}  # ids of a piece
+        self.spelt: dict[str, str] = {}  # its tokens
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a * self.size + b
@@ -108,13 +116,13 @@ class WordBpe:
 
     def speculate(self, word: str) -> list[int] | None:
         """Greedy longest matches from the left; None if a letter is unknown."""
-        vocab, n, out, i = self.vocab, len(word), [], 0
+        vocab, reach, n, out, i = self.vocab, self.reach, len(word), [], 0
         while i < n:
             whole = vocab.get(word[i:] + self.suffix) if n - i <= self.longest else None
             if whole is not None:
                 out.append(whole)
                 return out
-            for j in range(min(n - 1, i + self.longest), i, -1):
+            for j in range(min(n - 1, i + reach.get(word[i : i + 3], 2)), i, -1):
                 token = vocab.get(word[i:j])
                 if token is not None:
                     out.append(token)
@@ -128,9 +136,30 @@ class WordBpe:
         """Merges by rank, then from the left; letters missing in the vocabulary are left out."""
         parts = [self.vocab.get(c) for c in word[:-1]] + [self.vocab.get(word[-1] + self.suffix)]
         ids = [p for p in parts if p is not None]
+        return self.merge_short(ids) if len(ids) <= SHORT else self.merge_long(ids)
+
+    def merge_short(self, ids: list[int]) -> list[int]:
+        """Looks for the least rank among all pairs after each merge."""
+        merge, never = self.merge, (NO_RANK, -1)
+        found = [merge.get(p, never) for p in zip(ids, ids[1:])]
+        while found:
+            best = min(found)
+            if best[0] == NO_RANK:
+                break
+            k = found.index(best)
+            ids[k : k + 2] = [best[1]]
+            del found[k]
+            if k:
+                found[k - 1] = merge.get((ids[k - 1], ids[k]), never)
+            if k < len(found):
+                found[k] = merge.get((ids[k], ids[k + 1]), never)
+        return ids
+
+    def merge_long(self, ids: list[int]) -> list[int]:
+        """Keeps the pairs in a heap, and the word as a linked list."""
         following, leading = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        heap = [(*self.merge[p], k, *p) for k, p in enumerate(zip(ids, ids[1:])) if p in self.merge]
-        heapq.heapify(heap := [(r, k, t, a, b) for r, t, k, a, b in heap])
+        heap = [(r, k, t, a, b) for k, (a, b) in enumerate(zip(ids, ids[1:])) for r, t in [self.merge.get((a, b), (NO_RANK, -1))] if t >= 0]
+        heapq.heapify(heap)
         while heap:
             _, k, token, a, b = heapq.heappop(heap)
             j = following[k]
@@ -170,25 +199,26 @@ class WordBpe:
         new = [p for p in pieces if p not in self.known]
         if len(self.known) + len(new) > REMEMBERED_WORDS:
             self.known.clear()
+            self.spelt.clear()
             new = list(pieces)
         written = [p if p.isascii() and p.isprintable() else p.encode().decode("latin-1").translate(self.letters) for p in new]
         for piece, ids in zip(new, self.encode_words(written)):
-            self.known[piece] = (len(ids), " ".join(map(str, ids)), " ".join(self.names[i] for i in ids))
+            self.known[piece] = " ".join(map(str, ids))
+            self.spelt[piece] = " ".join(map(self.names.__getitem__, ids))
 
     def encode(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         """Number of tokens, ids and tokens (both joined by one space) of each text."""
         cuts = []
         for text in texts:
             parts = self.cut.split(text or "") if self.cut else [text or ""]
-            cuts.append([p if k % 2 else self.pieces(p) for k, p in enumerate(parts)])
-        self.learn({w for parts in cuts for p in parts if isinstance(p, list) for w in p})
+            cuts.append([[p] if k % 2 else self.pieces(p) for k, p in enumerate(parts)])
+        self.learn(set().union(*(p for parts in cuts for p in parts[::2])))
         out = []
         for parts in cuts:
-            found = []
-            for p in parts:
-                found += [(1, str(self.special[p]), p)] if isinstance(p, str) else map(self.known.__getitem__, p)
-            counts, ids, tokens = zip(*found) if found else ((), (), ())
-            out.append((sum(counts), " ".join(ids), " ".join(tokens)))
+            ids = [self.known[w] if k % 2 == 0 else str(self.special[w]) for k, p in enumerate(parts) for w in p] if len(parts) > 1 else map(self.known.__getitem__, parts[0])
+            tokens = [self.spelt[w] if k % 2 == 0 else w for k, p in enumerate(parts) for w in p] if len(parts) > 1 else map(self.spelt.__getitem__, parts[0])
+            joined = " ".join(ids)
+            out.append((joined.count(" ") + bool(joined), joined, " ".join(tokens)))
         return out
 
 
