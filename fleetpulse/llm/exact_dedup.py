@@ -20,9 +20,12 @@ from pyspark.sql import functions as F
 
 from fleetpulse.llm.common import materialize, scratch_dir
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-BOUNDED = "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage"
+# State on disk, in bounded memory, and without disk space reserved ahead for each of many small stores.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def located(docs: DataFrame) -> DataFrame:
@@ -44,10 +47,10 @@ def keyed_state(spark: SparkSession, records: str, folder: str, files_per_batch:
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     kept = reader.parquet(records).groupBy("digest").agg(F.max(F.struct("id", "place")).alias("stays"), F.count(F.lit(1)).alias("copies"))
-    before = {k: spark.conf.get(k, None) for k in (PROVIDER, BOUNDED)}
+    before = {k: spark.conf.get(k, None) for k in STORE}
     try:
-        spark.conf.set(PROVIDER, STORE)
-        spark.conf.set(BOUNDED, "true")
+        for k, v in STORE.items():
+            spark.conf.set(k, v)
         stream = (
             kept.writeStream.outputMode("update").format("noop").option("checkpointLocation", folder).trigger(availableNow=True).start()
         )
