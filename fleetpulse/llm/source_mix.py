@@ -111,7 +111,7 @@ def mix_sources(
     own = [c for c in docs.columns if c not in ADDED]
     source = F.col(f"`{source_col}`").cast("string")
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"),
+        *[F.col(f"`{c}`").alias(f"own_{k}") for k, c in enumerate(own)],  # flat, so that columns nobody asks for are not shuffled
         F.coalesce(F.concat(F.lit("s"), source), F.lit("")).alias("source_key"),
         source.alias("source"),
         F.col(f"`{id_col}`").alias("order_id"),
@@ -136,7 +136,7 @@ def mix_sources(
     last = ends.agg(F.min(F.floor(F.col("blocks") / F.col("units")).cast("bigint") * F.col("period") + F.col("slot")).alias("first_empty"))
     out = placed.withColumn("first_empty", F.lit(last.first()["first_empty"]))
     return out.select(
-        *[F.col("row")[c].alias(c) for c in own],
+        *[F.col(f"own_{k}").alias(c) for k, c in enumerate(own)],
         "block",
         F.floor(F.col("block") * F.col("period") / F.col("units")).cast("bigint").alias("release"),
         F.ceil((F.col("block") + 1) * F.col("period") / F.col("units")).cast("bigint").alias("deadline"),
