@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fleetpulse.llm.bpe import bpe_encode
 from fleetpulse.llm.exact_dedup import exact_dedup
+from fleetpulse.llm.hpy_lm import hpy_score
 from fleetpulse.llm.html_text import extract_main_text
 from fleetpulse.llm.jaccard_join import jaccard_classes
 from fleetpulse.llm.language_id import LanguageProfiles
@@ -39,6 +40,12 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(pages).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
+def op3_pitman_yor_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = hpy_score(docs, remainder(10) != 0)
+    return scored.select("doc_id", (remainder(10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
@@ -85,8 +92,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_quality_rules, op2_html_text, op4_exact_dedup, op5_secret_scan, op6_jaccard_join, op7_language_id, op8_source_mix, op9_shard_tree,
-        op10_bpe,
+        op1_quality_rules, op2_html_text, op3_pitman_yor_score, op4_exact_dedup, op5_secret_scan, op6_jaccard_join, op7_language_id,
+        op8_source_mix, op9_shard_tree, op10_bpe,
     )
 }
 
