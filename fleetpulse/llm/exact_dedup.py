@@ -29,7 +29,12 @@ STORE = {
 
 
 def located(docs: DataFrame) -> DataFrame:
-    """The rows with ``__place``: file and row in the file; tables that aren't read from Parquet are written first."""
+    """The rows with ``__place``: file and row in the file; tables that aren't read from Parquet are written first.
+
+    Rows that have their place already keep it.
+    """
+    if "__place" in docs.columns:
+        return docs
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     try:
         if "_metadata" in docs.columns:
@@ -108,5 +113,5 @@ def _stored(df: DataFrame, path: str) -> DataFrame:
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with the columns they came with."""
     rows = located(docs)
-    dropped = exact_dedup(rows.drop("__place") if "_metadata" not in docs.columns else docs, id_col, text_col).filter("not kept").select("__place")
+    dropped = exact_dedup(rows, id_col, text_col).filter("not kept").select("__place")
     return rows.join(dropped, "__place", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -134,7 +134,8 @@ class PageLines(HTMLParser):
                 return
 
     def close_from(self, k: int) -> None:
-        self.flush()
+        if any(t in BLOCK for t, _, _ in self.open[k:]):
+            self.flush()
         for _, hides, region in self.open[k:]:
             self.hidden -= hides
             if region >= 0:
@@ -169,7 +170,7 @@ def smoothed_ratios(chars: list[int], tags: list[int], sigma: float) -> np.ndarr
 
 def upper_cluster(x: np.ndarray) -> np.ndarray:
     """Two-means threshold on a line: the half-way point between the means of the values above and below it."""
-    if len(x) < 2 or x.min() == x.max():
+    if len(x) < 2 or np.ptp(x) <= 1e-9 * np.abs(x).max():
         return np.ones(len(x), bool)
     cut = x.mean()
     for _ in range(50):

@@ -140,7 +140,7 @@ def jaccard_classes(
     first = F.struct(F.col("id").isNull().alias("none"), "id", "place")
 
     marked = every.mapInArrow(
-        lambda it: signatures(it, words, bands, rows), every.drop("text").selectExpr("*", "0L AS chars", "array(0L) AS bands").schema
+        lambda it: signatures(it, words, bands, rows), every.drop("text").selectExpr("*", "0L AS chars", "CAST(NULL AS ARRAY<BIGINT>) AS bands").schema
     )
     classes = marked.groupBy("digest").agg(
         F.min(first).alias("first"), F.count(F.lit(1)).alias("copies"), F.max("chars").alias("chars"), F.max("bands").alias("bands")
@@ -188,5 +188,5 @@ def jaccard_classes(
 def drop_near_copies(docs: DataFrame, **settings) -> DataFrame:
     """One row of each class, with the columns it came with."""
     rows = located(docs)
-    dropped = jaccard_classes(rows.drop("__place"), **settings).filter("not kept").select("__place")
+    dropped = jaccard_classes(rows, **settings).filter("not kept").select("__place")
     return rows.join(dropped, "__place", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -2,7 +2,7 @@
 
 A rule is a conjunction of thresholds on statistics, such as ``symbol_share >= 0.02 AND mean_word <= 9.1``. It grows on
 two thirds of the labelled rows by the condition of the largest information gain, is pruned on the last third, joins
-the list if it is precise there, and the rows it covers are set aside for the next rule. All counts are Spark aggregates over
+the list if it is precise there, and the rows it covers are set aside for the next rule either way. All counts are Spark aggregates over
 rows binned at quantiles, so learning brings a few numbers a step to the driver, however many rows are labelled. The list is
 emitted as one ordered conditional expression.
 
@@ -152,7 +152,7 @@ def both(conditions: list[Condition]) -> Column:
 
 def learn_decision_list(
     labelled: DataFrame, junk: str = "junk", key: str = "doc_id", features: tuple[str, ...] = FEATURES,
-    bins: int = 64, max_rules: int = 10, max_conditions: int = 4, least_precision: float = 0.9, least_rows: int = 5,
+    bins: int = 64, max_rules: int = 10, max_conditions: int = 4, least_precision: float = 0.9, least_rows: int = 3,
 ) -> DecisionList:
     """``labelled`` has the features, a boolean ``junk`` and a key that deals its rows to growing and pruning."""
     labelled = labelled.filter(F.col(junk).isNotNull())
@@ -165,7 +165,7 @@ def learn_decision_list(
     cells = materialize(cells.groupBy(*cells.columns).agg(F.count(F.lit(1)).alias("n")), "quality-cells")
 
     out, left = DecisionList(), cells
-    while len(out.rules) < max_rules:
+    for _ in range(max_rules):
         rule: list[Condition] = []
         grown: list[tuple[int, int]] = []
         while len(rule) < max_conditions:
@@ -188,10 +188,9 @@ def learn_decision_list(
         worth = [(p - q) / (p + q) if p + q else -1.0 for p, q in scores]
         k = max(range(len(rule)), key=lambda i: (worth[i], -i))
         p, q = scores[k]
-        if p < least_rows or p < least_precision * (p + q):
-            break
-        out.rules.append(rule[: k + 1])
-        out.precision.append(p / (p + q))
+        if p >= least_rows and p >= least_precision * (p + q):
+            out.rules.append(rule[: k + 1])
+            out.precision.append(p / (p + q))
         left = left.filter(~both(rule[: k + 1]))
     return out
 
