@@ -29,10 +29,6 @@ HEALTHY_PER_FAILED = 23.0
 SAMPLE_SEED = 2026
 ATTR_PROTOTYPES = 16
 CROSS_PROTOTYPES = 8
-EMBEDDING_CAP = 1_000_000
-ATTR_PATCH_CAP = 50_000
-CROSS_PATCH_CAP = 20_000
-VOCAB_WINDOW_CAP = 800_000
 MAX_FALSE_ALARM = 0.05
 NOVELTY_QUANTILES = [i * ((0.995 - 0.90) / 11) + 0.90 for i in range(12)]
 FALLBACK_QUANTILE = 0.95
@@ -57,7 +53,6 @@ TTF_MIDPOINTS = {"<7": 3.5, "7-30": 18.5, ">30": 45.0}
 
 # Attribute roles used by the triage rules.
 ERROR_ATTRIBUTES = ["r_5", "r_181", "r_182", "r_183", "r_184", "r_187", "r_195", "r_197", "r_199", "r_180", "r_177"]
-WORKLOAD_ATTRIBUTES = ["r_9", "r_12", "r_241", "r_242"]
 
 # Words that count as a mention of an attribute.
 ATTRIBUTE_WORDS = {

@@ -16,7 +16,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetpulse.fixed_values import (
-    ATTR_PROTOTYPES, CROSS_PROTOTYPES, EMBEDDING_CAP, FALLBACK_QUANTILE, MAX_FALSE_ALARM, NOVELTY_QUANTILES, PATCH_DAYS,
+    FALLBACK_QUANTILE, MAX_FALSE_ALARM, NOVELTY_QUANTILES, PATCH_DAYS,
     WINDOW_DAYS,
 )
 from fleetpulse.functions.scalars import eps_f1, let, safe_div
@@ -97,13 +97,14 @@ def embed(patches: DataFrame, model: PCAModel) -> DataFrame:
     return coded.withColumn("emb", vector_to_array("code")).drop("v", "code")
 
 
-def fit_prototypes(patches: DataFrame, kind: str, k: int, seed: int = 0, cap: int = EMBEDDING_CAP, max_iter: int = 20) -> DataFrame:
+def fit_prototypes(patches: DataFrame, kind: str, k: int, seed: int = 0, cap: int | None = None, max_iter: int = 20) -> DataFrame:
     """KMeans centers per device model: (model, kind, k, center). K centers per model is all that leaves Spark.
 
-    Each patch counts as often as train windows hold it.
+    Each patch counts as often as train windows hold it. All patches count unless the caller caps them.
     """
     keys = [c for c in ("disk_id", "day", "attr") if c in patches.columns]
-    sample = capped(patches, ["model"], keys, cap, seed).select(
+    chosen = patches if cap is None else capped(patches, ["model"], keys, cap, seed)
+    sample = chosen.select(
         "model", array_to_vector("emb").alias("v"), (F.col("n_healthy") + F.col("n_failed")).cast("double").alias("w"))
     found = []
     # one fit per device model: the list of models is short
@@ -236,7 +237,3 @@ def long_assignments(windows: DataFrame, features: list[str]) -> DataFrame:
 
     rows = F.concat(*[items(c, "attr") for c in features], items("cross", "cross"))
     return windows.select(*KEYS, "end_day", "split", "y", F.explode(rows).alias("i")).select(*KEYS, "end_day", "split", "y", "i.*")
-
-
-def default_counts(kind: str) -> int:
-    return {"attr": ATTR_PROTOTYPES, "cross": CROSS_PROTOTYPES}[kind]

@@ -33,6 +33,15 @@ def mean_series(reps: DataFrame, length: int) -> DataFrame:
     return reps.groupBy("model", F.col("proto").alias("k")).agg(F.sum(w).alias("num_patches"), means.alias("mean_patch"))
 
 
+def capped_means(matched: DataFrame, thresholds: DataFrame, cap: int | None, length: int) -> DataFrame:
+    """Mean series of at most ``cap`` representatives, with the number of all of them."""
+    means = mean_series(representatives(matched, thresholds, cap), length)
+    if cap is None:
+        return means
+    full = representatives(matched, thresholds).groupBy("model", F.col("proto").alias("k")).agg(F.sum("weight").alias("num_patches"))
+    return full.join(means.drop("num_patches"), ["model", "k"]).select("model", "k", "num_patches", "mean_patch")
+
+
 def every_prototype(means: DataFrame, prototypes: DataFrame) -> DataFrame:
     """All prototypes; one without patches gets an empty mean and no count."""
     listed = prototypes.select("model", "k").distinct()

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from fleetpulse.fixed_values import ATTR_PATCH_CAP, ATTR_PROTOTYPES, CROSS_PATCH_CAP, CROSS_PROTOTYPES
+from fleetpulse.fixed_values import ATTR_PROTOTYPES, CROSS_PROTOTYPES
 from fleetpulse.operators import patterns as PT, scaling as SC, summaries as S, vocabulary as V
 from fleetpulse.operators.windows import SplitRule, mark_windows
 from fleetpulse.session import materialize
@@ -38,9 +38,12 @@ def patch_rows(imputed: DataFrame, tags: DataFrame, rule: SplitRule, round_id: i
 
 def learn(imputed: DataFrame, tags: DataFrame, rule: SplitRule, features: list[str], round_id: int = 1,
           shape: PT.PatchShape = PT.PatchShape(), groups: dict[str, str] | None = None, seed: int = 0,
-          attr_k: int = ATTR_PROTOTYPES, cross_k: int = CROSS_PROTOTYPES, attr_cap: int | None = ATTR_PATCH_CAP,
-          cross_cap: int | None = CROSS_PATCH_CAP) -> PatternMemory:
-    """One round of pattern learning. Shared intermediate tables are written, not cached."""
+          attr_k: int = ATTR_PROTOTYPES, cross_k: int = CROSS_PROTOTYPES, attr_cap: int | None = None,
+          cross_cap: int | None = None) -> PatternMemory:
+    """One round of pattern learning. Shared intermediate tables are written, not cached.
+
+    Caps bound the patches a mean series is drawn from, if the caller asks; the published counts are always full.
+    """
     rows, scaler = patch_rows(imputed, tags, rule, round_id, None, features, shape)
     rows = materialize(rows, "patch-rows")
     attr_rows, cross_rows = PT.attr_patches(rows, features), PT.cross_patches(rows, features)
@@ -50,8 +53,8 @@ def learn(imputed: DataFrame, tags: DataFrame, rule: SplitRule, features: list[s
     cross_hit = materialize(PT.match(cross_rows, cross), "cross-distances")
     at = materialize(PT.tune_threshold(attr_hit, ["model"]), "attr-threshold")
     ct = materialize(PT.tune_threshold(cross_hit, ["model"]), "cross-threshold")
-    attr_means = V.mean_series(V.representatives(attr_hit, at, attr_cap), shape.days)
-    cross_means = V.mean_series(V.representatives(cross_hit, ct, cross_cap), shape.days * len(features))
+    attr_means = V.capped_means(attr_hit, at, attr_cap, shape.days)
+    cross_means = V.capped_means(cross_hit, ct, cross_cap, shape.days * len(features))
     return PatternMemory(
         features, shape, scaler, attr, cross, at, ct, materialize(V.attr_vocabulary(attr_means, attr), "attr-vocab"),
         materialize(V.cross_vocabulary(cross_means, cross, features, shape.days, groups), "cross-vocab"))

@@ -48,13 +48,25 @@ def s2(spark, sf):
     path = scratch_dir(spark, "model-logs")
     rows = X.raw_log(spark, sf).filter("model = 'MB1'").withColumn("year_id", F.floor(F.col("ds") / 10000).cast("int"))
     rows.repartitionById(16, F.pmod("year_id", F.lit(16))).drop("year_id").write.option("header", True).csv(path)
-    logs = D.read_daily_logs(spark, [path], LOG_SCHEMA)
-    skipped = [r[0] for r in logs.filter(F.floor(F.col("ds") / 10000) == 1995).select("_metadata.file_name").distinct().collect()]
-    kept = D.without_skipped_days(logs, skipped)
+    plain = spark.read.option("header", True).schema(LOG_SCHEMA).csv(path)
+    skipped = [r[0] for r in plain.filter(F.floor(F.col("ds") / 10000) == 1995).select("_metadata.file_name").distinct().collect()]
+    kept = D.read_daily_logs(spark, [path], LOG_SCHEMA, skipped)
     return kept.agg(F.count("*").alias("n"), F.countDistinct("disk_id").alias("disks"),
                     *[F.sum(c).alias(c) for c in FEATURES])
 
 
+@query("s1_mixed_headers", f"""with {X.TELEMETRY} select model, count(*) as n, sum(r_5) as r_5, sum(case when disk_id % 3 = 1 then null else r_187 end) as r_187,
+sum(case when disk_id % 3 = 2 then r_241 end) as r_241 from tel group by 1""")
+def s1_mixed(spark, sf):
+    """One folder whose files have three headers: all columns, one left out, and another order with one left out."""
+    path, rows = scratch_dir(spark, "mixed"), X.raw_log(spark, sf)
+    orders = [["disk_id", "ds", "model", "r_5", "r_187"], ["model", "r_5", "disk_id", "ds"], ["ds", "model", "disk_id", "r_241", "r_187", "r_5"]]
+    for k, columns in enumerate(orders):
+        rows.filter(F.col("disk_id") % 3 == k).select(*columns).write.mode("append").option("header", True).csv(path)
+    logs = D.read_daily_logs(spark, [path], LOG_SCHEMA)
+    return logs.groupBy("model").agg(F.count("*").alias("n"), F.sum("r_5").alias("r_5"), F.sum("r_187").alias("r_187"), F.sum("r_241").alias("r_241"))
+
+
 @query("s3_scan_failure_tags", """select case when (l_suppkey // 2) % 2 = 0 then 'MB1' else 'MB2' end as model,
   count(*) as n, count(distinct l_suppkey) as disks, strftime(min(l_shipdate), '%Y-%m-%d') as first_failure
 from lineitem where l_returnflag = 'R' and l_quantity >= 45 and l_discount >= 0.09

@@ -205,11 +205,46 @@ f as (select dataset, avg({X.div('2 * tp', '2 * tp + fp + fn')}) as macro_f1 fro
 select dataset, count(*) as n, {r6('max(macro_f1)')} as macro_f1, {r6('avg(err)')} as bmae, {r6('avg(case when err <= 5 then 1.0 else 0.0 end)')} as cov_pm5
 from usable join f using (dataset) group by 1""")
 def a15(spark, sf):
-    tp = E.true_positive_details(X.predictions(spark, sf)).join(X.predictions(spark, sf).select(F.col("index").alias("idx"), "dataset"), "idx")
-    m = M.ttf_metrics(tp, ["dataset"])
+    m = M.ttf_metrics(E.true_positive_details(X.predictions(spark, sf), ("dataset",)), ["dataset"])
     return m.select("dataset", "n", *rounded(["macro_f1", "bmae", "cov_pm5"]))
 
 
+SHARED = PRED.replace("pred as (", "single as (", 1) + """,
+pred as (select * exclude (index, dataset, backbone), index // 7 as index, dataset, backbone from single)"""
+
+
+def shared_indices(spark, sf):
+    """Predictions whose indices repeat across backbones, datasets and rounds, as those of real runs do."""
+    return X.predictions(spark, sf).withColumn("index", F.floor(F.col("index") / 7).cast("bigint"))
+
+
+@query("ttf_table_shared_indices", f"""with {SHARED}, {USABLE},
+cells as (select backbone, dataset, b, count(*) filter (where tb = b and pred_ttf_bucket = b) as tp, count(*) filter (where tb <> b and pred_ttf_bucket = b) as fp,
+  count(*) filter (where tb = b and pred_ttf_bucket <> b) as fn from usable, (values ('<7'), ('7-30'), ('>30')) v(b) group by 1, 2, 3),
+f as (select backbone, dataset, avg({X.div('2 * tp', '2 * tp + fp + fn')}) as macro_f1 from cells where tp + fn > 0 group by 1, 2)
+select backbone, dataset, count(*) as n, {r6('max(macro_f1)')} as macro_f1, {r6('avg(err)')} as bmae, {r6('avg(case when err <= 5 then 1.0 else 0.0 end)')} as cov_pm5
+from usable join f using (backbone, dataset) group by 1, 2""")
+def ttf_shared(spark, sf):
+    from fleetpulse.plans.evaluation import ttf_table
+
+    m = ttf_table(shared_indices(spark, sf))
+    return m.select("backbone", "dataset", "n", *rounded(["macro_f1", "bmae", "cov_pm5"]))
+
+
+@query("status_table_all_rounds", f"""with {SHARED.replace("from single)", "from single where not (method = 'm1' and dataset = 'MB2' and round = 2))")}, {CONF}, {SUMMED},
+runs as (select distinct method, backbone from pred)
+select runs.method, runs.backbone, {", ".join(f"{r6(f'{d}.{c}')} as {d.lower()}_{c}" for d in ("MB1", "MB2") for c in ("precision", "recall", "f05"))}
+from runs left join sr MB1 on MB1.method = runs.method and MB1.backbone = runs.backbone and MB1.dataset = 'MB1' and MB1.rounds = 3
+left join sr MB2 on MB2.method = runs.method and MB2.backbone = runs.backbone and MB2.dataset = 'MB2' and MB2.rounds = 3""")
+def status_all_rounds(spark, sf):
+    from fleetpulse.plans.evaluation import status_table
+
+    rows = shared_indices(spark, sf).filter("not (method = 'm1' and dataset = 'MB2' and round = 2)")
+    every = rows.select("dataset", "round", F.col("index").alias("test_index"))
+    t = status_table(rows, ["MB1", "MB2"], 3, every)
+    return t.select("method", "backbone", *rounded([f"{d}_{c}" for d in ("mb1", "mb2") for c in ("precision", "recall", "f05")]))
+
+
 @query("m9_ttf_error", f"with {PRED} select dataset, {r6('avg((pred_ttf_days - true_ttf_days) * (pred_ttf_days - true_ttf_days))')} as mse, {r6('avg(abs(pred_ttf_days - true_ttf_days))')} as mae, count(*) as n_examples from pred where pred_ttf_days is not null and true_ttf_days is not null group by 1")
 def m9(spark, sf):
     e = M.ttf_error(X.predictions(spark, sf), ["dataset"])

@@ -18,32 +18,37 @@ def log_schema(attributes: Iterable[str] = RAW_ATTRIBUTES) -> T.StructType:
     return T.StructType(fields + [T.StructField(a, T.DoubleType()) for a in attributes])
 
 
-def read_daily_logs(spark: SparkSession, directories: list[str], schema: T.StructType | None = None) -> DataFrame:
-    """Every CSV below the listed folders as one DataFrame; corrupt files are skipped.
-
-    The files' header has to agree with the schema. Folders that carry other attributes go through
-    ``read_mixed_logs``.
-    """
-    reader = spark.read.option("header", True).option("ignoreCorruptFiles", True).option("enforceSchema", False)
-    wanted = schema or log_schema()
-    return reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").schema(wanted).csv(directories)
+def file_headers(spark: SparkSession, directories: list[str]) -> DataFrame:
+    """(header, files): the files below the folders by their first line. Only the blocks at a file's start count."""
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(directories)
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("at"),
+                         F.col("_metadata.file_block_start").alias("start")).filter("start = 0")
+    first = lines.groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    return first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
 
 
-def read_mixed_logs(spark: SparkSession, directories: list[str], schema: T.StructType | None = None,
+def read_daily_logs(spark: SparkSession, directories: list[str], schema: T.StructType | None = None,
                     skipped: list[str] | None = None) -> DataFrame:
-    """Folders that differ in columns: one read per folder by its own header, united by name.
+    """Every CSV below the listed folders as one DataFrame, each file by its own header.
 
-    The number of folders is the number of year folders, a short list. Day files named in ``skipped``
-    are left out.
+    Files of equal headers are read together and the reads united by name, so columns that a file lacks are null. A file
+    without an id column is an error that names it, and so is a file that can't be read: no file is left out silently. Day
+    files named in ``skipped`` are left out. The list of files is what the driver holds, as Spark's own file index does.
     """
-    wanted = schema or log_schema()
-    out = None
-    for folder in directories:
-        header = spark.read.option("header", True).option("recursiveFileLookup", True).csv(folder).columns
-        require_columns(header)
-        part = read_daily_logs(spark, [folder], T.StructType(_in_order(wanted, header)))
-        part = without_skipped_days(part, skipped) if skipped else part
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    wanted, parts = schema or log_schema(), []
+    for row in file_headers(spark, directories).orderBy("header").collect():
+        header = [c.strip().strip('"') for c in row.header.lstrip("\ufeff").split(",")]
+        try:
+            require_columns(header)
+        except ValueError as e:
+            raise ValueError(f"{e} in {row.files[:5]}") from None
+        part = spark.read.option("header", True).schema(T.StructType(_in_order(wanted, header))).csv(row.files)
+        parts.append(without_skipped_days(part, skipped) if skipped else part)
+    if not parts:
+        return spark.createDataFrame([], wanted)
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
     return out
 
 

@@ -50,14 +50,14 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PREDICTION_SCHEMA + ", method string, backbone string, dataset string").json(path)
 
 
-def true_positive_details(df: DataFrame) -> DataFrame:
-    """The flat record kept for each correctly predicted failure."""
+def true_positive_details(df: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The flat record kept for each correctly predicted failure, after the columns that say which run it is from."""
     from fleetpulse.functions.responses import join_recommendations
     from fleetpulse.functions.scalars import bucket_midpoint
 
     hits = df.filter("true_status = 1 and pred_status = 1")
     return hits.select(
-        F.col("index").alias("idx"), F.col("true_status").alias("status_true"), F.col("status_text").alias("status_pred"),
+        *keys, F.col("index").alias("idx"), F.col("true_status").alias("status_true"), F.col("status_text").alias("status_pred"),
         F.col("true_ttf_days").alias("ttf_true"), F.col("pred_ttf_days").alias("ttf_days_pred"),
         F.trim("pred_ttf_bucket").alias("ttf_bucket_pred"), bucket_midpoint(F.col("pred_ttf_bucket")).alias("ttf_bucket_midpoint"),
         "explanation", join_recommendations(F.col("recommendations")).alias("recommendations"))
@@ -105,6 +105,3 @@ def metrics_document(metrics: DataFrame) -> DataFrame:
     counts = ["tp", "fp", "tn", "fn", "precision", "recall", "f1", "f05", "fpr", "fnr"]
     return metrics.select("method", "backbone", "dataset", "round", F.struct(*counts).alias("classification"))
 
-
-def struct_schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)

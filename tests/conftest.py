@@ -8,10 +8,10 @@ sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from fleetpulse import get_session
 
-    session = get_session("tests", "local[8]", spark__sql__shuffle__partitions="4", spark__driver__memory="6g",
+    session = get_session("tests", "local[8]", spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")), spark__sql__shuffle__partitions="4", spark__driver__memory="6g",
                           spark__ui__showConsoleProgress="false")
     session.sparkContext.setLogLevel("ERROR")
     yield session

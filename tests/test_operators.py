@@ -242,10 +242,19 @@ def test_daily_files_batch_and_stream(spark, tmp_path):
     os.makedirs(f"{extra}/log2020")
     with open(f"{extra}/log2020/20200101.csv", "w") as f:
         f.write("model,disk_id,ds,r_12\nMB1,1,20200101,5\n")
-    mixed = D.read_mixed_logs(spark, [f"{root}/log2018", f"{root}/log2019", f"{extra}/log2020"], skipped=["20180101.csv", "20180102.csv"])
+    mixed = D.read_daily_logs(spark, [f"{root}/log2018", f"{root}/log2019", f"{extra}/log2020"], skipped=["20180101.csv", "20180102.csv"])
     assert mixed.count() == 3 * 35 + 1
     last = D.project_model(mixed, "MB1").filter("ds = 20200101").first()
     assert last.r_12 == 5.0 and last.r_5 is None and last.disk_id == 1
+    with open(f"{extra}/log2020/20200102.csv", "w") as f:  # another header in the same folder
+        f.write("disk_id,ds,model,r_5\nx,20200102,MB1,7\n2,20200102,MB1,8\n")
+    both = D.read_daily_logs(spark, [f"{extra}/log2020"])
+    assert both.count() == 3 and both.filter("r_5 = 8.0 and r_12 is null").count() == 1
+    os.makedirs(f"{extra}/bad")
+    with open(f"{extra}/bad/20200103.csv", "w") as f:
+        f.write("disk_id,model\n1,MB1\n")
+    with pytest.raises(ValueError, match="20200103"):
+        D.read_daily_logs(spark, [f"{extra}/bad"])
 
     from fleetpulse.plans.data import evaluation_index, store_windows
 
