@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 HEADLINE = [
@@ -16,7 +17,7 @@ HEADLINE = [
     "r2_w5_sampled_index", "r5_balanced_ratio", "x1_frame_statistics", "x5_sequence", "c10_window_phrase", "a6_train_scaler",
     "m1_best_threshold", "m3_curve_threshold", "a14_sum_rounds", "m6_o6_reconstruct",
     "l6_assign_and_novelty", "j4_embedding_prototypes", "j11_nearest_neighbours",
-    "m11_u7_parameter_sweep",
+    "m11_u7_parameter_sweep", "s1_scan_daily_logs", "ttf_table_shared_indices", "status_table_all_rounds",
 ]
 
 
@@ -29,7 +30,8 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",")
     catalog.load_all()
-    spark = get_session("bench", f"local[{cpus}]", spark__sql__shuffle__partitions=str(2 * int(cpus)), spark__driver__memory="16g",
+    shared = tempfile.TemporaryDirectory(prefix="bench-")  # goes with all tables in it when the run ends
+    spark = get_session("bench", f"local[{cpus}]", spark__checkpoint__dir=shared.name, spark__sql__shuffle__partitions=str(2 * int(cpus)), spark__driver__memory="16g",
                         spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
     times = {}
@@ -39,6 +41,7 @@ def main() -> None:
             catalog.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             times[name] = round(time.perf_counter() - start, 3)
     spark.stop()
+    shared.cleanup()
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
                       "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
 

@@ -80,9 +80,9 @@ def with_day(df: DataFrame) -> DataFrame:
 
 
 def write_model_logs(df: DataFrame, path: str, models: Iterable[str] = tuple(MODEL_ATTRIBUTES)) -> None:
-    """All models in one pass, one folder per model and day; rows of a day stay in one file per task."""
+    """All models in one pass, one folder per model and day; large days are split over several files by size."""
     known = df.filter(F.col("model").isin(list(models)))
-    (known.repartition("model", "ds").withColumn("day_file", F.col("ds"))
+    (known.hint("rebalance", "model", "ds").withColumn("day_file", F.col("ds"))
      .write.partitionBy("model", "day_file").option("header", True).csv(path))
 
 

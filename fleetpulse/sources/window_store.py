@@ -12,11 +12,10 @@ PARTITIONS = ["model", "round", "split"]
 def write_windows(windows: DataFrame, path: str) -> None:
     """Rewrites only the partitions present in ``windows``.
 
-    Rows of one partition are spread over several files by device, so that a large partition does
-    not end up in one task.
+    Rows of one partition are spread over as many files as their size asks for, so a large partition does
+    not end up in one task and a small one not in many files.
     """
-    (windows.repartition("model", "round", "split", F.pmod(F.col("disk_id"), F.lit(64)))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path))
+    (windows.hint("rebalance", *PARTITIONS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path))
 
 
 def read_split(spark: SparkSession, path: str, model: str | None = None, round_id: int | None = None,
