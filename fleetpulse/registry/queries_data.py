@@ -165,19 +165,19 @@ def day_text(df):
     return df.withColumn("day", F.col("day").cast("string"))
 
 
-FFILL = "last_value(r_5 ignore nulls) over (partition by model, disk_id order by day rows between unbounded preceding and current row)"
+def ffill(c: str) -> str:
+    return f"last_value({c} ignore nulls) over (partition by model, disk_id order by day rows between unbounded preceding and current row)"
 
 
-@query("w1_forward_fill", f"with {X.TELEMETRY} select model, disk_id, strftime(day, '%Y-%m-%d') as day, {FFILL} as r_5 from tel")
+@query("w1_forward_fill", f"with {X.TELEMETRY} select model, disk_id, strftime(day, '%Y-%m-%d') as day, {', '.join(f'{ffill(c)} as {c}' for c in FEATURES)} from tel")
 def w1(spark, sf):
     daily = X.telemetry(spark, sf)
-    return day_text(daily.select("model", "disk_id", "day", W.forward_fill("r_5").alias("r_5")))
+    return day_text(daily.select("model", "disk_id", "day", *[W.forward_fill(c).alias(c) for c in FEATURES]))
 
 
-@query("w2_backward_fill", f"with {X.TELEMETRY} select model, disk_id, strftime(day, '%Y-%m-%d') as day, coalesce({FFILL}, first_value(r_5 ignore nulls) over (partition by model, disk_id order by day rows between current row and unbounded following)) as r_5 from tel")
+@query("w2_backward_fill", f"with {X.TELEMETRY} select model, disk_id, strftime(day, '%Y-%m-%d') as day, {', '.join(f'coalesce({ffill(c)}, first_value({c} ignore nulls) over (partition by model, disk_id order by day rows between current row and unbounded following)) as {c}' for c in FEATURES)} from tel")
 def w2(spark, sf):
-    daily = X.telemetry(spark, sf)
-    return day_text(W.fill_within_device(daily, ["r_5"]).select("model", "disk_id", "day", "r_5"))
+    return day_text(W.fill_within_device(X.telemetry(spark, sf), FEATURES).select("model", "disk_id", "day", *FEATURES))
 
 
 @query("w1_w2_a5_impute", f"with {X.IMPUTED} select model, disk_id, strftime(day, '%Y-%m-%d') as day, {', '.join(FEATURES)} from imp")
@@ -213,14 +213,13 @@ def wkey(df, *cols):
     return df.select("model", "disk_id", F.col("end_day").cast("string").alias("end_day"), *cols)
 
 
-@query("w3_row_windows", f"""with {X.IMPUTED} select model, disk_id, strftime(day, '%Y-%m-%d') as end_day, first_day_r_5, last_day_r_5, total_r_5, total_r_241 from (
-  select *, first_value(r_5) over w as first_day_r_5, last_value(r_5) over w as last_day_r_5, sum(r_5) over w as total_r_5,
-    sum(r_241) over w as total_r_241, count(*) over w as n from imp
+@query("w3_row_windows", f"""with {X.IMPUTED} select model, disk_id, strftime(day, '%Y-%m-%d') as end_day, {', '.join(f'first_{c}, last_{c}, total_{c}' for c in FEATURES)} from (
+  select *, {', '.join(f'first_value({c}) over w as first_{c}, last_value({c}) over w as last_{c}, sum({c}) over w as total_{c}' for c in FEATURES)}, count(*) over w as n from imp
   window w as (partition by model, disk_id order by day rows between 29 preceding and current row)) where n = 30""")
 def w3(spark, sf):
     wins = W.row_windows(X.imputed(spark, sf), FEATURES)
-    return wkey(wins, S.first(F.col("r_5")).alias("first_day_r_5"), S.last(F.col("r_5")).alias("last_day_r_5"),
-                S.total(F.col("r_5")).alias("total_r_5"), S.total(F.col("r_241")).alias("total_r_241"))
+    return wkey(wins, *[made for c in FEATURES for made in (
+        S.first(F.col(c)).alias(f"first_{c}"), S.last(F.col(c)).alias(f"last_{c}"), S.total(F.col(c)).alias(f"total_{c}"))])
 
 
 @query("w4_j2_month_index", f"with {X.TELEMETRY}, {X.MONTHS} select model, strftime(month, '%Y-%m') as month, month_idx, count(*) as n from months join tel using (model) where date_trunc('month', day) = month group by 1, 2, 3")

@@ -24,35 +24,59 @@ def rounded(df, cols):
     return [F.round(c, 6).alias(c) for c in cols]
 
 
-@query("w6_step_differences", f"""with {WIN} select {WKEY}, list_sum(list_transform(range(2, 31), lambda i: abs(r_5[i] - r_5[i - 1]))) as total_step,
-  list_max(list_transform(range(2, 31), lambda i: r_5[i] - r_5[i - 1])) as top_step from win""")
+def each(make) -> str:
+    """The SQL columns that ``make`` gives for every attribute."""
+    return ", ".join(make(c) for c in FEATURES)
+
+
+def cells_sql(values: str, scale: int = 1) -> str:
+    """A list as text, so that one row shows all its values: whole numbers of ``1 / scale``."""
+    return f"array_to_string(list_transform({values}, lambda v: cast(round(v * {scale}) as bigint)::varchar), ',')"
+
+
+def cells(values, scale: int = 1):
+    return F.array_join(F.transform(values, lambda v: F.round(v * scale).cast("long").cast("string")), ",")
+
+
+def every(make):
+    """The columns that ``make`` gives for every attribute, as one list."""
+    return [made for c in FEATURES for made in make(c)]
+
+
+@query("w6_step_differences", f"""with {WIN} select {WKEY}, {each(lambda c: f"list_sum(list_transform(range(2, 31), lambda i: abs({c}[i] - {c}[i - 1]))) as {c}_total, list_max(list_transform(range(2, 31), lambda i: {c}[i] - {c}[i - 1])) as {c}_top")} from win""")
 def w6(spark, sf):
-    wins = windows(spark, sf)
-    d = S.diffs(F.col("r_5"))
-    return wkey(wins, S.total(F.transform(d, F.abs)).alias("total_step"), F.array_max(d).alias("top_step"))
+    def steps(c):
+        d = S.diffs(F.col(c))
+        return [S.total(F.transform(d, F.abs)).alias(f"{c}_total"), F.array_max(d).alias(f"{c}_top")]
+
+    return wkey(windows(spark, sf), *every(steps))
 
 
-@query("w7_first_last", f"with {WIN} select {WKEY}, r_241[1] as first_value, r_241[30] as last_value, r_241[30] - r_241[1] as delta from win")
+@query("w7_first_last", f"with {WIN} select {WKEY}, {each(lambda c: f'{c}[1] as {c}_first, {c}[30] as {c}_last, {c}[30] - {c}[1] as {c}_delta')} from win")
 def w7(spark, sf):
-    x = F.col("r_241")
-    return wkey(windows(spark, sf), S.first(x).alias("first_value"), S.last(x).alias("last_value"), (S.last(x) - S.first(x)).alias("delta"))
+    def ends(c):
+        x = F.col(c)
+        return [S.first(x).alias(f"{c}_first"), S.last(x).alias(f"{c}_last"), (S.last(x) - S.first(x)).alias(f"{c}_delta")]
 
+    return wkey(windows(spark, sf), *every(ends))
 
-@query("w8_segments", f"""with {WIN} select {WKEY}, g, list_sum(r_5[(g * 30) // 4 + 1 : ((g + 1) * 30) // 4]) as total, ((g + 1) * 30) // 4 - (g * 30) // 4 as days
+
+@query("w8_segments", f"""with {WIN} select {WKEY}, g, {each(lambda c: f"list_sum({c}[(g * 30) // 4 + 1 : ((g + 1) * 30) // 4]) as {c}")}, ((g + 1) * 30) // 4 - (g * 30) // 4 as days
 from win, (select unnest(range(0, 4)) as g)""")
 def w8(spark, sf):
-    parts = F.array(*[F.struct(F.lit(g).alias("g"), S.segment(F.col("r_5"), g, 4).alias("s")) for g in range(4)])
+    parts = F.array(*[F.struct(F.lit(g).alias("g"), *[S.segment(F.col(c), g, 4).alias(c) for c in FEATURES]) for g in range(4)])
     rows = windows(spark, sf).withColumn("p", F.explode(parts))
-    return wkey(rows, F.col("p.g").alias("g"), S.total(F.col("p.s")).alias("total"), F.size("p.s").alias("days"))
+    return wkey(rows, F.col("p.g").alias("g"), *[S.total(F.col(f"p.{c}")).alias(c) for c in FEATURES], F.size("p.r_5").alias("days"))
 
 
-@query("w9_patches_with_tail", f"""with {X.windows_sql(size=17)} select {WKEY}, p, list_sum(r_5[p * 5 + 1 : p * 5 + 5]) as total
+@query("w9_patches_with_tail", f"""with {X.windows_sql(size=17)} select {WKEY}, p, {each(lambda c: f"list_sum({c}[p * 5 + 1 : p * 5 + 5]) as {c}")}
 from win, (select unnest(range(0, 3)) as p)""")
 def w9(spark, sf):
     # 17 days and patches of 5: two trailing days are dropped
     wins = W.build_windows(X.telemetry(spark, sf), X.failure_tags(spark, sf), FEATURES, RULE, size=17, rounds=(1,))
-    rows = wins.select("model", "disk_id", "end_day", F.posexplode(S.patches(F.col("r_5"), 5)).alias("p", "patch"))
-    return wkey(rows, "p", S.total(F.col("patch")).alias("total"))
+    cut = wins.select("model", "disk_id", "end_day", F.arrays_zip(*[S.patches(F.col(c), 5).alias(c) for c in FEATURES]).alias("z"))
+    rows = cut.select("model", "disk_id", "end_day", F.posexplode("z").alias("p", "patch"))
+    return wkey(rows, "p", *[S.total(F.col(f"patch.{c}")).alias(c) for c in FEATURES])
 
 
 @query("w10_random_patches", f"""with {WIN}, pos as (select model, disk_id, end_day, i, r_5[i + 1 : i + 5] as patch,
@@ -67,64 +91,72 @@ def w10(spark, sf):
     return wkey(chosen, "pos", S.total(F.col("patch")).alias("total"))
 
 
-@query("w11_edge_means", f"with {WIN} select {WKEY}, {r6('list_sum(r_5[1:10]) / 10')} as early, {r6('list_sum(r_5[21:30]) / 10')} as late from win")
+@query("w11_edge_means", f"with {WIN} select {WKEY}, {each(lambda c: r6(f'list_sum({c}[1:10]) / 10') + f' as {c}_early, ' + r6(f'list_sum({c}[21:30]) / 10') + f' as {c}_late')} from win")
 def w11(spark, sf):
-    e = S.edge_means(F.col("r_5"))
-    return wkey(windows(spark, sf), F.round(e["early"], 6).alias("early"), F.round(e["late"], 6).alias("late"))
+    def edges(c):
+        e = S.edge_means(F.col(c))
+        return [F.round(e["early"], 6).alias(f"{c}_early"), F.round(e["late"], 6).alias(f"{c}_late")]
+
+    return wkey(windows(spark, sf), *every(edges))
 
 
-@query("w12_history_horizon", f"with {WIN} select {WKEY}, list_sum(r_241[1:20]) as history, list_sum(r_241[21:30]) as horizon from win")
+@query("w12_history_horizon", f"with {WIN} select {WKEY}, {each(lambda c: f'list_sum({c}[1:20]) as {c}_history, list_sum({c}[21:30]) as {c}_horizon')} from win")
 def w12(spark, sf):
-    p = S.history_and_horizon(F.col("r_241"))
-    return wkey(windows(spark, sf), S.total(p["history"]).alias("history"), S.total(p["horizon"]).alias("horizon"))
+    def parts(c):
+        p = S.history_and_horizon(F.col(c))
+        return [S.total(p["history"]).alias(f"{c}_history"), S.total(p["horizon"]).alias(f"{c}_horizon")]
+
+    return wkey(windows(spark, sf), *every(parts))
 
 
-@query("w13_cross_patches", f"""with {WIN} select {WKEY}, p, list_sum(r_5[p * 5 + 1 : p * 5 + 5]) as head, r_241[p * 5 + 5] as tail, 20 as width
-from win, (select unnest(range(0, 6)) as p) where split = 'test'""")
+@query("w13_cross_patches", f"""with {WIN} select {WKEY}, p, {cells_sql("list_concat(" * (len(FEATURES) - 1) + FEATURES[0] + "[p * 5 + 1 : p * 5 + 5]" + "".join(f", {c}[p * 5 + 1 : p * 5 + 5])" for c in FEATURES[1:]))} as cells
+from win, (select unnest(range(0, 6)) as p)""")
 def w13(spark, sf):
-    rows = test_windows(spark, sf).select("model", "disk_id", "end_day", F.posexplode(
+    rows = windows(spark, sf).select("model", "disk_id", "end_day", F.posexplode(
         S.cross_patches([F.col(c) for c in FEATURES], 5)).alias("p", "patch"))
-    return wkey(rows, "p", S.total(F.slice("patch", 1, 5)).alias("head"), S.last(F.col("patch")).alias("tail"),
-                F.size("patch").alias("width"))
+    return wkey(rows, "p", cells(F.col("patch")).alias("cells"))
 
 
 STAT_NAMES = ["level_mean", "level_std", "delta", "amp", "max_step", "mean_abs_step", "step_std", "pos_max_step"]
 
 
-@query("v1_series_stats", f"""with {WIN}, st as (select *, list_transform(range(2, 31), lambda i: r_5[i] - r_5[i - 1]) as d from win),
-sa as (select *, list_transform(d, lambda x: abs(x)) as ad from st)
-select {WKEY}, 30 as "L", {r6('list_sum(r_5) / 30')} as level_mean,
-  {r6('sqrt(list_sum(list_transform(r_5, lambda x: (x - list_sum(r_5) / 30) * (x - list_sum(r_5) / 30))) / 30)')} as level_std,
-  r_5[30] - r_5[1] as delta, list_max(r_5) - list_min(r_5) as amp, list_max(ad) as max_step, {r6('list_sum(ad) / 29')} as mean_abs_step,
-  {r6('sqrt(list_sum(list_transform(d, lambda x: (x - list_sum(d) / 29) * (x - list_sum(d) / 29))) / 29)')} as step_std,
-  {r6('(list_position(ad, list_max(ad)) - 1) / 29')} as pos_max_step from sa""")
+def v1_sql(c: str) -> str:
+    return f"""30 as "{c}_L", {r6(f'list_sum({c}) / 30')} as {c}_level_mean,
+  {r6(f'sqrt(list_sum(list_transform({c}, lambda x: (x - list_sum({c}) / 30) * (x - list_sum({c}) / 30))) / 30)')} as {c}_level_std,
+  {c}[30] - {c}[1] as {c}_delta, list_max({c}) - list_min({c}) as {c}_amp, list_max(ad_{c}) as {c}_max_step, {r6(f'list_sum(ad_{c}) / 29')} as {c}_mean_abs_step,
+  {r6(f'sqrt(list_sum(list_transform(d_{c}, lambda x: (x - list_sum(d_{c}) / 29) * (x - list_sum(d_{c}) / 29))) / 29)')} as {c}_step_std,
+  {r6(f'(list_position(ad_{c}, list_max(ad_{c})) - 1) / 29')} as {c}_pos_max_step"""
+
+
+@query("v1_series_stats", f"""with {WIN}, st as (select *, {each(lambda c: f"list_transform(range(2, 31), lambda i: {c}[i] - {c}[i - 1]) as d_{c}")} from win),
+sa as (select *, {each(lambda c: f"list_transform(d_{c}, lambda x: abs(x)) as ad_{c}")} from st)
+select {WKEY}, {each(v1_sql)} from sa""")
 def v1(spark, sf):
-    rows = windows(spark, sf).withColumn("s", S.series_stats(F.col("r_5")))
-    return wkey(rows, "s.L", *[F.round(f"s.{n}", 6).alias(n) for n in STAT_NAMES])
+    rows = windows(spark, sf).withColumns({f"s_{c}": S.series_stats(F.col(c)) for c in FEATURES})
+    return wkey(rows, *every(lambda c: [F.col(f"s_{c}.L").alias(f"{c}_L"), *[F.round(f"s_{c}.{n}", 6).alias(f"{c}_{n}") for n in STAT_NAMES]]))
 
 
-@query("v2_span_stats", f"""with {WIN} select {WKEY}, list_min(r_241) as lo, list_max(r_241) as hi, {r6('list_sum(r_241) / 30')} as mean,
-  r_241[1] as first_value, r_241[30] as last_value, r_241[30] - r_241[1] as delta from win""")
+@query("v2_span_stats", f"""with {WIN} select {WKEY}, {each(lambda c: f"list_min({c}) as {c}_lo, list_max({c}) as {c}_hi, {r6(f'list_sum({c}) / 30')} as {c}_mean, {c}[1] as {c}_first, {c}[30] as {c}_last, {c}[30] - {c}[1] as {c}_delta")} from win""")
 def v2(spark, sf):
-    rows = windows(spark, sf).withColumn("s", S.span_stats(F.col("r_241")))
-    return wkey(rows, F.col("s.min").alias("lo"), F.col("s.max").alias("hi"), F.round("s.mean", 6).alias("mean"),
-                F.col("s.first").alias("first_value"), F.col("s.last").alias("last_value"), "s.delta")
+    rows = windows(spark, sf).withColumns({f"s_{c}": S.span_stats(F.col(c)) for c in FEATURES})
+    return wkey(rows, *every(lambda c: [
+        F.col(f"s_{c}.min").alias(f"{c}_lo"), F.col(f"s_{c}.max").alias(f"{c}_hi"), F.round(f"s_{c}.mean", 6).alias(f"{c}_mean"),
+        F.col(f"s_{c}.first").alias(f"{c}_first"), F.col(f"s_{c}.last").alias(f"{c}_last"), F.col(f"s_{c}.delta").alias(f"{c}_delta")]))
 
 
-@query("v3_range_positives_argmax", f"""with {WIN} select {WKEY}, list_max(r_187) - list_min(r_187) as spread,
-  len(list_filter(r_187, lambda x: x > 0)) as positives, list_position(r_187, list_max(r_187)) - 1 as top_at from win""")
+@query("v3_range_positives_argmax", f"""with {WIN} select {WKEY}, {each(lambda c: f"list_max({c}) - list_min({c}) as {c}_spread, len(list_filter({c}, lambda x: x > 0)) as {c}_positives, list_position({c}, list_max({c})) - 1 as {c}_top_at")} from win""")
 def v3(spark, sf):
-    x = F.col("r_187")
-    return wkey(windows(spark, sf), (F.array_max(x) - F.array_min(x)).alias("spread"),
-                F.size(F.filter(x, lambda v: v > 0)).alias("positives"), S.arg_first(x, F.array_max(x)).alias("top_at"))
+    def parts(c):
+        x = F.col(c)
+        return [(F.array_max(x) - F.array_min(x)).alias(f"{c}_spread"), F.size(F.filter(x, lambda v: v > 0)).alias(f"{c}_positives"),
+                S.arg_first(x, F.array_max(x)).alias(f"{c}_top_at")]
 
+    return wkey(windows(spark, sf), *every(parts))
 
-@query("v4_flatten_day_major", f"""with {WIN} select {WKEY}, i - 1 as pos, case (i - 1) % 4 when 0 then r_5[(i - 1) // 4 + 1] when 1 then r_187[(i - 1) // 4 + 1]
-  when 2 then r_197[(i - 1) // 4 + 1] else r_241[(i - 1) // 4 + 1] end as value from win, (select unnest(range(1, 121)) as i) where split = 'val'""")
+
+@query("v4_flatten_day_major", f"""with {WIN} select {WKEY}, {cells_sql("list_transform(range(0, 120), lambda i: case i % 4 when 0 then r_5[i // 4 + 1] when 1 then r_187[i // 4 + 1] when 2 then r_197[i // 4 + 1] else r_241[i // 4 + 1] end)")} as cells from win""")
 def v4(spark, sf):
-    rows = windows(spark, sf).filter("split = 'val'").select("model", "disk_id", "end_day", F.posexplode(
-        S.flatten_day_major([F.col(c) for c in FEATURES])).alias("pos", "value"))
-    return wkey(rows, "pos", "value")
+    return wkey(windows(spark, sf), cells(S.flatten_day_major([F.col(c) for c in FEATURES])).alias("cells"))
 
 
 @query("v6_checked_window", f"with {WIN} select split, count(*) as n, count(*) as fits_five, 0 as fits_four, sum(list_sum(r_5)) as total from win group by 1")
@@ -173,31 +205,46 @@ def x3(spark, sf):
     return zipped.select("model", "i", *[F.round(f"e.{c}", 6).alias(c) for c in FEATURES])
 
 
-@query("x4_j5_histogram", f"""with {RANGES}, v as (select model, disk_id, end_day, r_5_lo as lo, r_5_hi as hi, unnest(r_5) as v from win join rng using (model) where split = 'test'),
-b as (select model, disk_id, end_day, least(9, floor((v - lo) / (hi - lo) * 10)) as b from v where v >= lo)
-select {WKEY}, cast(b as int) as bin, {r6('count(*) / 30')} as share from b group by 1, 2, 3, 4""")
+def bins_sql(c: str, bins: int = 50) -> str:
+    """Days per bin as text; a window holds whole days, so its shares are these counts over 30."""
+    at = f"list_transform(list_filter({c}, lambda v: v >= {c}_lo), lambda v: least({bins - 1}, floor((v - {c}_lo) / ({c}_hi - {c}_lo) * {bins})))"
+    return f"array_to_string(list_transform(range(0, {bins}), lambda b: len(list_filter({at}, lambda x: x = b))::varchar), ',') as {c}"
+
+
+def bin_days(shares):
+    return cells(F.transform(shares, lambda s: s * 30))
+
+
+@query("x4_j5_histogram", f"with {RANGES} select {WKEY}, {each(bins_sql)} from win join rng using (model)")
 def x4(spark, sf):
     wins = windows(spark, sf)
-    hist = FX.histogram_view(wins.filter("split = 'test'"), ranges(wins), ["r_5"], ["model"], bins=10)
-    rows = hist.select("model", "disk_id", "end_day", F.posexplode("r_5_hist").alias("bin", "share")).filter("share > 0")
-    return wkey(rows, "bin", F.round("share", 6).alias("share"))
+    hist = FX.histogram_view(wins, ranges(wins), FEATURES, ["model"])
+    return wkey(hist, *[bin_days(F.col(f"{c}_hist")).alias(c) for c in FEATURES])
 
 
-SEG = "r_5[(g * 30) // 4 + 1 : ((g + 1) * 30) // 4]"
+def segment_sql(c: str, g: int) -> str:
+    """[variation, kurtosis, slope] of a part; the small shift keeps exact ties of the last digit on one side in both engines."""
+    a, b = g * 30 // 4, (g + 1) * 30 // 4
+    s, n = f"{c}[{a + 1}:{b}]", b - a
+    m = f"(list_sum({s}) / {n})"
+    m2 = f"(list_sum(list_transform({s}, lambda x: (x - {m}) * (x - {m}))) / {n})"
+    m4 = f"(list_sum(list_transform({s}, lambda x: (x - {m}) * (x - {m}) * (x - {m}) * (x - {m}))) / {n})"
+    return (f"case when abs({m}) > 1e-8 then sqrt({m2}) / {m} else 0.0 end + 3e-10, "
+            f"case when {m2} > 1e-8 then {m4} / ({m2} * {m2}) - 3.0 else 0.0 end + 3e-10, ({c}[{b}] - {c}[{a + 1}]) / {n - 1} + 3e-10")
 
 
-@query("x5_sequence", f"""with {WIN}, s as (select model, disk_id, end_day, g, {SEG} as s from win, (select unnest(range(0, 4)) as g) where split = 'test'),
-m as (select *, list_sum(s) / len(s) as m from s),
-mm as (select *, list_sum(list_transform(s, lambda x: (x - m) * (x - m))) / len(s) as m2,
-  list_sum(list_transform(s, lambda x: (x - m) * (x - m) * (x - m) * (x - m))) / len(s) as m4 from m)
-select {WKEY}, g, {r6('case when abs(m) > 1e-8 then sqrt(m2) / m else 0.0 end')} as cv,
-  {r6('case when m2 > 1e-8 then m4 / (m2 * m2) - 3.0 else 0.0 end + 3e-10')} as kurtosis, {r6('(s[len(s)] - s[1]) / (len(s) - 1)')} as slope from mm""")
+def sequence_sql(c: str) -> str:
+    return cells_sql("[" + ", ".join(segment_sql(c, g) for g in range(4)) + "]", 1000000) + f" as {c}"
+
+
+def sequence_cells(values):
+    return cells(F.transform(values, lambda v: v + 3e-10), 1000000)
+
+
+@query("x5_sequence", f"with {WIN} select {WKEY}, {each(sequence_sql)} from win")
 def x5(spark, sf):
-    rows = windows_of(spark, sf, FX.sequence_frames(X.imputed(spark, sf), ["r_5"])).filter("split = 'test'")
-    g = F.explode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.struct(
-        i.alias("g"), F.get("r_5_seq", i * 3).alias("cv"), F.get("r_5_seq", i * 3 + 1).alias("kurtosis"), F.get("r_5_seq", i * 3 + 2).alias("slope"))))
-    long = rows.select("model", "disk_id", "end_day", g.alias("v"))
-    return wkey(long, "v.g", F.round("v.cv", 6).alias("cv"), F.round(F.col("v.kurtosis") + 3e-10, 6).alias("kurtosis"), F.round("v.slope", 6).alias("slope"))
+    rows = windows_of(spark, sf, FX.sequence_frames(X.imputed(spark, sf), FEATURES))
+    return wkey(rows, *[sequence_cells(F.col(f"{c}_seq")).alias(c) for c in FEATURES])
 
 
 def windows_of(spark, sf, rows, features=()):
@@ -207,22 +254,25 @@ def windows_of(spark, sf, rows, features=()):
     return W.split_windows(lab, W.month_index(X.telemetry(spark, sf)), RULE, (1,))
 
 
-@query("x5_segment_function", f"""with {WIN}, s as (select model, disk_id, end_day, {SEG.replace('g', '1')} as s from win where split = 'test'),
-m as (select *, list_sum(s) / len(s) as m from s),
-mm as (select *, list_sum(list_transform(s, lambda x: (x - m) * (x - m))) / len(s) as m2 from m)
-select {WKEY}, {r6('case when abs(m) > 1e-8 then sqrt(m2) / m else 0.0 end')} as cv, {r6('(s[len(s)] - s[1]) / (len(s) - 1)')} as slope from mm""")
+@query("x5_segment_function", f"with {WIN} select {WKEY}, {each(sequence_sql)} from win")
 def x5b(spark, sf):
-    f = S.segment_features(S.segment(F.col("r_5"), 1, 4))
-    return wkey(test_windows(spark, sf).withColumn("f", f), F.round("f.cv", 6).alias("cv"), F.round("f.slope", 6).alias("slope"))
+    def parts(c):
+        made = [S.segment_features(S.segment(F.col(c), g, 4)) for g in range(4)]
+        return [sequence_cells(F.array(*[f[n] for f in made for n in ("cv", "kurtosis", "slope")])).alias(c)]
+
+    return wkey(windows(spark, sf), *every(parts))
 
 
-@query("x6_four_views", f"with {WIN} select model, count(*) as n, 4 as raw, 40 as hist, 48 as seq, 92 as comb from win where split = 'val' group by 1")
+@query("x6_four_views", f"""with {RANGES}, bins as (select win.*, {each(bins_sql).replace(" as r_", " as hist_r_")} from win join rng using (model)),
+seqs as (select *, {each(sequence_sql).replace(" as r_", " as seq_r_")} from bins)
+select {WKEY}, {cells_sql(f"[{each(lambda c: f'{c}[30]')}]")} as raw, concat_ws(',', {each(lambda c: f'hist_{c}')}) as hist,
+  concat_ws(',', {each(lambda c: f'seq_{c}')}) as seq, 252 as width, true as all_three from seqs""")
 def x6(spark, sf):
-    rows = FX.sequence_frames(X.imputed(spark, sf), FEATURES)
-    wins = windows_of(spark, sf, rows, FEATURES)
-    views = FX.four_views(wins.filter("split = 'val'"), ranges(wins), FEATURES, ["model"], bins=10)
-    sizes = [F.max(F.size(vector_to_array(c))).alias(c) for c in ("raw", "hist", "seq", "comb")]
-    return views.groupBy("model").agg(F.count("*").alias("n"), *sizes)
+    wins = windows_of(spark, sf, FX.sequence_frames(X.imputed(spark, sf), FEATURES), FEATURES)
+    views = FX.four_views(wins, ranges(wins), FEATURES, ["model"])
+    raw, hist, seq, comb = (vector_to_array(F.col(c)) for c in ("raw", "hist", "seq", "comb"))
+    return wkey(views, cells(raw).alias("raw"), bin_days(hist).alias("hist"), sequence_cells(seq).alias("seq"),
+                F.size(comb).alias("width"), (comb == F.concat(raw, hist, seq)).alias("all_three"))
 
 
 def marked(spark, sf):
@@ -246,11 +296,11 @@ def a6(spark, sf):
     return scaler(spark, sf).select("model", "attr", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
-@query("j6_standardize", f"""with {SCALER_SQL} select model, disk_id, strftime(day, '%Y-%m-%d') as day, {r6('(r_5 - mean) / std')} as z_r_5
-from imp join scaler using (model) where attr = 'r_5'""")
+@query("j6_standardize", f"""with {SCALER_SQL}, wide as (select model, {each(lambda c: f"max(case when attr = '{c}' then mean end) as m_{c}, max(case when attr = '{c}' then std end) as s_{c}")} from scaler group by 1)
+select model, disk_id, strftime(day, '%Y-%m-%d') as day, {each(lambda c: r6(f'({c} - m_{c}) / s_{c}') + f' as z_{c}')} from imp join wide using (model)""")
 def j6(spark, sf):
-    z = SC.standardize(X.imputed(spark, sf), scaler(spark, sf), ["r_5"], ["model"])
-    return z.select("model", "disk_id", F.col("day").cast("string").alias("day"), F.round("z_r_5", 6).alias("z_r_5"))
+    z = SC.standardize(X.imputed(spark, sf), scaler(spark, sf), FEATURES, ["model"])
+    return z.select("model", "disk_id", F.col("day").cast("string").alias("day"), *[F.round(f"z_{c}", 6).alias(f"z_{c}") for c in FEATURES])
 
 
 A7 = ["r_5_mean", "r_187_max", "r_241_delta"]
@@ -266,16 +316,17 @@ def a7(spark, sf):
     return wkey(z, *rounded(z, A7))
 
 
-@query("a8_minmax_scale", f"""with {WIN}, v as (select model, disk_id, end_day, split, unnest(r_241) as v, unnest(range(0, 30)) as pos from win),
-st as (select model, pos, min(v) as lo, case when max(v) - min(v) < 1e-6 then 1.0 else max(v) - min(v) end as rng from v where split = 'train' group by 1, 2)
-select {WKEY}, pos, {r6('(v - lo) / rng')} as scaled from v join st using (model, pos) where split = 'val'""")
+@query("a8_minmax_scale", f"""with {WIN}, st as (select model, {each(lambda c: ", ".join(f"min({c}[{i}]) as {c}_lo{i}, case when max({c}[{i}]) - min({c}[{i}]) < 1e-6 then 1.0 else max({c}[{i}]) - min({c}[{i}]) end as {c}_w{i}" for i in range(1, 31)))}
+  from win where split = 'train' group by 1)
+select {WKEY}, {each(lambda c: cells_sql("[" + ", ".join(f"({c}[{i}] - {c}_lo{i}) / {c}_w{i}" for i in range(1, 31)) + "]", 1000000) + f" as {c}")} from win join st using (model)""")
 def a8(spark, sf):
     from pyspark.ml.functions import array_to_vector
 
-    wins = windows(spark, sf).withColumn("vec", array_to_vector("r_241"))
-    learned = SC.minmax_ranges(wins.filter("split = 'train'"), "vec", ["model"])
-    scaled = SC.minmax_scale(wins.filter("split = 'val'"), learned, "r_241", ["model"], "scaled")
-    return wkey(scaled.select("model", "disk_id", "end_day", F.posexplode("scaled").alias("pos", "scaled")), "pos", F.round("scaled", 6).alias("scaled"))
+    wins = windows(spark, sf).withColumns({f"vec_{c}": array_to_vector(c) for c in FEATURES})
+    train, scaled = wins.filter("split = 'train'"), wins
+    for c in FEATURES:
+        scaled = SC.minmax_scale(scaled, SC.minmax_ranges(train, f"vec_{c}", ["model"]), c, ["model"], f"scaled_{c}")
+    return wkey(scaled, *[cells(F.col(f"scaled_{c}"), 1000000).alias(c) for c in FEATURES])
 
 
 @query("f26_three_digits", "select l_orderkey, l_linenumber, count(*) as n, min(printf('%.3g', l_extendedprice * l_discount)) as shown from lineitem group by 1, 2")
@@ -324,6 +375,8 @@ def c10(spark, sf):
     return wkey(rows, "p.attr", "p.phrase")
 
 
-@query("c10_phrase_function", f"with {WIN}, {HSRC}, {C10_SQL} select {WKEY}, phrase from heur where attr = 'r_197' and split = 'test'")
+@query("c10_phrase_function", f"with {WIN}, {HSRC}, {C10_SQL} select {WKEY}, attr, phrase from heur")
 def c10f(spark, sf):
-    return wkey(test_windows(spark, sf).withColumn("phrase", T.window_phrase(F.col("r_197"))), "phrase")
+    phrases = F.array(*[F.struct(F.lit(c).alias("attr"), T.window_phrase(F.col(c)).alias("phrase")) for c in FEATURES])
+    rows = windows(spark, sf).select("model", "disk_id", "end_day", F.explode(phrases).alias("p"))
+    return wkey(rows, "p.attr", "p.phrase")
