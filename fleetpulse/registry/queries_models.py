@@ -50,15 +50,15 @@ vote as (select q, case when min(dist) = 0 then count(*) filter (where dist = 0
 KNN = MUT + f""",
 tcnt as (select model, sum(y)::bigint as nf, sum(1 - y)::bigint as nh from mut where split = 'train' group by 1),
 tr as (select * from (select m.*, nf, nh, row_number() over (partition by model, y order by {h(0)}, disk_id, end_day) as rk from mut m join tcnt using (model) where split = 'train') where rk <= least(nf, nh)),
-pairs as (select struct_pack(model := t.model, disk_id := t.disk_id, end_day := t.end_day) as q, tr.y, round(list_distance(t.v, tr.v), 9) as dist
-  from mut t, tr where t.split = 'test'),{vote_sql()}"""
+pairs as (select struct_pack(model := model, disk_id := t.disk_id, end_day := t.end_day) as q, tr.y, round(list_distance(t.v, tr.v), 9) as dist
+  from mut t join tr using (model) where t.split = 'test'),{vote_sql()}"""
 
 
 @query("c7_neighbour_vote", f"with {KNN} select q.model as model, q.disk_id as disk_id, strftime(q.end_day, '%Y-%m-%d') as end_day, {r6('score')} as score from vote")
 def c7(spark, sf):
     rows = materialize(mutated(spark, sf).select("model", "disk_id", "end_day", "split", "y", "mutation"), "mutation")
     train = R.one_to_one(rows.filter("split = 'train'"), ["model"], KEYS, 0)
-    scored = NB.knn_vote(train, rows.filter("split = 'test'").drop("y"), ["model", *KEYS], "mutation", pivots=8, bands=4)
+    scored = NB.knn_vote(train, rows.filter("split = 'test'").drop("y"), "mutation", ["model"])
     return wkey(scored, F.round("score", 6).alias("score"))
 
 
@@ -70,7 +70,7 @@ def j11(spark, sf):
     vecs = X.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     labels = X.table(spark, sf, "labels").select(F.col("doc_id").alias("vec_id"), F.col("quality").alias("y"))
     train, rest = vecs.join(labels, "vec_id"), vecs.join(labels, "vec_id", "left_anti")
-    return NB.knn_vote(train, rest, ["vec_id"], "v").select("vec_id", F.round("score", 6).alias("score"))
+    return NB.knn_vote(train, rest, "v").select("vec_id", F.round("score", 6).alias("score"))
 
 
 # ---- classifiers: trained 1:1 on train windows, threshold from validation, rates on every test window ----

@@ -148,7 +148,7 @@ def test_neighbour_vote_matches_brute_force(spark):
     train = base + [base[0]] * 80 + [(base[0][0], 1 - base[0][1])] * 3  # a third of the rows are copies
     asked = [(i, [rng.gauss(0, 1.2) for _ in range(6)]) for i in range(60)] + [(60, base[0][0])]
     tdf = spark.createDataFrame(train, "v array<double>, y int")
-    got = {r.id: r.score for r in NB.knn_vote(tdf, spark.createDataFrame(asked, "id int, v array<double>"), ["id"], "v", pivots=7, bands=4).collect()}
+    got = {r.id: r.score for r in NB.knn_vote(tdf, spark.createDataFrame(asked, "id int, v array<double>"), "v", block_rows=50).collect()}
     for i, q in asked:
         near = sorted((round(math.dist(q, v), 9), y) for v, y in train)[:5]
         exact = [y for d, y in near if d == 0]
@@ -156,6 +156,13 @@ def test_neighbour_vote_matches_brute_force(spark):
         assert math.isclose(got[i], want, rel_tol=1e-9), i
 
 
+def test_neighbour_vote_by_group(spark):
+    train = spark.createDataFrame([("a", [0.0, 0.0], 1), ("a", [9.0, 0.0], 0), ("b", [0.0, 1.0], 0)], "g string, v array<double>, y int")
+    asked = spark.createDataFrame([(1, "a", [0.0, 0.0]), (2, "b", [0.0, 0.0]), (3, "c", [0.0, 0.0]), (4, "a", [3.0, 0.0]), (5, None, [0.0, 0.0])], "id int, g string, v array<double>")
+    got = {r.id: r.score for r in NB.knn_vote(train, asked, "v", ["g"]).collect()}
+    assert got == {1: 1.0, 2: 0.0, 3: None, 4: pytest.approx((1 / 3) / (1 / 3 + 1 / 6)), 5: None}
+
+
 def test_python_number_text(spark):
     values = [0.5, 1235.0, 1225.0, 123456.0, 0.0, 1e-5, 8e9]
     df = spark.createDataFrame([(v,) for v in values], "v double")
