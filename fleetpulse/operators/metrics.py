@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fleetpulse.fixed_values import THRESHOLD_GRID, TTF_BUCKETS
 from fleetpulse.functions.scalars import bucket_midpoint, f_beta, let, safe_div, ttf_bucket
 from fleetpulse.operators.ranking import exact_quantiles, running_totals
+from fleetpulse.session import materialize
 
 COUNTS = ["tp", "fp", "tn", "fn"]
 
@@ -105,17 +106,17 @@ def _pick(scores: DataFrame, by: list[str], order: Column) -> DataFrame:
 
 def curve_threshold(df: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
     """Distinct score with the highest F1 of ``score >= thr``; the median score when no row is failed."""
-    per_score = df.groupBy(*by, F.col(score).alias("thr")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
+    per_score = materialize(df.groupBy(*by, F.col(score).alias("thr")).agg(
+        F.count("*").alias("n"), F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")), "scores")
     cums = running_totals(per_score, by, "thr", ["pos", "neg"], descending=True)
-    totals = per_score.groupBy(*by).agg(F.sum("pos").alias("p_total"))
+    totals = materialize(per_score.groupBy(*by).agg(F.sum("pos").alias("p_total")), "score-totals")
     scored = cums.join(totals, by).select(
         *by, "thr", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"), (F.col("p_total") - F.col("cum_pos")).alias("fn"))
     rated = scored.withColumns({
         "precision": safe_div(F.col("tp"), F.col("tp") + F.col("fp")), "recall": safe_div(F.col("tp"), F.col("tp") + F.col("fn"))})
     rated = rated.withColumn("f1", f_beta(F.col("precision"), F.col("recall"), 1.0))
     best = _pick(rated.filter("precision + recall > 0"), by, F.struct(F.col("f1"), -F.col("thr")))
-    median = exact_quantiles(df, by, score, [0.5]).select(*by, F.col("quantile").alias("median"))
+    median = exact_quantiles(per_score, by, "thr", [0.5], "n").select(*by, F.col("quantile").alias("median"))
     return median.join(best, by, "left").select(
         *by, F.coalesce("thr", "median").alias("thr"), F.coalesce("f1", F.lit(0.0)).alias("f1"))
 

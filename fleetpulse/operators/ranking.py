@@ -8,9 +8,14 @@ plain window would give.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from fleetpulse.session import materialize
+
 HASH_DIGITS = 3  # 16**3 buckets per group, so a bucket holds about 1/4096 of it
+BUCKET_ROWS = 1_000_000  # rows that one task sorts, in the largest group at most
 
 
 def order_hash(keys: list[str], seed: int) -> Column:
@@ -57,25 +62,34 @@ def hash_rank(df: DataFrame, by: list[str], keys: list[str], seed: int, out: str
 
 
 def range_buckets(df: DataFrame, by: list[str], value: str, buckets: int, out: str = "_bucket") -> DataFrame:
-    """Number of cut points below the value; the cuts are a fixed-size sketch per group."""
+    """Number of cut points below the value; the cuts are a sketch of fixed size per group."""
+    count = buckets - 1
+    if count < 1:
+        return df.withColumn(out, F.lit(0))
     probs = [i / buckets for i in range(1, buckets)]
-    cuts = df.groupBy(*by).agg(F.percentile_approx(value, probs, 100 * buckets).alias("_cuts"))
+    # stored, so that the planner joins them by their size and does not move ``df`` to its group's task for a few cuts
+    cuts = materialize(df.groupBy(*by).agg(F.percentile_approx(value, probs, 100 * buckets).alias("_cuts")), "cuts")
     joined = df.join(cuts, by)
     # the cuts are sorted: halve the search instead of comparing with every cut
-    count = buckets - 1
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(count.bit_length()))])
     below = F.aggregate(steps, F.lit(0), lambda at, s: F.when(
         (at + s <= count) & (F.get("_cuts", at + s - 1) < F.col(value)), at + s).otherwise(at))
     return joined.withColumn(out, below).drop("_cuts")
 
 
+def _stored_buckets(df: DataFrame, by: list[str], value: str, buckets: int | None) -> DataFrame:
+    """``df`` written once and cut into as many buckets as its rows ask for (its count comes from the files' footers)."""
+    stored = materialize(df, "counted-values")
+    return range_buckets(stored, by, value, buckets or math.ceil(stored.count() / BUCKET_ROWS))
+
+
 def running_totals(df: DataFrame, by: list[str], value: str, sums: list[str], descending: bool = False,
-                   buckets: int = 64) -> DataFrame:
+                   buckets: int | None = None) -> DataFrame:
     """Adds ``cum_<c>`` for each summed column, up to and including the row, in value order.
 
     ``df`` holds one row per (group, value): collapse equal values before, which also removes skew.
     """
-    rows = range_buckets(df, by, value, buckets)
+    rows = _stored_buckets(df, by, value, buckets)
     step = F.desc if descending else F.asc
     ahead = Window.partitionBy(*by).orderBy(step("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
     totals = rows.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
@@ -87,7 +101,7 @@ def running_totals(df: DataFrame, by: list[str], value: str, sums: list[str], de
 
 
 def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], weight: str | None = None,
-                    buckets: int = 64) -> DataFrame:
+                    buckets: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation: columns by, ``q``, ``quantile``.
 
     Values are collapsed to counts first; ``weight`` is an integer multiplicity of the row. Bucket
@@ -98,7 +112,7 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float]
     keys = by or ["_g"]
     known = df.filter(F.col(value).isNotNull())
     grouped = known.groupBy(*by, F.col(value).alias("_v")) if by else known.groupBy(F.lit(0).alias("_g"), F.col(value).alias("_v"))
-    counts = range_buckets(grouped.agg(F.sum(w).cast("long").alias("_n")).filter("_n > 0"), keys, "_v", buckets)
+    counts = _stored_buckets(grouped.agg(F.sum(w).cast("long").alias("_n")).filter("_n > 0"), keys, "_v", buckets)
 
     group = Window.partitionBy(*keys)
     totals = counts.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_in")).select(

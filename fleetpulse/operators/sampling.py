@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fleetpulse.fixed_values import HEALTHY_PER_FAILED, SAMPLE_SEED
 from fleetpulse.functions.scalars import safe_div
 from fleetpulse.operators.ranking import hash_rank
+from fleetpulse.session import materialize
 
 
 def class_counts(df: DataFrame, by: list[str], label: str = "y") -> DataFrame:
@@ -29,7 +30,8 @@ def require_both_classes(counts: DataFrame) -> DataFrame:
 def take(df: DataFrame, by: list[str], keys: list[str], seed: int, failed: Column, healthy: Column, label: str = "y") -> DataFrame:
     """Keeps ``failed`` and ``healthy`` rows per group; both may use n_failed and n_healthy."""
     labelled = df.filter(F.col(label).isin(0, 1))
-    limited = labelled.join(class_counts(labelled, by, label), by)
+    # one row per group, stored, so that the planner joins it by its size
+    limited = labelled.join(materialize(class_counts(labelled, by, label), "class-counts"), by)
     quota = F.when(F.col(label) == 1, failed).otherwise(healthy).cast("long")
     ranked = hash_rank(limited.withColumn("_quota", quota), [*by, label], keys, seed, "_rank", F.col("_quota"))
     return ranked.select(*df.columns)

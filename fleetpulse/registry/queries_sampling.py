@@ -10,6 +10,7 @@ from fleetpulse.registry import fixtures as X
 from fleetpulse.registry.catalog import query
 from fleetpulse.registry.fixtures import r6
 from fleetpulse.registry.queries_data import WKEY, windows, wkey
+from fleetpulse.session import materialize
 from fleetpulse.sources import evaluation_io as E
 
 BY = ["model", "round"]
@@ -31,7 +32,8 @@ pick as (select * from ranked where rk <= {quota})"""
 
 
 def split_rows(spark, sf, split="test", rounds=(1,)):
-    return windows(spark, sf, False, rounds).filter(F.col("split") == split)
+    """Keys and labels of the windows, written once: a draw reads them several times."""
+    return materialize(windows(spark, sf, False, rounds).filter(F.col("split") == split), "lean-windows")
 
 
 def picked(df):
