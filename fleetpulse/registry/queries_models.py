@@ -11,7 +11,7 @@ from fleetpulse.registry import fixtures as X
 from fleetpulse.registry.catalog import query
 from fleetpulse.registry.fixtures import FEATURES, RULE, r6
 from fleetpulse.registry.queries_data import WKEY, windows, wkey
-from fleetpulse.registry.queries_features import marked, ranges, windows_of
+from fleetpulse.registry.queries_features import cells, cells_sql, marked, ranges, windows_of
 from fleetpulse.registry.queries_sampling import KEYS, h
 from fleetpulse.session import materialize
 
@@ -32,11 +32,9 @@ def mutated(spark, sf):
     return MU.mutation_vectors(rows, lines, FEATURES, ["model"]).withColumnRenamed("day", "end_day").drop(*FEATURES)
 
 
-@query("x7_mutation_features", f"with {MUT} select {WKEY}, {r6('list_sum(list_transform(v, lambda x: abs(x)))')} as total, {r6('v[1]')} as head, {r6('v[40]')} as tail from mut where split <> 'train'")
+@query("x7_mutation_features", f"with {MUT} select {WKEY}, {cells_sql('list_transform(v, lambda x: x + 3e-10)', 100000)} as cells from mut")
 def x7(spark, sf):
-    rows = mutated(spark, sf).filter("split <> 'train'")
-    return wkey(rows, F.round(S.total(F.transform("mutation", F.abs)), 6).alias("total"), F.round(F.get("mutation", F.lit(0)), 6).alias("head"),
-                F.round(F.get("mutation", F.lit(39)), 6).alias("tail"))
+    return wkey(mutated(spark, sf), cells(F.transform("mutation", lambda v: v + 3e-10), 100000).alias("cells"))
 
 
 def vote_sql() -> str:
@@ -155,9 +153,9 @@ def c6(spark, sf):
     return M.with_rates(M.confusion(pred, ["g"], "y", "pred_status")).drop("g").withColumn("classifier", F.lit("reconstruction"))
 
 
-@query("score_with_user_model", f"with {WIN} select {WKEY}, {r6('list_max(r_5) / (list_max(r_5) + 50.0)')} as score from win where split = 'test'")
+@query("score_with_user_model", f"with {WIN} select {WKEY}, {r6('list_max(r_5) / (list_max(r_5) + 50.0)')} as score from win")
 def user_model(spark, sf):
-    rows = windows(spark, sf).filter("split = 'test'").select("model", "disk_id", "end_day", F.array_max("r_5").alias("top"))
+    rows = windows(spark, sf).select("model", "disk_id", "end_day", F.array_max("r_5").alias("top"))
     scored = MD.score_with(rows, lambda batch: batch["top"] / (batch["top"] + 50.0))
     return wkey(scored, F.round("score", 6).alias("score"))
 

@@ -6,6 +6,8 @@ itself is registered without SQL.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from fleetpulse import scratch_dir
@@ -43,33 +45,45 @@ def attr_index():
 
 
 class Learned:
-    """Mean prototypes, matches and thresholds of both kinds, from one written table of patch rows."""
+    """Mean prototypes, matches and thresholds of both kinds, from one written table of patch rows; each is written when first used."""
 
     def __init__(self, spark, sf):
         rows, self.scaler = learn_scaler(spark, sf)
         self.rows = materialize(patch_rows(spark, sf, (rows, self.scaler)), "patch-rows")
         attr, cross = PT.attr_patches(self.rows, FEATURES), PT.cross_patches(self.rows, FEATURES)
         weight = F.col("n_healthy") + F.col("n_failed")
-        self.attr = PT.mean_prototypes(attr, "attr", attr_index(), weight, SHAPE.days)
+        self.attr = materialize(PT.mean_prototypes(attr, "attr", attr_index(), weight, SHAPE.days), "attr-prototypes")
         healthy = PT.mean_prototypes(cross, "cross", F.lit(0), F.col("n_healthy"), SHAPE.days * len(FEATURES))
         failed = PT.mean_prototypes(cross, "cross", F.lit(1), F.col("n_failed"), SHAPE.days * len(FEATURES))
-        self.cross = healthy.unionByName(failed)
-        self.attr_matched, self.cross_matched = PT.match(attr, self.attr), PT.match(cross, self.cross)
+        self.cross = materialize(healthy.unionByName(failed), "cross-prototypes")
+        self.attr_rows, self.cross_rows = attr, cross
+
+    @cached_property
+    def attr_matched(self):
+        return materialize(PT.match(self.attr_rows, self.attr), "attr-matched")
+
+    @cached_property
+    def cross_matched(self):
+        return materialize(PT.match(self.cross_rows, self.cross), "cross-matched")
 
-    def thresholds(self):
-        return PT.tune_threshold(self.attr_matched, ["model"]), PT.tune_threshold(self.cross_matched, ["model"])
+    @cached_property
+    def attr_threshold(self):
+        return materialize(PT.tune_threshold(self.attr_matched, ["model"]), "attr-threshold")
+
+    @cached_property
+    def cross_threshold(self):
+        return materialize(PT.tune_threshold(self.cross_matched, ["model"]), "cross-threshold")
 
     def windows(self, keep_days=True):
-        at, ct = self.thresholds()
-        assigned = PT.assign_rows(self.rows, FEATURES, self.attr, at, self.cross, ct)
+        assigned = PT.assign_rows(self.rows, FEATURES, self.attr, self.attr_threshold, self.cross, self.cross_threshold)
         return PT.window_assignments(assigned, FEATURES, SHAPE, keep_days)
 
     def attr_means(self):
-        reps = V.representatives(self.attr_matched, self.thresholds()[0])
+        reps = V.representatives(self.attr_matched, self.attr_threshold)
         return V.mean_series(reps, SHAPE.days)
 
     def cross_means(self):
-        reps = V.representatives(self.cross_matched, self.thresholds()[1])
+        reps = V.representatives(self.cross_matched, self.cross_threshold)
         return V.mean_series(reps, SHAPE.days * len(FEATURES))
 
     def attr_vocab(self):
@@ -149,8 +163,8 @@ def a11(spark, sf):
 
 @query("l5_tune_threshold", f"with {TUNED} select 'attr' as kind, model, {r6('threshold')} as threshold from at_t union all select 'cross', model, {r6('threshold')} from ct_t")
 def l5(spark, sf):
-    at, ct = Learned(spark, sf).thresholds()
-    both = at.withColumn("kind", F.lit("attr")).unionByName(ct.withColumn("kind", F.lit("cross")))
+    learned = Learned(spark, sf)
+    both = learned.attr_threshold.withColumn("kind", F.lit("attr")).unionByName(learned.cross_threshold.withColumn("kind", F.lit("cross")))
     return both.select("kind", "model", F.round("threshold", 6).alias("threshold"))
 
 
@@ -159,10 +173,17 @@ asg as (select model, disk_id, end_day, split, y, 'attr' as kind, attr, p, proto
   union all select model, disk_id, end_day, split, y, 'cross', null, p, proto, dist > threshold from cm join ct_t using (model))"""
 
 
-@query("l6_assign_and_novelty", f"with {ASSIGNED} select {WKEY}, kind, attr, p, proto, cast(novel as int) as novel from asg where split = 'test'")
+@query("l6_assign_and_novelty", f"with {ASSIGNED} select {WKEY}, kind, attr, string_agg(p || ':' || proto || case when novel then '!' else '' end, ' ' order by p) as patches from asg group by model, disk_id, end_day, kind, attr")
 def l6(spark, sf):
-    wins = Learned(spark, sf).windows(keep_days=False).filter("split = 'test'")
-    return wkey(PT.long_assignments(wins, FEATURES), "kind", "attr", F.col("p").cast("int").alias("p"), "proto", F.col("novel").cast("int").alias("novel"))
+    """One row per window and attribute: its patches as ``position:prototype``, novel ones marked."""
+    def shown(c: str):
+        return F.array_join(F.transform(f"p_{c}", lambda a, p: F.concat(
+            p.cast("string"), F.lit(":"), a["proto"].cast("string"), F.when(a["novel"], "!").otherwise(""))), " ")
+
+    rows = F.array(*[F.struct(F.lit("cross" if c == "cross" else "attr").alias("kind"), F.lit(None if c == "cross" else c).cast("string").alias("attr"),
+                              shown(c).alias("patches")) for c in [*FEATURES, "cross"]])
+    wins = Learned(spark, sf).windows(keep_days=False)
+    return wkey(wins.select("model", "disk_id", "end_day", F.explode(rows).alias("r")), "r.kind", "r.attr", "r.patches")
 
 
 def coverage_rows(spark, sf):
@@ -230,26 +251,22 @@ def phrase_case(phrases: dict[str, str], default: str) -> str:
     return "case label " + " ".join(f"when '{k}' then '{v}'" for k, v in phrases.items()) + f" else '{default}' end"
 
 
-SHAPES = X.WINDOWS + ", shp as (select model, disk_id, end_day, 'w10' as part, r_5[21:30] as xs from win where split = 'test' union all select model, disk_id, end_day, 'w15', list_transform(r_241[16:30], lambda x: x / 2000) from win where split = 'test' union all select model, disk_id, end_day, 'w5', r_197[26:30] from win where split = 'test')"
+SHAPES = X.WINDOWS + ", shp as (" + " union all ".join(f"select model, disk_id, end_day, '{c}' as attr, {c} as xs from win" for c in FEATURES) + ")"
 
 
-@query("l8_f20_series_label", f"with {SHAPES},{shape_sql('shp', 'lab2')} select {WKEY}, part, label, {phrase_case(ATTR_PHRASES, 'unclassified pattern')} as phrase from lab2")
+@query("l8_f20_series_label", f"with {SHAPES},{shape_sql('shp', 'lab2')} select {WKEY}, attr, label, {phrase_case(ATTR_PHRASES, 'unclassified pattern')} as phrase from lab2")
 def l8(spark, sf):
     from fleetpulse.functions.scalars import phrase_of
     from fleetpulse.registry.queries_data import windows
 
-    test = windows(spark, sf).filter("split = 'test'")
-    parts = F.array(F.struct(F.lit("w10").alias("part"), F.slice("r_5", 21, 10).alias("xs")),
-                    F.struct(F.lit("w15").alias("part"), F.transform(F.slice("r_241", 16, 15), lambda x: x / 2000).alias("xs")),
-                    F.struct(F.lit("w5").alias("part"), F.slice("r_197", 26, 5).alias("xs")))
-    rows = test.select("model", "disk_id", "end_day", F.explode(parts).alias("i")).select("model", "disk_id", "end_day", "i.*")
-    named = rows.withColumn("label", T.series_label(F.col("xs")))
-    return wkey(named, "part", "label", phrase_of(F.col("label"), ATTR_PHRASES, "unclassified pattern").alias("phrase"))
+    parts = F.array(*[F.struct(F.lit(c).alias("attr"), T.series_label(F.col(c)).alias("label")) for c in FEATURES])
+    rows = windows(spark, sf).select("model", "disk_id", "end_day", F.explode(parts).alias("i"))
+    return wkey(rows, "i.attr", "i.label", phrase_of(F.col("i.label"), ATTR_PHRASES, "unclassified pattern").alias("phrase"))
 
 
 ROLE_CASE = "case when label in ('ZERO_OR_NEAR_ZERO', 'LOW_STABLE', 'HIGH_STABLE', 'UNUSED_PROTO') then 'stable' when label in ('SLOW_RISE', 'SLOW_DECAY', 'FAST_RISE', 'FAST_DECAY', 'SATURATING_RISE', 'SATURATING_DECAY', 'DRIFT_WITH_NOISE') then 'trend' when label = 'NOISY_FLUCTUATIONS' then 'noisy' else 'spiky' end"
 CROSS_SERIES = X.WINDOWS + ", cser as (" + " union all ".join(
-    f"select model, disk_id, end_day, '{c}' as attr, '{GROUPS[c]}' as grp, {c}[16:30] as xs from win where split = 'test'" for c in FEATURES) + ")"
+    f"select model, disk_id, end_day, '{c}' as attr, '{GROUPS[c]}' as grp, {c} as xs from win" for c in FEATURES) + ")"
 
 
 @query("f19_series_role", f"with {CROSS_SERIES},{shape_sql('cser', 'lab2')} select label, {ROLE_CASE} as role, count(*) as n from lab2 group by 1, 2")
@@ -263,9 +280,7 @@ def f19(spark, sf):
 def cross_series(spark, sf):
     from fleetpulse.registry.queries_data import windows
 
-    test = windows(spark, sf).filter("split = 'test'")
-    cuts = F.array(*[F.slice(c, 16, 15) for c in FEATURES])
-    return test.select("model", "disk_id", "end_day", F.transform(cuts, T.series_label).alias("labels"))
+    return windows(spark, sf).select("model", "disk_id", "end_day", F.transform(F.array(*FEATURES), T.series_label).alias("labels"))
 
 
 CROSS_RULES = f"""
@@ -307,10 +322,10 @@ def l10(spark, sf):
     return v.select("model", "kind", "k", "label", "phrase", "num_patches", F.round("stats.level_mean", 6).alias("level_mean"), F.round("stats.delta", 6).alias("delta"))
 
 
-@query("j7_assignment_phrases", f"with {VOCAB}, asg as (select a.model, a.disk_id, a.end_day, a.split, a.attr, a.p, a.proto from am a) select a.model, a.attr, a.proto, coalesce({phrase_case(ATTR_PHRASES, 'unclassified pattern')}, 'unclassified pattern') as phrase, count(*) as n from asg a left join vocab v on v.model = a.model and v.k = a.proto where split = 'test' group by 1, 2, 3, 4")
+@query("j7_assignment_phrases", f"with {VOCAB}, asg as (select a.model, a.disk_id, a.end_day, a.split, a.attr, a.p, a.proto from am a) select a.model, a.attr, a.proto, coalesce({phrase_case(ATTR_PHRASES, 'unclassified pattern')}, 'unclassified pattern') as phrase, count(*) as n from asg a left join vocab v on v.model = a.model and v.k = a.proto group by 1, 2, 3, 4")
 def j7(spark, sf):
     learned = Learned(spark, sf)
-    flat = PT.long_assignments(learned.windows(keep_days=False).filter("split = 'test'"), FEATURES).filter("kind = 'attr' and proto >= 0")
+    flat = PT.long_assignments(learned.windows(keep_days=False), FEATURES).filter("kind = 'attr' and proto >= 0")
     maps = V.phrase_maps(learned.attr_vocab())
     named = flat.join(F.broadcast(maps), "model").withColumn(
         "phrase", F.coalesce(F.try_element_at("phrases", F.col("proto")), F.lit("unclassified pattern")))
@@ -325,7 +340,7 @@ def l11(spark, sf):
     path = scratch_dir(spark, "vocab-json")
     E.vocabulary_json(vocab, ["model"]).write.json(path)
     back = E.parse_vocabulary(spark.read.schema("model string, document string").json(path), ["model"])
-    cuts = learned.thresholds()[0].withColumn("kind", F.lit("attr"))
+    cuts = learned.attr_threshold.withColumn("kind", F.lit("attr"))
     flat = V.flat_dictionary(back, cuts, SHAPE.days)
     return flat.select("model", "kind", "cluster_id", "label", "phrase", "support_count", F.round("distance_cutoff", 6).alias("distance_cutoff"), "patch_len")
 
@@ -334,7 +349,7 @@ def l11(spark, sf):
 def k4(spark, sf):
     learned = Learned(spark, sf)
     root = scratch_dir(spark, "learned")
-    MS.save_learned(learned.attr.join(learned.thresholds()[0], "model"), root, "prototypes")
+    MS.save_learned(learned.attr.join(learned.attr_threshold, "model"), root, "prototypes")
     back = MS.load_learned(spark, root, "prototypes")
     sums = F.aggregate("center", F.lit(0.0), lambda a, x: a + x)
     return back.groupBy("model").agg(F.round(F.sum(sums), 6).alias("total"), F.count("*").alias("n"), F.round(F.max("threshold"), 6).alias("threshold"))
@@ -357,7 +372,7 @@ def o3(spark, sf):
 @query("o4_l12_example_patches", f"with {MEANS}, top as (select model, k, num_patches, row_number() over (partition by model order by num_patches desc, k) as rk from amean) select model, k, least(20, count(distinct (disk_id, end_day - (25 - 5 * p), attr))) as samples, {r6('any_value(xs[1])')} as mean_start from arep join top on top.model = arep.model and top.k = arep.proto join amean using (model, k) where rk <= 6 group by 1, 2".replace("count(distinct (disk_id, end_day - (25 - 5 * p), attr))", "count(*)").replace("select model, k, least", "select top.model, top.k, least").replace("join amean using (model, k)", "join amean on amean.model = top.model and amean.k = top.k"))
 def o4(spark, sf):
     learned = Learned(spark, sf)
-    reps = V.representatives(learned.attr_matched, learned.thresholds()[0])
+    reps = V.representatives(learned.attr_matched, learned.attr_threshold)
     ex = V.example_patches(reps, learned.attr_means())
     return ex.groupBy("model", "k").agg(F.count_if(F.col("part") == "sample").alias("samples"),
                                         F.round(F.max(F.when(F.col("part") == "mean", F.get("raw", F.lit(0)))), 6).alias("mean_start"))
@@ -366,7 +381,7 @@ def o4(spark, sf):
 @query("r6_l7_capped_representatives", f"with {TUNED} select model, proto as k, least(1000, count(*)) as n from am join at_t using (model) where split = 'train' and dist <= threshold group by 1, 2")
 def r6l7(spark, sf):
     learned = Learned(spark, sf)
-    reps = V.representatives(learned.attr_matched, learned.thresholds()[0], cap=1000)
+    reps = V.representatives(learned.attr_matched, learned.attr_threshold, cap=1000)
     return reps.groupBy("model", F.col("proto").alias("k")).agg(F.count("*").alias("n"))
 
 

@@ -167,21 +167,22 @@ def c11(spark, sf):
 UP = "list_transform(range(1, 31), lambda i: greatest(case when i >= 24 then list_max({c}) + greatest(1.0, abs(list_max({c})) * 0.3) * (1.0 + (i - 24) / 6) else {c}[i] end, 0.0))"
 
 
-@query("b1_raise_risk", f"with {WIN} select {WKEY}, {r6('list_sum(up)')} as total, {r6('up[24]')} as first_step, {r6('up[30]')} as last_step from (select *, {UP.format(c='r_5')} as up from win where split = 'test')")
+@query("b1_raise_risk", f"with {WIN} select {WKEY}, {', '.join(f'{r6(f"list_sum(up_{c})")} as {c}_total, {r6(f"up_{c}[24]")} as {c}_first_step, {r6(f"up_{c}[30]")} as {c}_last_step' for c in RISK_ATTRS)} from (select *, {', '.join(UP.format(c=c) + f' as up_{c}' for c in RISK_ATTRS)} from win)")
 def b1(spark, sf):
     from fleetpulse.functions.series import total
 
-    test = windows(spark, sf).filter("split = 'test'").withColumn("up", B.raise_risk(F.col("r_5")))
-    return wkey(test, F.round(total(F.col("up")), 6).alias("total"), F.round(F.get("up", F.lit(23)), 6).alias("first_step"),
-                F.round(F.get("up", F.lit(29)), 6).alias("last_step"))
+    rows = windows(spark, sf).withColumns({f"up_{c}": B.raise_risk(F.col(c)) for c in RISK_ATTRS})
+    return wkey(rows, *[made for c in RISK_ATTRS for made in (
+        F.round(total(F.col(f"up_{c}")), 6).alias(f"{c}_total"), F.round(F.get(f"up_{c}", F.lit(23)), 6).alias(f"{c}_first_step"),
+        F.round(F.get(f"up_{c}", F.lit(29)), 6).alias(f"{c}_last_step"))])
 
 
-@query("b2_lower_risk", f"with {WIN} select {WKEY}, list_min(r_241) as lowest, 30 * list_min(r_241) as total from win where split = 'test'")
+@query("b2_lower_risk", f"with {WIN} select {WKEY}, {', '.join(f'greatest(list_min({c}), 0.0) as {c}_lowest, 30 * greatest(list_min({c}), 0.0) as {c}_total' for c in FEATURES)} from win")
 def b2(spark, sf):
     from fleetpulse.functions.series import total
 
-    test = windows(spark, sf).filter("split = 'test'").withColumn("down", B.lower_risk(F.col("r_241")))
-    return wkey(test, F.get("down", F.lit(0)).alias("lowest"), total(F.col("down")).alias("total"))
+    rows = windows(spark, sf).withColumns({f"down_{c}": B.lower_risk(F.col(c)) for c in FEATURES})
+    return wkey(rows, *[made for c in FEATURES for made in (F.get(f"down_{c}", F.lit(0)).alias(f"{c}_lowest"), total(F.col(f"down_{c}")).alias(f"{c}_total"))])
 
 
 def _variant(attr: str, direction: str) -> str:
@@ -201,15 +202,19 @@ def b3(spark, sf):
     return wkey(rows, "attr", "direction", *[F.round(total(F.col(c)), 6).alias(c) for c in FEATURES])
 
 
-def _novel_any(c: str) -> str:
-    def d(p: int, k: int) -> str:
-        return "sqrt(" + " + ".join(f"(c{k}[{i}] - ({c}[{p * 5 + i}] - m_{c}) / s_{c}) * (c{k}[{i}] - ({c}[{p * 5 + i}] - m_{c}) / s_{c})" for i in range(1, 6)) + ")"
-
-    return "(" + " or ".join(f"least({', '.join(d(p, k) for k in range(4))}) > threshold" for p in range(6)) + ")"
+def _center_distance(k: int) -> str:
+    return "sqrt(" + " + ".join(f"(c{k}[{i}] - z[{i}]) * (c{k}[{i}] - z[{i}])" for i in range(1, 6)) + ")"
 
 
+VARIANT_PATCHES = " union all ".join(
+    f"select model, disk_id, end_day, attr, direction, '{c}' as watched, list_transform({c}[p * 5 + 1 : p * 5 + 5], lambda v: (v - m_{c}) / s_{c}) as z "
+    "from vars join srow using (model), (select unnest(range(0, 6)) as p)" for c in RISK_ATTRS)
 VERDICTS = TUNED + f""", {VARIANTS},
-flagged as (select v.*, {', '.join(f'{_novel_any(c)} as n_{c}' for c in RISK_ATTRS)} from vars v join acent using (model) join at_t using (model) join srow using (model)),
+vz as ({VARIANT_PATCHES}),
+vd as (select vz.* exclude (z), least({', '.join(_center_distance(k) for k in range(4))}) as dist from vz join acent using (model)),
+vn as (select model, disk_id, end_day, attr, direction, {', '.join(f"bool_or(dist > threshold) filter (where watched = '{c}') as n_{c}" for c in RISK_ATTRS)}
+  from vd join at_t using (model) group by 1, 2, 3, 4, 5),
+flagged as (select * from vars join vn using (model, disk_id, end_day, attr, direction)),
 {TRIAGE_RULES},
 ranked as (select *, case when concern_level like 'SERIOUS%' then 2 when concern_level like 'LOW%' then 0 else 1 end as lvl from verdict),
 scored as (select r.*, case when direction = 'risk_up' then case when coalesce(driver, '') = attr then 1 else 0 end end as attr_mentioned,
@@ -221,7 +226,7 @@ def scored_variants(spark, sf):
     learned = Learned(spark, sf)
     wins = learned.windows().filter("split = 'test'")
     scaler = SC.scaler_row(learned.scaler, FEATURES, ["model"])
-    changed = B.reassign(B.variants(wins, FEATURES), FEATURES, scaler, learned.attr, learned.thresholds()[0], SHAPE)
+    changed = B.reassign(B.variants(wins, FEATURES), FEATURES, scaler, learned.attr, learned.attr_threshold, SHAPE)
     return B.score_variants(B.explain(changed, FEATURES), ["model", "disk_id", "end_day"])
 
 
