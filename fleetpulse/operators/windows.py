@@ -37,6 +37,11 @@ def first_known(c: str) -> Column:
         by_device().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
 
 
+def one_row_per_day(df: DataFrame, features: list[str]) -> DataFrame:
+    """(model, disk_id, day, features): of several reports of a day the largest known value of each feature counts."""
+    return df.groupBy(*KEYS, "day").agg(*[F.max(c).alias(c) for c in features])
+
+
 def fill_within_device(df: DataFrame, features: list[str]) -> DataFrame:
     clean = df.withColumns({c: finite_or_null(F.col(c)) for c in features})
     return clean.withColumns({c: F.coalesce(forward_fill(c), first_known(c)) for c in features})

@@ -6,18 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fleetpulse.fixed_values import HEALTHY_PER_FAILED, SAMPLE_SEED, SKIPPED_DAY_FILES, WINDOW_DAYS
 from fleetpulse.operators.sampling import class_counts, require_both_classes, sampled_index, sampling_summary
-from fleetpulse.operators.windows import SplitRule, build_windows
+from fleetpulse.operators.windows import SplitRule, build_windows, impute, one_row_per_day
 from fleetpulse.sources.daily_logs import project_model, read_daily_logs, with_day
-from fleetpulse.sources.window_store import read_split, write_windows
+from fleetpulse.sources.window_store import read_split, read_store, write_windows
 
 
 def store_windows(spark: SparkSession, log_dirs: list[str], tags: DataFrame, model: str, path: str,
                   rule: SplitRule = SplitRule(), size: int = WINDOW_DAYS) -> DataFrame:
-    """Scan, project, impute, window, label, split and store one device model; returns the stored windows."""
+    """Scan, project, impute, window, label, split and store one device model; returns the stored windows with their arrays."""
     daily = with_day(project_model(read_daily_logs(spark, log_dirs, skipped=SKIPPED_DAY_FILES), model))
     features = [c for c in daily.columns if c.startswith("r_")]
-    write_windows(build_windows(daily, tags, features, rule, size), path)
-    return read_split(spark, path, model)
+    daily = one_row_per_day(daily, features)  # windows are known by device and last day
+    write_windows(impute(daily, features), f"{path}/daily", ["model"])
+    stored = read_split(spark, f"{path}/daily", model)
+    write_windows(build_windows(stored, tags, features, rule, size, keep_arrays=False), f"{path}/keys")
+    return read_store(spark, path, features, size, model)
 
 
 def evaluation_index(windows: DataFrame, ratio: float = HEALTHY_PER_FAILED, seed: int = SAMPLE_SEED) -> tuple[DataFrame, DataFrame]:

@@ -298,12 +298,20 @@ def s10(spark, sf):
     return WS.summarize_split(windows(spark, sf), FEATURES)
 
 
-@query("k2_s4_window_store", f"with {WIN} select model, y, count(*) as n, sum(list_sum(r_241)) as total from win where split = 'test' group by 1, 2")
+@query("k2_s4_window_store", f"with {X.windows_sql(rounds=(1, 2, 3))} select model, round, split, y, count(*) as n, {', '.join(f'sum(list_sum({c})) as {c}' for c in FEATURES)}, sum(r_241[1]) as first_days from win group by 1, 2, 3, 4")
 def k2(spark, sf):
     path = scratch_dir(spark, "windows")
-    WS.write_windows(windows(spark, sf), path)
-    test = WS.read_split(spark, path, round_id=1, split="test")
-    return test.groupBy("model", "y").agg(F.count("*").alias("n"), F.sum(S.total(F.col("r_241"))).alias("total"))
+    WS.write_store(X.imputed(spark, sf), windows(spark, sf, False, (1, 2, 3)), path)
+    wins = WS.read_store(spark, path, FEATURES)
+    return wins.groupBy("model", "round", "split", "y").agg(
+        F.count("*").alias("n"), *[F.sum(S.total(F.col(c))).alias(c) for c in FEATURES], F.sum(S.first(F.col("r_241"))).alias("first_days"))
+
+
+@query("s4_read_split", f"with {WIN} select {WKEY}, y, ttf, {', '.join(f'list_sum({c}) as {c}' for c in FEATURES)} from win where model = 'MB1' and split = 'test'")
+def s4(spark, sf):
+    path = scratch_dir(spark, "windows")
+    WS.write_store(X.imputed(spark, sf), windows(spark, sf, False, (1, 2, 3)), path)
+    return wkey(WS.read_store(spark, path, FEATURES, model="MB1", round_id=1, split="test"), "y", "ttf", *[S.total(F.col(c)).alias(c) for c in FEATURES])
 
 
 @query("k7_missing_partitions", f"""with {ALL_ROUNDS}, asked as (select distinct model, round, split from win)

@@ -1,21 +1,44 @@
-"""Windows as a partitioned table: write, read, validate, and find what is missing."""
+"""Windows as partitioned tables: write, read, validate, and find what is missing.
+
+A store holds every daily row once and one short key row per window, round and split. The arrays, which repeat each day
+``size`` times in every round, are made when a split is read.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fleetpulse.fixed_values import LABEL_COLUMNS
+from fleetpulse.fixed_values import LABEL_COLUMNS, WINDOW_DAYS
+from fleetpulse.operators.windows import KEYS, row_windows
 
 PARTITIONS = ["model", "round", "split"]
 
 
-def write_windows(windows: DataFrame, path: str) -> None:
+def write_windows(windows: DataFrame, path: str, partitions: list[str] = PARTITIONS) -> None:
     """Rewrites only the partitions present in ``windows``.
 
     Rows of one partition are spread over as many files as their size asks for, so a large partition does
     not end up in one task and a small one not in many files.
     """
-    (windows.hint("rebalance", *PARTITIONS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path))
+    (windows.hint("rebalance", *partitions).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path))
+
+
+def write_store(daily: DataFrame, keys: DataFrame, path: str) -> None:
+    """Daily rows without gaps to ``daily``, window keys (with labels, without arrays) to ``keys``."""
+    write_windows(daily, f"{path}/daily", ["model"])
+    write_windows(keys, f"{path}/keys")
+
+
+def read_store(spark: SparkSession, path: str, features: list[str], size: int = WINDOW_DAYS, model: str | None = None,
+               round_id: int | None = None, split: str | None = None) -> DataFrame:
+    """Windows of a store with their arrays. Keys are pruned by partition and meet the daily rows before any array is made."""
+    daily = read_split(spark, f"{path}/daily", model).select(*KEYS, "day", *features)
+    keys = read_split(spark, f"{path}/keys", model, round_id, split)
+    facts = [c for c in keys.columns if c not in (*KEYS, "end_day")]
+    # a window has at most one key per round
+    places = keys.groupBy(*KEYS, F.col("end_day").alias("day")).agg(F.collect_list(F.struct(*facts)).alias("_w"))
+    windows = row_windows(daily.join(places, [*KEYS, "day"], "left"), features, size).filter(F.col("_w").isNotNull())
+    return windows.select(*[c for c in windows.columns if c != "_w"], F.inline("_w"))
 
 
 def read_split(spark: SparkSession, path: str, model: str | None = None, round_id: int | None = None,

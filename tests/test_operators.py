@@ -156,6 +156,12 @@ def test_neighbour_vote_matches_brute_force(spark):
         assert math.isclose(got[i], want, rel_tol=1e-9), i
 
 
+def test_one_row_per_day(spark):
+    df = spark.createDataFrame([("a", 1, "d1", 1.0, None), ("a", 1, "d1", 3.0, None), ("a", 1, "d1", None, 2.0), ("a", 1, "d2", None, None), ("a", None, "d1", 5.0, None)],
+                               "model string, disk_id int, day string, u double, v double")
+    assert {tuple(r) for r in W.one_row_per_day(df, ["u", "v"]).collect()} == {("a", 1, "d1", 3.0, 2.0), ("a", 1, "d2", None, None), ("a", None, "d1", 5.0, None)}
+
+
 def test_neighbour_vote_by_group(spark):
     train = spark.createDataFrame([("a", [0.0, 0.0], 1), ("a", [9.0, 0.0], 0), ("b", [0.0, 1.0], 0)], "g string, v array<double>, y int")
     asked = spark.createDataFrame([(1, "a", [0.0, 0.0]), (2, "b", [0.0, 0.0]), (3, "c", [0.0, 0.0]), (4, "a", [3.0, 0.0]), (5, None, [0.0, 0.0])], "id int, g string, v array<double>")
