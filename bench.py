@@ -16,7 +16,7 @@ HEADLINE = [
     "a29_window_counts", "w1_w2_a5_impute", "w3_row_windows", "a5_median_fallback", "s10_split_summary",
     "r2_w5_sampled_index", "r5_balanced_ratio", "x1_frame_statistics", "x5_sequence", "c10_window_phrase", "a6_train_scaler",
     "m1_best_threshold", "m3_curve_threshold", "a14_sum_rounds", "m6_o6_reconstruct",
-    "l6_assign_and_novelty", "j4_embedding_prototypes", "j11_nearest_neighbours",
+    "l6_assign_and_novelty", "j4_embedding_prototypes", "j11_nearest_neighbours", "c7_neighbour_vote", "k2_s4_window_store",
     "m11_u7_parameter_sweep", "s1_scan_daily_logs", "ttf_table_shared_indices", "status_table_all_rounds",
 ]
 
