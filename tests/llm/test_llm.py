@@ -322,6 +322,17 @@ def test_pitman_yor_scores(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_pitman_yor_hears_the_word_before(spark):
+    random.seed(5)
+    ring = [f"w{k}" for k in range(40)]
+    runs = [[ring[(at + k) % 40] for k in range(30)] for at in (random.randrange(40) for _ in range(60))]
+    rows = [(k, " ".join(run)) for k, run in enumerate(runs)]
+    rows += [(100 + k, " ".join(run)) for k, run in enumerate(runs[:20])] + [(200 + k, " ".join(random.sample(run, 30))) for k, run in enumerate(runs[:20])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in hpy_score(frame, F.col("doc_id") < 100).collect()}
+    assert all(got[100 + k].score > got[200 + k].score + 10 and got[100 + k].base_score == pytest.approx(got[200 + k].base_score) for k in range(20))
+
+
 def test_pitman_yor_parts(spark):
     words = [b"the", b"then", b"", b"a"]
     keys, _ = spell(words, 2)
