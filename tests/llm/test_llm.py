@@ -14,7 +14,7 @@ from compare import compare, duck
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fleetpulse.llm import jaccard_join, queries
+from fleetpulse.llm import hpy_lm, jaccard_join, queries
 from fleetpulse.llm.bpe import WordBpe, bpe_encode
 from fleetpulse.llm.components import connected_components
 from fleetpulse.llm.exact_dedup import drop_exact_copies, exact_dedup
@@ -333,6 +333,15 @@ def test_pitman_yor_hears_the_word_before(spark):
     assert all(got[100 + k].score > got[200 + k].score + 10 and got[100 + k].base_score == pytest.approx(got[200 + k].base_score) for k in range(20))
 
 
+def test_speller_keeps_its_order(spark, monkeypatch):
+    random.seed(6)
+    orders, plain = [], hpy_lm.learn_speller
+    monkeypatch.setattr(hpy_lm, "learn_speller", lambda grams, order, *more: orders.append(order) or plain(grams, order, *more))
+    words = ["".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=600)) for _ in range(1000)]  # over 500,000 n-grams
+    frame = spark.createDataFrame([(k, w) for k, w in enumerate(words)], "doc_id long, text string")
+    assert hpy_score(frame, F.lit(True), rounds=0).count() == 1000 and orders == [4]
+
+
 def test_pitman_yor_parts(spark):
     words = [b"the", b"then", b"", b"a"]
     keys, _ = spell(words, 2)
