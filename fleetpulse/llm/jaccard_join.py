@@ -63,8 +63,10 @@ def signatures(batches: Iterator[pa.RecordBatch], words: int, bands: int, rows:
         )
 
 
-def compare(texts: list[str], sides: np.ndarray, threshold: float, shingler: Shingler) -> np.ndarray:
-    """Links between texts of different sides (or between all, if there is one side) as a symmetric matrix."""
+def compare(texts: list[str], sides: np.ndarray, across: bool, threshold: float, shingler: Shingler) -> np.ndarray:
+    """Links between texts of different sides (or between all, unless ``across``) as a symmetric matrix."""
+    if across and sides.min() == sides.max():  # the other block is empty
+        return np.zeros((len(texts), len(texts)), bool)
     sets = [shingler.set(t) for t in texts]
     n = np.array([len(s) for s in sets], np.int64)
     owner = np.repeat(np.arange(len(sets)), n)
@@ -78,7 +80,7 @@ def compare(texts: list[str], sides: np.ndarray, threshold: float, shingler: Shi
     common = np.array([table[column[ends[k] : ends[k + 1]]].sum(axis=0, dtype=np.int64) for k in range(len(sets))])
     links = common / (n[:, None] + n[None, :] - common) >= threshold
     np.fill_diagonal(links, False)
-    if sides.min() != sides.max():
+    if across:
         links &= sides[:, None] != sides[None, :]
     return links
 
@@ -105,7 +107,8 @@ def verify(batches: Iterator[pa.RecordBatch], words: int, threshold: float) -> I
     shingler = Shingler(words)
 
     def done(group: list[dict]) -> pa.RecordBatch:
-        links = compare([r["text"] for r in group], np.array([r["side"] for r in group]), threshold, shingler)
+        across = group[0]["low"] != group[0]["high"]
+        links = compare([r["text"] for r in group], np.array([r["side"] for r in group]), across, threshold, shingler)
         ids, copies = [r["tid"] for r in group], np.array([r["copies"] for r in group])
         number, linked = links.sum(axis=1).tolist(), (links @ copies).tolist()
         rows = [(ids[k], None, number[k], linked[k]) for k in range(len(ids)) if number[k]]

@@ -237,6 +237,17 @@ def test_near_copies_in_blocks(spark, monkeypatch):
     assert sorted(r.doc_id for r in odd.collect()) == [1, 3, 4, 9, 10]
 
 
+def test_links_are_counted_once_beside_empty_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_CHARS", 500)
+    random.seed(8)
+    rows = []
+    for group in range(20):  # three near copies of about 800 characters are five blocks
+        base = [f"w{random.randint(0, 10**6)}" for _ in range(110)]
+        rows += [(3 * group + k, " ".join([*base, f"end{k}"])) for k in range(3)]
+    got = jaccard_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 60 and {(r.n_text_links, r.n_links, r.class_id == r.id - r.id % 3) for r in got} == {(2, 2, True)}
+
+
 def test_bands_reach_the_recall():
     for threshold, recall in ((0.8, 0.9999), (0.5, 0.99)):
         bands, rows = bands_for(threshold, recall, 200)
