@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fleetpulse.llm.bpe import bpe_encode
 from fleetpulse.llm.common import scratch_dir
@@ -38,9 +39,15 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, number of tokens and token ids."""
-    done = bpe_encode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path(VOCABULARY))
-    return done.select("doc_id", "lang", "source", "n_tokens", "ids_text")
+    """doc_id, lang, source, number of tokens, token ids and the position in the mix: reading by it gives the order of the stage before.
+
+    A position is made of the numbers of the file (part and count) and of the row in it, as files are not read in the order of their parts.
+    """
+    number = [F.regexp_extract("_metadata.file_name", r"part-(\d+)-.*?(?:-c(\d+))?(?:\.|$)", k) for k in (1, 2)]
+    part, count = number[0].cast("bigint"), F.coalesce(F.nullif(number[1], F.lit("")).cast("bigint"), F.lit(0))
+    position = F.shiftleft(part * 1000 + count, 33) + F.col("_metadata.row_index")
+    done = bpe_encode(docs.select("doc_id", "lang", "source", "text", position.alias("position")), public_tokenizers.path(VOCABULARY))
+    return done.select("doc_id", "lang", "source", "n_tokens", "ids_text", "position")
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("source_mix", source_mix), ("bpe", bpe)]

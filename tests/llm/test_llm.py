@@ -405,3 +405,20 @@ def test_pipeline(spark):
     assert set(got) == set(label.values())
     for k, ids in got.items():
         assert ids == " ".join(map(str, library.encode(texts[k], add_special_tokens=False).ids))
+
+
+def test_pipeline_keeps_the_mix_over_files(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    held = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        corpus_pipeline.source_mix(spark, docs, SMALL).write.parquet(str(tmp_path / "mix"))
+    finally:
+        spark.conf.set(key, held)
+    assert len(list((tmp_path / "mix").glob("part-*"))) > 1
+    rows = corpus_pipeline.bpe(spark, spark.read.parquet(str(tmp_path / "mix")), SMALL).collect()
+    slot = {r.doc_id: r.slot for r in mix_sources(docs).collect()}
+    read = [slot[r.doc_id] for r in sorted(rows, key=lambda r: r.position)]
+    assert len({r.position for r in rows}) == len(rows) == docs.count() and read == sorted(read) and len(set(read)) > 1
