@@ -3,9 +3,10 @@
 Each source's documents, in hashed order, are cut into blocks of ``block_bytes``. With weight w, block i of a source is
 released at slot floor(i / w) and due at slot ceil((i + 1) / w); in every slot the released block with the earliest
 deadline goes next. As the weights add up to one, no deadline is missed, so after any number of slots every source is
-less than one block away from its share. Weights are whole numbers of units, so the schedule repeats after as many slots
-as there are units: it is drawn up once, as one SQL expression over the sources, and every block finds its slot from its
-own number, whatever the number of blocks. When a source has run out, its slots stay empty and the others go on.
+less than one block away from its share. Weights are whole numbers of units, so many that rounding
+moves no source by a block before the first one has run out. The schedule repeats after as many slots
+as there are units: it is drawn up once, and every block finds its slot from its
+own number. When a source has run out, its slots stay empty and the others go on.
 
 Positions in a source are prefix sums over a tree of hash prefixes with 256 children, so neither a source that holds a
 third of all rows nor any other group is sorted or summed in one task.
@@ -19,21 +20,22 @@ where they begin. Other columns pass through, but for those named like an output
 from __future__ import annotations
 
 import math
+from decimal import ROUND_HALF_UP, Decimal
+from heapq import heappop, heappush
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetpulse.functions.scalars import let
-
-#: More sources than this are refused: the schedule of one period is a single expression over all sources.
+#: More sources than this are refused: the schedule of one period is drawn up on the driver.
 MAX_SOURCES = 10_000
 #: Rows that a group of equal hash prefixes should hold.
 GROUP_ROWS = 4_000
 ADDED = ("block", "release", "deadline", "slot", "on_target")
 
 
-def source_units(totals: DataFrame, weights: dict[str | None, float] | None, power: float, units: int) -> DataFrame:
-    """(source_key, source, units): targets in whole units, one at least; sources without a weight share equally the least given one.
+def targets(totals: DataFrame, weights: dict[str | None, float] | None, power: float) -> DataFrame:
+    """Adds ``wanted``, a source's weight; sources without a weight share equally the least given one.
 
     Without ``weights`` a source's target follows the ``power``-th power of its bytes.
     """
@@ -43,40 +45,38 @@ def source_units(totals: DataFrame, weights: dict[str | None, float] | None, pow
         wanted = F.lit(min(weights.values()))
         for name, w in weights.items():
             wanted = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(wanted)
-    return totals.withColumn("wanted", wanted).withColumn(
-        "units", F.greatest(F.lit(1), F.round(F.col("wanted") / F.sum("wanted").over(Window.partitionBy()) * units).cast("int"))
-    )
-
-
-def one_period(shares: DataFrame) -> DataFrame:
-    """(source_key, nth, slot): the slot of the nth block of each source within a period, earliest deadline first."""
-    sources = shares.agg(F.array_sort(F.collect_list(F.struct("source_key", "units"))).alias("s"))
-    sources = sources.select("s", F.aggregate("s", F.lit(0), lambda n, x: n + x["units"]).alias("period"))
-
-    def place(units: Column, period: Column) -> Column:
-        def step(state: Column, slot: Column) -> Column:
-            def due(u: Column, j: Column) -> Column:
-                i = F.get(state["next"], j)
-                released = (i * period / u).cast("int") <= slot
-                return F.when(released, F.struct(F.ceil((i + 1) * period / u).alias("deadline"), j.alias("j"), i.alias("nth")))
+    return totals.withColumn("wanted", wanted)
 
-            def go(pick: Column) -> Column:
-                return F.struct(
-                    F.transform(state["next"], lambda n, j: F.when(j == pick["j"], n + 1).otherwise(n)).alias("next"),
-                    F.concat(state["out"], F.array(F.struct(pick["j"].alias("j"), pick["nth"].alias("nth")))).alias("out"),
-                )
 
-            return let(F.array_min(F.transform(units, due)), go)
-
-        empty = F.filter(F.array(F.struct(F.lit(0).alias("j"), F.lit(0).alias("nth"))), lambda x: x["j"] < 0)
-        start = F.struct(F.transform(units, lambda u: F.lit(0)).alias("next"), empty.alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), period - 1), start, step)["out"]
-
-    def of(s: Column, period: Column) -> Column:
-        return let(F.transform(s, lambda x: x["units"]), lambda units: place(units, period))
-
-    picks = sources.filter("period > 0").select("s", F.posexplode(of(F.col("s"), F.col("period"))).alias("slot", "pick"))
-    return picks.select(F.get("s", F.col("pick.j"))["source_key"].alias("source_key"), F.col("pick.nth").alias("nth"), "slot")
+def whole_units(wanted: list[float], blocks: list[int], least: int) -> list[int]:
+    """Targets in whole units, one at least: ``least`` units in all, doubled until no source is a block away from its true target
+    by rounding when the first one runs out.
+    """
+    whole = sum(wanted)
+    shares = [w / whole if whole else 1 / len(wanted) for w in wanted]
+    last = min((b / s for b, s in zip(blocks, shares) if s), default=0)
+    units = least
+    while True:
+        out = [max(1, int(Decimal(repr(s * units)).quantize(Decimal(1), ROUND_HALF_UP))) for s in shares]
+        period = sum(out)
+        if all(abs(u / period - s) * last < 1 for u, s in zip(out, shares)):
+            return out
+        units *= 2
+
+
+def one_period(units: list[int]) -> list[list[int]]:
+    """The slots of the blocks of each source within a period: of the released blocks the one with the earliest deadline goes next."""
+    period, slots = sum(units), [[] for _ in units]
+    waiting, due = [(0, j) for j in range(len(units))], []
+    for slot in range(period):
+        while waiting and waiting[0][0] <= slot:
+            j = heappop(waiting)[1]
+            heappush(due, (-(-(len(slots[j]) + 1) * period // units[j]), j))
+        j = heappop(due)[1]
+        slots[j].append(slot)
+        if len(slots[j]) < units[j]:
+            heappush(waiting, (len(slots[j]) * period // units[j], j))
+    return slots
 
 
 def starts(rows: DataFrame, count: int) -> DataFrame:
@@ -106,7 +106,7 @@ def mix_sources(
 ) -> DataFrame:
     """Each row with ``block`` (number in its source), ``release``, ``deadline``, ``slot`` and ``on_target``.
 
-    Reading by ``slot`` gives the mix. ``on_target`` holds up to the first slot whose source has run out.
+    Reading by ``slot`` gives the mix. ``units`` is the least number of units that weights are rounded to. ``on_target`` holds up to the first slot whose source has run out.
     """
     own = [c for c in docs.columns if c not in ADDED]
     source = F.col(f"`{source_col}`").cast("string")
@@ -119,22 +119,28 @@ def mix_sources(
         F.md5(F.concat(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.md5(F.col(f"`{text_col}`")), F.lit("")))).alias("hashed"),
     )
     totals = rows.groupBy("source_key", "source").agg(F.sum("size").alias("total"), F.count(F.lit(1)).alias("rows"))
-    seen = totals.agg(F.count(F.lit(1)).alias("sources"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()
-    if seen["sources"] > MAX_SOURCES:
-        raise ValueError(f"{seen['sources']} sources; {MAX_SOURCES} at most")
-    shares = source_units(totals, weights, power, units).select("source_key", "units", F.sum("units").over(Window.partitionBy()).alias("period"))
-    period = one_period(shares)
-
-    placed = starts(rows, seen["rows"]).withColumn("block", F.floor(F.col("start") / block_bytes).cast("bigint"))
+    listed = targets(totals, weights, power).limit(MAX_SOURCES + 1).collect()
+    if len(listed) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
+    listed.sort(key=lambda r: r["source_key"].encode("utf-8", "surrogatepass"))
+    blocks = [-(-r["total"] // block_bytes) for r in listed]
+    own_units = whole_units([r["wanted"] for r in listed], blocks, units) if listed else []
+    slots, whole = one_period(own_units), sum(own_units)
+    first_empty = min((b // u * whole + at[b % u] for b, u, at in zip(blocks, own_units, slots)), default=None)
+    spark, keys = docs.sparkSession, [r["source_key"] for r in listed]
+    shares = spark.createDataFrame(pa.table({"source_key": pa.array(keys, pa.string()), "units": pa.array(own_units, pa.int64())}))
+    shares = shares.withColumn("period", F.lit(whole).cast("bigint"))
+    flat = [(k, n, slot) for k, at in zip(keys, slots) for n, slot in enumerate(at)]
+    kinds = (("source_key", pa.string()), ("nth", pa.int64()), ("slot", pa.int64()))
+    period = spark.createDataFrame(pa.table({name: pa.array([x[k] for x in flat], kind) for k, (name, kind) in enumerate(kinds)}))
+
+    placed = starts(rows, sum(r["rows"] for r in listed)).withColumn("block", F.floor(F.col("start") / block_bytes).cast("bigint"))
     placed = placed.join(F.broadcast(shares), "source_key")  # MAX_SOURCES rows at most
-    placed = placed.withColumn("nth", (F.col("block") % F.col("units")).cast("int"))
+    placed = placed.withColumn("nth", F.col("block") % F.col("units"))
     placed = placed.join(period, ["source_key", "nth"])
     turn = F.floor(F.col("block") / F.col("units")).cast("bigint") * F.col("period")
     placed = placed.withColumn("slot", turn + F.col("slot"))
-    ends = totals.join(shares, "source_key").withColumn("blocks", F.ceil(F.col("total") / block_bytes).cast("bigint"))
-    ends = ends.withColumn("nth", (F.col("blocks") % F.col("units")).cast("int")).join(period, ["source_key", "nth"])
-    last = ends.agg(F.min(F.floor(F.col("blocks") / F.col("units")).cast("bigint") * F.col("period") + F.col("slot")).alias("first_empty"))
-    out = placed.withColumn("first_empty", F.lit(last.first()["first_empty"]))
+    out = placed.withColumn("first_empty", F.lit(first_empty).cast("bigint"))
     return out.select(
         *[F.col(f"own_{k}").alias(c) for k, c in enumerate(own)],
         "block",

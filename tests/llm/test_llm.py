@@ -281,6 +281,18 @@ def test_mix_stays_within_a_block_of_its_targets(spark, docs):
             assert sum(s < t for s in slots[name]) < t * w / period + 1
 
 
+def test_mix_follows_weights_that_do_not_divide_the_units(spark):
+    sizes, weights = {"rare": 10, "b": 9000, "c": 9000}, {"rare": 1.0, "b": 2500.0, "c": 2499.5}
+    rows = [(k, name, "a") for k, name in enumerate(name for name, n in sizes.items() for _ in range(n))]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = mix_sources(frame, weights, block_bytes=2).collect()
+    whole, end = sum(weights.values()), max(r.slot for r in got if r.on_target)
+    assert len({r.slot for r in got}) == len(got) == 18_010 and end > 17_000
+    for name, w in weights.items():
+        for k, slot in enumerate(sorted(r.slot for r in got if r.source == name and r.slot <= end)):
+            assert abs(k - slot * w / whole) < 2  # a block by the schedule, a block by rounding
+
+
 def test_mix_of_odd_rows(spark):
     frame = odd_rows(spark).withColumn("slot", F.lit("x"))
     rows = mix_sources(frame, {"a": 1.0, None: 2.0}, block_bytes=8).collect()
