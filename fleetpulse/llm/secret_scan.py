@@ -2,7 +2,8 @@
 
 The guesses of a value are the least product over all its segmentations into dictionary words, dates, repeats, keyboard
 walks and brute-force spans (a dynamic program over the value). A value behind a credential word that needs at least
-``10**min_guesses`` guesses is a secret of kind ``guess``; placeholders such as ``password = changeme2024`` are not.
+``10**min_guesses`` guesses is a secret of kind ``guess``; placeholders such as ``password = changeme2024`` are not. For a value without
+a digit, which may be prose ("the secret is understanding"), the words of the tokenizer's vocabulary are in the dictionary too, by rank.
 
 Null texts count as empty and have no span; repeated rows get the same spans; an empty table stays empty. Texts are
 scanned whole, whatever their length. Input columns pass through, but for those named like an output column.
@@ -10,9 +11,12 @@ scanned whole, whatever their length. Input columns pass through, but for those
 
 from __future__ import annotations
 
+import json
 import math
 import re
+from pathlib import Path
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +51,17 @@ DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|
 PIECE = 256
 
 
+#: Vocabulary file whose words of four letters and more price prose.
+VOCABULARY = "word_bpe_49k.json"
+
+
+def prose_words() -> tuple[str, ...]:
+    """The first words, then the vocabulary's by rank."""
+    ranks = json.loads(Path(public_tokenizers.path(VOCABULARY)).read_text(encoding="utf-8"))["model"]["vocab"]
+    words = (w.removesuffix("</w>") for w in sorted(ranks, key=ranks.get) if w.endswith("</w>"))
+    return tuple(dict.fromkeys([*FIRST_WORDS, *(w for w in words if len(w) > 3 and w.isascii() and w.isalpha())]))
+
+
 def _next_keys() -> set[str]:
     pairs = {r[k : k + 2] for r in ROWS for k in range(len(r) - 1)}
     return pairs | {p[::-1] for p in pairs}
@@ -130,11 +145,12 @@ class GuessCost:
 
 
 class SecretScanner:
-    def __init__(self, min_guesses: float = 12.0, min_length: int = 8, words: tuple[str, ...] = tuple(FIRST_WORDS)):
+    def __init__(self, min_guesses: float = 12.0, min_length: int = 8, words: tuple[str, ...] = tuple(FIRST_WORDS), prose: tuple[str, ...] | None = None):
         self.assign, self.access = re.compile(ASSIGN, re.ASCII), re.compile(ACCESS)
         self.hex = re.compile(HEX.replace("+", f"{{{LEAST['hex']},}}"))  # runs are maximal, so shorter ones can be passed over
         self.context = re.compile(CONTEXT, re.ASCII)
         self.min_guesses, self.min_length, self.guesses = min_guesses, min_length, GuessCost(words)
+        self.prose = GuessCost(prose_words() if prose is None else prose)
 
     def base(self, text: str) -> list[tuple[int, int, str]]:
         out = [(m.start(), m.end(), "hex") for m in self.hex.finditer(text)]
@@ -153,7 +169,8 @@ class SecretScanner:
         out = []
         for m in self.context.finditer(text):
             value = m[1].rstrip(".:!?)]}")
-            if len(value) >= self.min_length and any(c.isdigit() for c in value) and self.guesses.log_guesses(value) >= self.min_guesses:
+            guesses = self.guesses if any(c.isdigit() for c in value) else self.prose
+            if len(value) >= self.min_length and guesses.log_guesses(value) >= self.min_guesses:
                 out.append((m.start(1), m.start(1) + len(value), "guess"))
         return out
 
@@ -169,10 +186,11 @@ def scan_secrets(docs: DataFrame, text: str = "text", min_guesses: float = 12.0,
     lean = importable(docs).select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
     kind = "array<struct<kind:string,start:int,end:int>>"
     schema = lean.drop("__text").withColumn("secrets", F.lit(None).cast(kind)).schema
+    prose = prose_words()
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
-        scanner = SecretScanner(min_guesses, min_length)
+        scanner = SecretScanner(min_guesses, min_length, prose=prose)
         for batch in batches:
             found = [[{"kind": k, "start": s, "end": e} for s, e, k in scanner.scan(t)[1]] for t in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found, arrow)], names=[*keep, "secrets"])

@@ -91,6 +91,14 @@ def test_secret_spans(spark, docs):
     assert all(s == [] for s in got.values()) and scan_secrets(docs.limit(0)).count() == 0
 
 
+def test_secrets_without_digits():
+    scanner = SecretScanner()
+    for text in ("pwd: xKqv!Lzpw#TrBn", "bearer is qXvRzTkWpLmN", "passphrase = vkqzjxwqpfhd"):
+        assert [text[s:e] for s, e, _ in scanner.guess(text)] == [text.split()[-1]]
+    for text in ("The secret is understanding what matters", "a token is something", "the password is necessary.", "Authorization: application/json"):
+        assert not scanner.guess(text)
+
+
 def test_guess_cost_is_the_least_segmentation():
     cost = GuessCost()
     for value in ("changeme2024", "aaaaaaaa", "qwertyuiop", "abcabcabc", "20240115", "Zx9!", "passwordQ7"):
