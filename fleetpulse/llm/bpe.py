@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetpulse.llm.common import importable
+from fleetpulse.llm.common import free_name, importable
 
 NEVER = np.int64(1) << 40
 NO_RANK = 1 << 40
@@ -238,8 +238,9 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """
     added = ("n_tokens", "ids_text", "decoded")
     keep = [c for c in docs.columns if c != text and c not in added]
-    lean = importable(docs).select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
-    schema = lean.drop("__text").selectExpr("*", "0L AS n_tokens", "'' AS ids_text", "'' AS decoded").schema
+    hidden = free_name(keep, "__text")
+    lean = importable(docs).select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(hidden))
+    schema = lean.drop(hidden).selectExpr("*", "0L AS n_tokens", "'' AS ids_text", "'' AS decoded").schema
 
     def run(batches):
         bpe = load(path)

@@ -9,11 +9,19 @@ from pyspark.sql import DataFrame
 
 from fleetpulse.session import materialize, scratch_dir
 
-__all__ = ["importable", "materialize", "scratch_dir"]
+__all__ = ["free_name", "importable", "materialize", "scratch_dir"]
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, longer by underscores until no column has it (letter case aside, as Spark resolves names)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def importable(df: DataFrame) -> DataFrame:
     """Adds this package's folder to the module path of Python workers, for sessions that were started elsewhere.
 

@@ -18,7 +18,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetpulse.llm.common import materialize, scratch_dir
+from fleetpulse.llm.common import free_name, materialize, scratch_dir
 
 # State on disk, in bounded memory, and without disk space reserved ahead for each of many small stores.
 STORE = {
@@ -28,21 +28,21 @@ STORE = {
 }
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """The rows with ``__place``: file and row in the file; tables that aren't read from Parquet are written first.
+def located(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with their place (file and row in the file) in one more column, and that column's name, which no other has.
 
-    Rows that have their place already keep it.
+    Tables that aren't read from Parquet are written first.
     """
-    if "__place" in docs.columns:
-        return docs
+    name = free_name(docs.columns, "__place")
     place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     try:
         if "_metadata" in docs.columns:
             raise AnalysisException("hidden by a column of that name")
-        return docs.select("*", place.alias("__place"))
+        return docs.select("*", place.alias(name)), name
     except AnalysisException:
-        plain = docs.withColumnRenamed("_metadata", "__metadata")
-        return materialize(plain, "located").select("*", place.alias("__place")).withColumnRenamed("__metadata", "_metadata")
+        hidden = free_name(docs.columns, "__metadata")
+        plain = docs.withColumnRenamed("_metadata", hidden)
+        return materialize(plain, "located").select("*", place.alias(name)).withColumnRenamed(hidden, "_metadata"), name
 
 
 def keyed_state(spark: SparkSession, records: str, folder: str, files_per_batch: int | None = None) -> DataFrame:
@@ -66,15 +66,19 @@ def keyed_state(spark: SparkSession, records: str, folder: str, files_per_batch:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_letters: int = 64, files_per_batch: int | None = None) -> DataFrame:
-    """One row per input row: ``__place``, ``id``, ``digest`` (hex), ``keep_id``, ``group_size``, ``kept``.
+def exact_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_letters: int = 64, files_per_batch: int | None = None, place_col: str | None = None,
+) -> DataFrame:
+    """One row per input row: ``place``, ``id``, ``digest`` (hex), ``keep_id``, ``group_size``, ``kept``.
 
     ``digest_letters`` below 64 shortens the digest; the result stays the same, as differing texts are told apart by their bytes.
+    ``place_col`` names the places of rows that are located already.
     """
     spark = docs.sparkSession
     folder = scratch_dir(spark, "exact-dedup")
     content = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = located(docs).select(F.col(f"`{id_col}`").alias("id"), F.col("__place").alias("place"), content.alias("content"))
+    docs, place = (docs, place_col) if place_col else located(docs)
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{place}`").alias("place"), content.alias("content"))
     full = F.sha2("content", 256)
     short: Column = F.substring(full, 1, digest_letters) if digest_letters < 64 else full
     digest = F.unhex(short)
@@ -100,7 +104,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         apart = apart.select("place", F.col("stays").alias("own_stays"), F.col("copies").alias("own_copies"))
         decided = decided.join(apart, "place", "left").withColumns({"stays": F.coalesce("own_stays", "stays"), "copies": F.coalesce("own_copies", "copies")})
     return decided.select(
-        F.col("place").alias("__place"), "id", whole.alias("digest"), F.col("stays.id").alias("keep_id"), F.col("copies").alias("group_size"),
+        "place", "id", whole.alias("digest"), F.col("stays.id").alias("keep_id"), F.col("copies").alias("group_size"),
         (F.col("place") == F.col("stays.place")).alias("kept"),
     )
 
@@ -112,6 +116,6 @@ def _stored(df: DataFrame, path: str) -> DataFrame:
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with the columns they came with."""
-    rows = located(docs)
-    dropped = exact_dedup(rows, id_col, text_col).filter("not kept").select("__place")
-    return rows.join(dropped, "__place", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, place = located(docs)
+    dropped = exact_dedup(rows, id_col, text_col, place_col=place).filter("not kept").select(F.col("place").alias(place))
+    return rows.join(dropped, place, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

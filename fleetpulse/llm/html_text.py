@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetpulse.llm.common import importable
+from fleetpulse.llm.common import free_name, importable
 
 CHUNK = 1 << 16
 # Elements by their part in a page.
@@ -209,8 +209,9 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.8) -> str:
 def extract_main_text(pages: DataFrame, html: str = "html", out: str = "text", sigma: float = 1.0, share: float = 0.8) -> DataFrame:
     """Each row with its main text in ``out`` instead of its html."""
     keep = [c for c in pages.columns if c not in (html, out)]
-    lean = importable(pages).select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html}`").alias("__html"))
-    schema = lean.drop("__html").withColumn(out, F.lit("")).schema
+    hidden = free_name(keep, "__html")
+    lean = importable(pages).select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html}`").alias(hidden))
+    schema = lean.drop(hidden).withColumn(out, F.lit("")).schema
 
     def run(batches):
         for batch in batches:

@@ -129,17 +129,17 @@ def verify(batches: Iterator[pa.RecordBatch], words: int, threshold: float) -> I
 
 
 def jaccard_classes(
-    docs: DataFrame, words: int = 5, threshold: float = 0.8, recall: float = 0.9999, hashes: int = 200, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """One row per input row: ``__place``, ``id``, ``class_id`` (least identifier of its near-duplicate class), ``text_id`` (least
+    docs: DataFrame, words: int = 5, threshold: float = 0.8, recall: float = 0.9999, hashes: int = 200, id_col: str = "doc_id", text_col: str = "text",
+    place_col: str | None = None,
+) -> DataFrame:
+    """One row per input row: ``place``, ``id``, ``class_id`` (least identifier of its near-duplicate class), ``text_id`` (least
     identifier with the same text), ``n_text_links`` (other texts linked), ``n_links`` (other rows linked, copies included), ``kept``
-    (one row of each class).
+    (one row of each class). ``place_col`` names the places of rows that are located already.
     """
     bands, rows = bands_for(threshold, recall, hashes)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    every = located(importable(docs)).select(
-        F.unhex(F.sha2(text, 256)).alias("digest"), F.col(f"`{id_col}`").alias("id"), F.col("__place").alias("place"), text.alias("text")
-    )
+    docs, place = (importable(docs), place_col) if place_col else located(importable(docs))
+    every = docs.select(F.unhex(F.sha2(text, 256)).alias("digest"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{place}`").alias("place"), text.alias("text"))
     first = F.struct(F.col("id").isNull().alias("none"), "id", "place")
 
     marked = every.mapInArrow(
@@ -184,12 +184,12 @@ def jaccard_classes(
     )
     own = materialize(own, "by-text")
     return every.select("digest", "id", "place").join(own, "digest").select(
-        F.col("place").alias("__place"), "id", "class_id", "text_id", "n_text_links", "n_links", (F.col("place") == F.col("head")).alias("kept")
+        "place", "id", "class_id", "text_id", "n_text_links", "n_links", (F.col("place") == F.col("head")).alias("kept")
     )
 
 
 def drop_near_copies(docs: DataFrame, **settings) -> DataFrame:
     """One row of each class, with the columns it came with."""
-    rows = located(docs)
-    dropped = jaccard_classes(rows, **settings).filter("not kept").select("__place")
-    return rows.join(dropped, "__place", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, place = located(docs)
+    dropped = jaccard_classes(rows, **settings, place_col=place).filter("not kept").select(F.col("place").alias(place))
+    return rows.join(dropped, place, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

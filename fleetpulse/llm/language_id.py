@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetpulse.llm.common import importable
+from fleetpulse.llm.common import free_name, importable
 
 UNKNOWN = "und"
 BLANK = 32
@@ -149,8 +149,9 @@ class LanguageProfiles:
         added = ("lang_pred", "score")
         keep = [c for c in docs.columns if c not in added and (keep_text or c != text)]
         at = keep.index(text) if keep_text else len(keep)
-        lean = importable(docs).select(*[F.col(f"`{c}`") for c in keep], *([] if keep_text else [F.col(f"`{text}`").alias("__text")]))
-        schema = lean.drop("__text").selectExpr("*", "'' AS lang_pred", "0D AS score").schema
+        hidden = free_name(keep, "__text")
+        lean = importable(docs).select(*[F.col(f"`{c}`") for c in keep], *([] if keep_text else [F.col(f"`{text}`").alias(hidden)]))
+        schema = lean.drop(hidden).selectExpr("*", "'' AS lang_pred", "0D AS score").schema
 
         def run(batches):
             space = letters(dims, seed)

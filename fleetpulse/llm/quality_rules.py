@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetpulse.functions.scalars import let
-from fleetpulse.llm.common import materialize
+from fleetpulse.llm.common import free_name, materialize
 
 BLANKS = r"[\x20\x09-\x0D]+"
 NOT_BLANK = r"[^\x20\x09-\x0D]"
@@ -217,7 +217,8 @@ def best_condition(table: list, cuts: dict[str, list[float]]) -> tuple[float, Co
 def judge_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text_col: str = "text", quality: str = "quality", **settings) -> tuple[DataFrame, DecisionList]:
     """All rows with statistics, ``base_failed`` and ``kept``, and the list learned from ``labels`` (0 is junk)."""
     rows = materialize(text_statistics(docs, text_col), "quality-statistics")
-    marks = labels.select(F.col(f"`{key}`").alias("__key"), (F.col(f"`{quality}`") == 0).alias("__junk"))
-    labelled = rows.join(marks, F.col(f"`{key}`") == F.col("__key")).select(*FEATURES, F.col("__junk").alias("junk"), F.col("__key").alias("key"))
+    mark, junk = free_name(rows.columns, "__key"), free_name(rows.columns, "__junk")
+    marks = labels.select(F.col(f"`{key}`").alias(mark), (F.col(f"`{quality}`") == 0).alias(junk))
+    labelled = rows.join(marks, F.col(f"`{key}`") == F.col(mark)).select(*FEATURES, F.col(junk).alias("junk"), F.col(mark).alias("key"))
     learned = learn_decision_list(labelled, key="key", **settings)
     return rows.withColumn("kept", ~F.col("base_failed") & learned.kept()), learned

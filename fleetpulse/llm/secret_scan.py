@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetpulse.llm.common import importable
+from fleetpulse.llm.common import free_name, importable
 
 # Kinds in the order in which spans of equal start are listed, and the patterns of the first three.
 KINDS = ("assign", "access", "hex", "guess")
@@ -183,9 +183,10 @@ class SecretScanner:
 def scan_secrets(docs: DataFrame, text: str = "text", min_guesses: float = 12.0, min_length: int = 8) -> DataFrame:
     """Each row with ``secrets``: its spans (kind, start, end in code points, end exclusive) instead of the text."""
     keep = [c for c in docs.columns if c not in (text, "secrets")]
-    lean = importable(docs).select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
+    hidden = free_name(keep, "__text")
+    lean = importable(docs).select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(hidden))
     kind = "array<struct<kind:string,start:int,end:int>>"
-    schema = lean.drop("__text").withColumn("secrets", F.lit(None).cast(kind)).schema
+    schema = lean.drop(hidden).withColumn("secrets", F.lit(None).cast(kind)).schema
     prose = prose_words()
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
