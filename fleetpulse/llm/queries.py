@@ -12,9 +12,12 @@ from fleetpulse.llm.hpy_lm import hpy_score
 from fleetpulse.llm.html_text import extract_main_text
 from fleetpulse.llm.jaccard_join import jaccard_classes
 from fleetpulse.llm.language_id import LanguageProfiles
+from fleetpulse.llm.line_dedup import dedup_lines
 from fleetpulse.llm.quality_rules import BASE, judge_quality
+from fleetpulse.llm.resample import importance_resample
 from fleetpulse.llm.secret_scan import scan_secrets
 from fleetpulse.llm.shard_tree import assign_shards
+from fleetpulse.llm.sharded_lloyd import cluster_vectors
 from fleetpulse.llm.source_mix import mix_sources
 
 #: Vocabulary file of the token queries, as public_tokenizers names it.
@@ -89,14 +92,56 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def op12_sharded_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_html_text, op3_pitman_yor_score, op4_exact_dedup, op5_secret_scan, op6_jaccard_join, op7_language_id,
-        op8_source_mix, op9_shard_tree, op10_bpe,
+        op8_source_mix, op9_shard_tree, op10_bpe, op11_importance_resample, op12_sharded_lloyd, op13_line_dedup,
     )
 }
 
+
+def lloyd_sql(rounds: int = 10) -> str:
+    """The rounds one after the other; a mean's floor is taken in whole numbers."""
+    steps = ["""
+        WITH kept AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+        c0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY drawn, q) - 1 AS k, q AS c
+            FROM (SELECT sha256('3:' || coalesce(vec_id::VARCHAR, '')) AS drawn, q FROM kept ORDER BY drawn, q LIMIT 8))"""]
+    for n in range(rounds + 1):
+        steps.append(f"""
+        a{n} AS MATERIALIZED (
+            SELECT r, arg_min(k, (d, k)) AS k, min(d) AS d FROM (
+                SELECT r, k, list_sum(list_transform(range(1, 65), lambda i: (q[i] - c[i]) * (q[i] - c[i])))::BIGINT AS d FROM kept, c{n}) GROUP BY r)""")
+        if n < rounds:
+            steps.append(f"""
+        c{n + 1} AS MATERIALIZED (
+            SELECT o.k, coalesce(m.c, o.c) AS c FROM c{n} o LEFT JOIN (
+                SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM (
+                    SELECT k, i, sum(x)::BIGINT AS s, count(*) AS n FROM (
+                        SELECT a.k, unnest(v.q) AS x, unnest(range(64)) AS i FROM a{n} a JOIN kept v USING (r)) GROUP BY k, i) GROUP BY k) m ON m.k = o.k)""")
+    return ",".join(steps) + f"""
+        SELECT v.vec_id, a.k::INTEGER AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.k))::BIGINT AS cluster_inertia,
+               (sum(a.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256
+        FROM a{rounds} a JOIN kept v USING (r) JOIN c{rounds} c ON c.k = a.k"""
+
+
 SQL = {
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
@@ -141,4 +186,14 @@ SQL = {
         SELECT d.doc_id, d.source, d.block, d.block * period // s.units AS release, ((d.block + 1) * period + s.units - 1) // s.units AS deadline,
                d.block // s.units * period + p.slot AS slot, d.block // s.units * period + p.slot < first_empty AS on_target
         FROM placed d JOIN shares s ON s.source IS NOT DISTINCT FROM d.source JOIN pattern p ON p.j = s.j AND p.nth = d.block % s.units, listed, ends""",
+    "op12_sharded_lloyd": lloyd_sql(),
+    "op13_line_dedup": """
+        WITH docs AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+        lines AS (SELECT r, doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM docs),
+        keyed AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+        common AS (SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+        marked AS (SELECT k.*, c.key IS NOT NULL AND k.doc_id < c.last AS gone FROM keyed k LEFT JOIN common c USING (key))
+        SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+        FROM marked GROUP BY r""",
 }
