@@ -16,25 +16,42 @@ from fleetpulse.registry.queries_sampling import KEYS, h
 from fleetpulse.session import materialize
 
 WIN = X.WINDOWS
-LINES = ", ".join(
-    f"coalesce(regr_slope({c}[{21 + s}], {c}[20]), 0) as {c}_b{s}, avg({c}[{21 + s}]) - coalesce(regr_slope({c}[{21 + s}], {c}[20]), 0) * avg({c}[20]) as {c}_a{s}, "
-    f"greatest(regr_syy({c}[{21 + s}], {c}[20]) - coalesce(regr_slope({c}[{21 + s}], {c}[20]), 0) * regr_sxy({c}[{21 + s}], {c}[20]), 0) / count(*) as {c}_v{s}"
-    for c in FEATURES for s in range(10))
-MUT = WIN + f""",
-line as (select model, {LINES} from win where split = 'train' and y = 0 group by 1),
-lw as (select *, {', '.join(f"1.0 / (({' + '.join(f'{c}_v{s}' for s in range(10))}) / 10 + 1e-3) as {c}_w" for c in FEATURES)} from line),
-mut as (select model, disk_id, end_day, split, y, [{', '.join(f'({c}[{21 + s}] - ({c}_a{s} + {c}_b{s} * {c}[20])) * sqrt({c}_w)' for c in FEATURES for s in range(10))}] as v from win join lw using (model))"""
+# the forecast: products of all columns of the healthy train windows, and elimination row by row (the ridge keeps pivots positive)
+XS = [f"{c}[{k}]" for c in FEATURES for k in range(1, 21)]
+YS = [f"{c}[{k}]" for c in FEATURES for k in range(21, 31)]
+NX, NY = len(XS), len(YS)
+MUT = "with recursive " + WIN + f""",
+vecs as (select model, disk_id, end_day, split, y, [{', '.join(XS)}] as x, [{', '.join(YS)}] as f from win),
+cols as materialized (select model, i, list(v order by disk_id, end_day) as v, sum(v) as s, count(*) as n from (
+  select model, disk_id, end_day, unnest(x || f) as v, unnest(range({NX + NY})) as i from vecs where split = 'train' and y = 0) group by 1, 2),
+cov as materialized (select a.model, a.i, b.i as j, a.s / a.n as mi, list_dot_product(a.v, b.v) / a.n - (a.s / a.n) * (b.s / b.n) as c from cols a join cols b using (model) where a.i < {NX} or a.i = b.i),
+sc as materialized (select model, i, mi, case when i < {NX} then case when c > 1e-12 * greatest(1, mi * mi) then 1 / sqrt(c) else 0 end else 1 end as w, c from cov where i = j),
+own as (select v.model, v.i, list(v.c * a.w * b.w + case when v.i = v.j then 1e-3 else 0 end order by v.j) as r
+  from cov v join sc a on a.model = v.model and a.i = v.i join sc b on b.model = v.model and b.i = v.j where v.i < {NX} group by 1, 2),
+steps(model, k, m) as (
+  select model, 0, list(r order by i) from own group by 1
+  union all
+  select model, k + 1, list_transform(m, lambda r, i: case when i = k + 1 then list_transform(m[k + 1], lambda v: v / m[k + 1][k + 1])
+    else list_transform(r, lambda v, j: v - r[k + 1] * (m[k + 1][j] / m[k + 1][k + 1])) end) from steps where k < {NX}),
+coef as (select model, i, unnest(range({NY})) as t, unnest(r[{NX + 1}:]) as b from (
+  select model, unnest(m) as r, unnest(range({NX})) as i from steps where k = {NX})),
+fit as (select model, t, list(b * w order by i) as co, sum(b * w * mi) as shift, sum(b * v.c * w + 1e-3 * b * b) as explained
+  from coef join sc using (model, i) join (select model, i, j - {NX} as t, c from cov where i < {NX} and j >= {NX}) v using (model, i, t) group by 1, 2),
+fits as (select f.model, f.t, co, s.mi - shift as a, greatest(s.c - explained, 0) as rest from fit f join sc s on s.model = f.model and s.i = f.t + {NX}),
+lw as materialized (select model, list(co order by t) as co, list(a order by t) as a, list(factor order by t) as factor from (
+  select *, sqrt(1.0 / (avg(rest) over (partition by model, t // 10) + 1e-3)) as factor from fits) group by 1),
+mut as (select model, disk_id, end_day, split, y, list_transform(f, lambda v, t: (v - (a[t] + list_dot_product(x, co[t]))) * factor[t]) as v from vecs join lw using (model))"""
 
 
 def mutated(spark, sf):
     rows = MU.with_history(marked(spark, sf), FEATURES).filter(F.col("split").isNotNull())
-    lines = MU.fit_forecast(rows.filter("split = 'train' and y = 0"), FEATURES, ["model"])
-    return MU.mutation_vectors(rows, lines, FEATURES, ["model"]).withColumnRenamed("day", "end_day").drop(*FEATURES)
+    fits = materialize(MU.fit_forecast(rows.filter("split = 'train' and y = 0"), FEATURES, ["model"]), "forecast")
+    return MU.mutation_vectors(rows, fits, ["model"]).withColumnRenamed("day", "end_day")
 
 
-@query("x7_mutation_features", f"with {MUT} select {WKEY}, {cells_sql('list_transform(v, lambda x: x + 3e-10)', 100000)} as cells from mut")
+@query("x7_mutation_features", f"{MUT} select {WKEY}, {cells_sql('v', 100)} as cells from mut")
 def x7(spark, sf):
-    return wkey(mutated(spark, sf), cells(F.transform("mutation", lambda v: v + 3e-10), 100000).alias("cells"))
+    return wkey(mutated(spark, sf), cells(F.col("mutation"), 100).alias("cells"))
 
 
 def vote_sql() -> str:
@@ -52,7 +69,7 @@ pairs as (select struct_pack(model := model, disk_id := t.disk_id, end_day := t.
   from mut t join tr using (model) where t.split = 'test'),{vote_sql()}"""
 
 
-@query("c7_neighbour_vote", f"with {KNN} select q.model as model, q.disk_id as disk_id, strftime(q.end_day, '%Y-%m-%d') as end_day, {r6('score')} as score from vote")
+@query("c7_neighbour_vote", f"{KNN} select q.model as model, q.disk_id as disk_id, strftime(q.end_day, '%Y-%m-%d') as end_day, {r6('score')} as score from vote")
 def c7(spark, sf):
     rows = materialize(mutated(spark, sf).select("model", "disk_id", "end_day", "split", "y", "mutation"), "mutation")
     train = R.one_to_one(rows.filter("split = 'train'"), ["model"], KEYS, 0)
