@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
+from fleetpulse.fixed_values import HISTOGRAM_BINS
 from fleetpulse.functions import series as S
 from fleetpulse.operators import features as FX, metrics as M, models as MD, mutation as MU, neighbours as NB, reports as P, sampling as R, scaling as SC, windows as W
 from fleetpulse.registry import fixtures as X
@@ -88,46 +89,56 @@ def j11(spark, sf):
     return NB.knn_vote(train, rest, "v").select("vec_id", F.round("score", 6).alias("score"))
 
 
-# ---- classifiers: trained 1:1 on train windows, threshold from validation, rates on every test window ----
+# ---- classifiers: one per model, trained 1:1 on train windows; the threshold is chosen on the 1:1 part of the validation windows ----
+
+STATS = FX.statistic_columns(FEATURES)
+VIEW_WIDTHS = {"raw": len(FEATURES), "hist": len(FEATURES) * HISTOGRAM_BINS, "seq": len(FEATURES) * 12}
+VIEW_WIDTHS["comb"] = sum(VIEW_WIDTHS.values())
+
 
 def evaluated(scored, kind: str, pick=M.best_f1):
-    val, test = scored.filter("split = 'val'"), scored.filter("split = 'test'")
-    best = pick(M.grid_scores(val.withColumn("g", F.lit(kind)), ["g"], "score", "y"), ["g"])
-    pred = M.apply_threshold(test.withColumn("g", F.lit(kind)), best, ["g"], "score")
-    return M.with_rates(M.confusion(pred, ["g"], "y", "pred_status")).withColumnRenamed("g", "classifier")
+    """Rates on all validation windows, on the 1:1 part of the test windows and on all of them; 0.5 where no threshold can be chosen."""
+    rows = materialize(scored.filter("split <> 'train'").select("model", "disk_id", "end_day", "split", "y", "score"), "scores")
+    even = R.one_to_one(rows, ["model", "split"], KEYS, 0)
+    best = pick(M.grid_scores(even.filter("split = 'val'"), ["model"], "score", "y"), ["model"])
+    thresholds = rows.select("model").distinct().join(best.select("model", "thr"), "model", "left").fillna(0.5, ["thr"])
+    parts = rows.withColumn("part", F.col("split")).unionByName(even.filter("split = 'test'").withColumn("part", F.lit("test 1:1")))
+    pred = M.apply_threshold(parts, materialize(thresholds, "thresholds"), ["model"], "score")
+    return M.with_rates(M.confusion(pred, ["model", "part"], "y", "pred_status")).withColumn("classifier", F.lit(kind))
 
 
 def flat_windows(spark, sf):
     wins = windows(spark, sf)
     flat = wins.select("model", "disk_id", "end_day", "split", "y", S.flatten_day_major([F.col(c) for c in FEATURES]).alias("x"))
-    rows = materialize(flat, "flat-windows")
-    return rows.withColumn("vec", array_to_vector("x"))
+    return materialize(flat, "flat-windows")
 
 
 def balanced_train(rows):
-    return materialize(R.one_to_one(rows.filter("split = 'train'"), ["split"], ["model", *KEYS], 0), "train")
+    return materialize(R.one_to_one(rows.filter("split = 'train'"), ["model"], KEYS, 0), "train")
 
 
 @query("c1_forest")
 def c1(spark, sf):
     rows = flat_windows(spark, sf)
-    return evaluated(MD.forest_scorer(balanced_train(rows.drop("vec")).withColumn("vec", array_to_vector("x")), "vec", 20, 8)(rows), "forest")
+    return evaluated(MD.forest_scorer(balanced_train(rows), ["model"], "x", 30 * len(FEATURES), ["model", *KEYS])(rows), "forest")
+
+
+def scaled_windows(rows, train, by):
+    learned = SC.minmax_ranges(train.withColumn("vec", array_to_vector("x")), "vec", by)
+    return materialize(SC.minmax_scale(rows, learned, "x", by, "z").drop("x"), "scaled")
 
 
 @query("c2_perceptron")
 def c2(spark, sf):
     rows = flat_windows(spark, sf)
-    std = rows.withColumn("g", F.lit(0))
-    learned = SC.minmax_ranges(std.filter("split = 'train'"), "vec", ["g"])
-    scaled = SC.minmax_scale(std.drop("vec"), learned, "x", ["g"], "z")
+    scaled = scaled_windows(rows, rows.filter("split = 'train'"), ["model"])
     train = balanced_train(scaled).withColumn("vec", array_to_vector("z"))
-    return evaluated(MD.perceptron_scorer(train, "vec", 120, (16, 8), 30)(scaled.withColumn("vec", array_to_vector("z"))), "perceptron")
+    return evaluated(MD.perceptron_scorer(train, "vec", 30 * len(FEATURES))(scaled.withColumn("vec", array_to_vector("z"))), "perceptron")
 
 
 def statistic_rows(spark, sf):
     rows = windows_of_stats(spark, sf)
-    cols = FX.statistic_columns(FEATURES)
-    return materialize(rows.select("model", "disk_id", "end_day", "split", "y", F.array(*cols).alias("x")), "stats")
+    return materialize(rows.select("model", "disk_id", "end_day", "split", "y", F.array(*STATS).alias("x")), "stats")
 
 
 def windows_of_stats(spark, sf):
@@ -139,35 +150,34 @@ def windows_of_stats(spark, sf):
 @query("c3_boosted_trees")
 def c3(spark, sf):
     rows = statistic_rows(spark, sf)
-    train = balanced_train(rows).withColumn("vec", array_to_vector("x"))
-    return evaluated(MD.boosted_scorer(train, "vec", 10, 4)(rows.withColumn("vec", array_to_vector("x"))), "boosted", M.best_precision)
+    return evaluated(MD.boosted_scorer(balanced_train(rows), ["model"], "x", len(STATS), ["model", *KEYS])(rows), "boosted", M.best_precision)
 
 
 @query("c4_statistics_forest")
 def c4(spark, sf):
     rows = statistic_rows(spark, sf)
-    train = balanced_train(rows).withColumn("vec", array_to_vector("x"))
-    return evaluated(MD.forest_scorer(train, "vec", 20, 9)(rows.withColumn("vec", array_to_vector("x"))), "statistics-forest", M.best_precision)
+    scorer = MD.forest_scorer(balanced_train(rows), ["model"], "x", len(STATS), ["model", *KEYS], depth=9)
+    return evaluated(scorer(rows), "statistics-forest", M.best_precision)
 
 
 @query("c5_multi_view_forest")
 def c5(spark, sf):
     seq = FX.sequence_frames(X.imputed(spark, sf), FEATURES)
     wins = windows_of(spark, sf, seq, FEATURES)
-    views = FX.four_views(wins, ranges(wins), FEATURES, ["model"], bins=10)
-    rows = materialize(views.select("model", "disk_id", "end_day", "split", "y", *MD.VIEWS), "views")
-    return evaluated(MD.multi_view_scorer(balanced_train(rows), 20, 8)(rows), "multi-view", M.best_precision)
+    views = FX.four_views(wins, ranges(wins), FEATURES, ["model"])
+    rows = materialize(views.select("model", "disk_id", "end_day", "split", "y", *[vector_to_array(v).alias(v) for v in MD.VIEWS]), "views")
+    scorer = MD.multi_view_scorer(balanced_train(rows), ["model"], VIEW_WIDTHS, ["model", *KEYS])
+    return evaluated(scorer(rows), "multi-view", M.best_precision)
 
 
 @query("c6_p8_reconstruction")
 def c6(spark, sf):
-    rows = flat_windows(spark, sf).withColumn("g", F.lit(0))
-    learned = SC.minmax_ranges(rows.filter("split = 'train' and y = 0"), "vec", ["g"])
-    scaled = materialize(SC.minmax_scale(rows.drop("vec"), learned, "x", ["g"], "z").drop("x"), "scaled")
-    scored = MD.reconstruction_scorer(scaled.filter("split = 'train' and y = 0"), "z", 120)(scaled)
-    thr = M.curve_threshold(scored.filter("split = 'val'"), ["g"], "score", "y")
-    pred = M.apply_threshold(scored.filter("split = 'test'"), thr, ["g"], "score")
-    return M.with_rates(M.confusion(pred, ["g"], "y", "pred_status")).drop("g").withColumn("classifier", F.lit("reconstruction"))
+    rows = flat_windows(spark, sf)
+    scaled = scaled_windows(rows, rows.filter("split = 'train' and y = 0"), ["model"])
+    scored = materialize(MD.reconstruction_scorer(scaled.filter("split = 'train' and y = 0"), ["model"], "z", 30 * len(FEATURES))(scaled).drop("z"), "scores")
+    thr = M.curve_threshold(scored.filter("split = 'val'"), ["model"], "score", "y")
+    pred = M.apply_threshold(scored.filter("split = 'test'"), thr, ["model"], "score")
+    return M.with_rates(M.confusion(pred, ["model"], "y", "pred_status")).withColumn("classifier", F.lit("reconstruction"))
 
 
 @query("score_with_user_model", f"with {WIN} select {WKEY}, {r6('list_max(r_5) / (list_max(r_5) + 50.0)')} as score from win")

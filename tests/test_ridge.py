@@ -38,7 +38,7 @@ def test_ridge_agrees_with_normal_equations(spark, limit):
     frame = spark.createDataFrame(rows + odd, SCHEMA).repartition(5)
     fits = fit_ridge(frame.filter("h = 1"), ["g", "h"], "x", "y", 6, 2)
     assert sorted((r.g or "", r.n) for r in fits.collect()) == [("", 40), ("a", 500), ("b", 60)]
-    got = with_residuals(frame.filter("g is not null"), fits, ["g", "h"], "x", "y", "left", broadcast_bytes=limit).collect()
+    got = with_residuals(frame, fits, ["g", "h"], "x", "y", "left", broadcast_bytes=limit).collect()
     assert {r.extra for r in got if r.left is None} == {"null", "short", "hole", "unfit", "other"}
     for r in got:
         if r.left is not None:
