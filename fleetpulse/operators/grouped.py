@@ -32,11 +32,16 @@ def matrix(column: pa.Array | pa.ChunkedArray, width: int) -> tuple[np.ndarray,
 
 def by_group(batch: pa.RecordBatch | pa.Table, by: list[str]) -> Iterator[tuple[tuple, np.ndarray]]:
     """(group, row numbers) of a batch."""
-    groups: dict[tuple, list[int]] = {}
-    for k, key in enumerate(zip(*(batch.column(c).to_pylist() for c in by))):
-        groups.setdefault(key, []).append(k)
-    for key, at in groups.items():
-        yield key, np.array(at)
+    if not batch.num_rows:
+        return
+    place = np.zeros(batch.num_rows, np.int64)
+    for c in by:
+        column = batch.column(c)
+        found = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).dictionary_encode(null_encoding="encode")
+        _, place = np.unique(place * (len(found.dictionary) + 1) + found.indices.to_numpy(zero_copy_only=False), return_inverse=True)
+    order = np.argsort(place, kind="stable")
+    for at in np.split(order, np.flatnonzero(np.diff(place[order])) + 1):
+        yield tuple(batch.column(c)[int(at[0])].as_py() for c in by), at
 
 
 def fields(df: DataFrame, by: list[str]) -> list[T.StructField]:
@@ -55,16 +60,9 @@ def beside(rows: DataFrame, values: DataFrame, by: list[str]) -> DataFrame:
     return rows.join(other, [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(by, names)]).drop(*names)
 
 
-def with_facts(rows: DataFrame, facts: DataFrame, by: list[str], prepare: Callable[[pa.Table], object], apply: Callable[[pa.Table, object | None], list],
-               drop: list[str], out: T.StructField, facts_bytes: int, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Replaces the columns ``drop`` by ``out``, a value for each row of ``apply(rows of one group, prepared facts or None)``."""
-    kept = [f for f in rows.schema.fields if f.name not in (*drop, out.name)]
-    schema, names = T.StructType([*kept, out]), [f.name for f in kept]
-    kind = rows.sparkSession.createDataFrame([], T.StructType([out])).toArrow().schema.field(0).type
-
-    def done(own: pa.Table, found: object | None) -> pa.Table:
-        return own.select(names).append_column(out.name, pa.array(apply(own, found), kind))
-
+def per_group(rows: DataFrame, facts: DataFrame, by: list[str], prepare: Callable[[pa.Table], object], apply: Callable[[pa.Table, object | None], pa.Table],
+              schema: T.StructType, facts_bytes: int, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The tables that ``apply(some rows of one group, prepared facts or None)`` gives, together."""
     if facts_bytes <= broadcast_bytes:
         shared = rows.sparkSession.sparkContext.broadcast(facts.toArrow())
 
@@ -76,7 +74,7 @@ def with_facts(rows: DataFrame, facts: DataFrame, by: list[str], prepare: Callab
                 for key, at in by_group(batch, by):
                     if key in places and key not in ready:
                         ready[key] = prepare(table.take(pa.array(places[key])))
-                    yield from done(pa.Table.from_batches([batch]).take(pa.array(at)), ready.get(key)).to_batches()
+                    yield from apply(pa.Table.from_batches([batch]).take(pa.array(at)), ready.get(key)).to_batches()
 
         return rows.mapInArrow(each, schema)
 
@@ -85,6 +83,19 @@ def with_facts(rows: DataFrame, facts: DataFrame, by: list[str], prepare: Callab
     spread = beside(facts, slices, by).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
 
     def of_slice(own: pa.Table, found: pa.Table) -> pa.Table:
-        return done(own, prepare(found) if found.num_rows else None)
+        return apply(own, prepare(found) if found.num_rows else None)
 
     return dealt.groupBy(*by, "slice").cogroup(spread.groupBy(*by, "slice")).applyInArrow(of_slice, schema)
+
+
+def with_facts(rows: DataFrame, facts: DataFrame, by: list[str], prepare: Callable[[pa.Table], object], apply: Callable[[pa.Table, object | None], list],
+               drop: list[str], out: T.StructField, facts_bytes: int, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Replaces the columns ``drop`` by ``out``, a value for each row of ``apply(rows of one group, prepared facts or None)``."""
+    kept = [f for f in rows.schema.fields if f.name not in (*drop, out.name)]
+    names = [f.name for f in kept]
+    kind = rows.sparkSession.createDataFrame([], T.StructType([out])).toArrow().schema.field(0).type
+
+    def done(own: pa.Table, found: object | None) -> pa.Table:
+        return own.select(names).append_column(out.name, pa.array(apply(own, found), kind))
+
+    return per_group(rows, facts, by, prepare, done, T.StructType([*kept, out]), facts_bytes, broadcast_bytes)

@@ -10,9 +10,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, PCAModel
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetpulse.fixed_values import (
@@ -20,11 +17,15 @@ from fleetpulse.fixed_values import (
     WINDOW_DAYS,
 )
 from fleetpulse.functions.scalars import eps_f1, let, safe_div
+from fleetpulse.operators.clusters import fit_clusters
+from fleetpulse.operators.directions import fit_directions, with_code
 from fleetpulse.operators.ranking import exact_quantiles
 from fleetpulse.operators.sampling import capped
 from fleetpulse.operators.windows import KEYS, by_device
+from fleetpulse.session import materialize
 
-PROTOTYPE_SCHEMA = "model string, kind string, k int, center array<double>"
+#: Length of a patch's code.
+CODE_DIMS = 64
 
 
 @dataclass(frozen=True)
@@ -85,33 +86,45 @@ def cross_embedding(features: list[str]) -> Column:
     return F.concat(*[F.col(f"zp_{c}") for c in features])
 
 
-def fit_embedding(patches: DataFrame, dims: int) -> PCAModel:
-    """A linear code of the patches (PCA); with at most ``dims`` days the patch itself is the code."""
-    vectors = patches.select(array_to_vector("emb").alias("v"))
-    return PCA(k=dims, inputCol="v", outputCol="code").fit(vectors)
+def fit_embedding(patches: DataFrame, width: int, dims: int = CODE_DIMS) -> DataFrame | None:
+    """(model, mean, directions): a linear code of each model's patches, which count as often as train windows hold them.
+
+    None where a patch has no more than ``dims`` values and is its own code.
+    """
+    if width <= dims:
+        return None
+    weighted = patches.withColumn("_w", F.col("n_healthy") + F.col("n_failed"))
+    return materialize(fit_directions(weighted, ["model"], "emb", width, dims, "_w"), "embedding")
 
 
-def embed(patches: DataFrame, model: PCAModel) -> DataFrame:
+def embed(patches: DataFrame, code: DataFrame | None) -> DataFrame:
     """Replaces ``emb`` by its code."""
-    coded = model.transform(patches.withColumn("v", array_to_vector("emb")))
-    return coded.withColumn("emb", vector_to_array("code")).drop("v", "code")
+    if code is None:
+        return patches
+    return with_code(patches, code, ["model"], "emb", "_code").drop("emb").withColumnRenamed("_code", "emb")
+
+
+def coded(emb: Column, mean: Column, directions: Column) -> Column:
+    """The same code as an expression; ``directions`` lists one direction after the other."""
+    def along(shifted: Column) -> Column:
+        width = F.size(shifted)
+        return F.transform(F.sequence(F.lit(0), (F.size(directions) / width).cast("int") - 1), lambda d: F.aggregate(
+            F.zip_with(shifted, F.slice(directions, d * width + 1, width), lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v))
+
+    return F.when(emb.isNotNull(), let(F.zip_with(emb, mean, lambda a, b: a - b), along))
 
 
-def fit_prototypes(patches: DataFrame, kind: str, k: int, seed: int = 0, cap: int | None = None, max_iter: int = 20) -> DataFrame:
-    """KMeans centers per device model: (model, kind, k, center). K centers per model is all that leaves Spark.
+def fit_prototypes(patches: DataFrame, kind: str, k: int, width: int, seed: int = 0, cap: int | None = None, max_iter: int = 300,
+                   tolerance: float = 1e-3) -> DataFrame:
+    """K-means centers of all device models in the same jobs: (model, kind, k, center).
 
     Each patch counts as often as train windows hold it. All patches count unless the caller caps them.
     """
     keys = [c for c in ("disk_id", "day", "attr") if c in patches.columns]
     chosen = patches if cap is None else capped(patches, ["model"], keys, cap, seed)
-    sample = chosen.select(
-        "model", array_to_vector("emb").alias("v"), (F.col("n_healthy") + F.col("n_failed")).cast("double").alias("w"))
-    found = []
-    # one fit per device model: the list of models is short
-    for name in [r[0] for r in sample.select("model").distinct().orderBy("model").collect()]:
-        model = KMeans(k=k, seed=seed, featuresCol="v", weightCol="w", maxIter=max_iter).fit(sample.filter(F.col("model") == name))
-        found += [(name, kind, i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    return patches.sparkSession.createDataFrame(found, PROTOTYPE_SCHEMA)
+    weighted = chosen.withColumn("_weight", F.col("n_healthy") + F.col("n_failed"))
+    found = fit_clusters(weighted, ["model"], "emb", width, k, ["model", *keys], "_weight", seed, max_iter, tolerance)
+    return found.select("model", F.lit(kind).alias("kind"), F.posexplode("centers").alias("k", "center"))
 
 
 def mean_prototypes(patches: DataFrame, kind: str, group: Column, weight: Column, length: int) -> DataFrame:
@@ -189,14 +202,25 @@ def tune_threshold(matched: DataFrame, by: list[str], max_fpr: float = MAX_FALSE
 
 
 def assign_rows(rows: DataFrame, features: list[str], attr: DataFrame, attr_threshold: DataFrame, cross: DataFrame,
-                cross_threshold: DataFrame) -> DataFrame:
-    """Adds ``a_<attr>`` and ``a_cross``: struct(proto, novel, dist) of the patch that ends at a row."""
+                cross_threshold: DataFrame, attr_code: DataFrame | None = None, cross_code: DataFrame | None = None) -> DataFrame:
+    """Adds ``a_<attr>`` and ``a_cross``: struct(proto, novel, dist) of the patch that ends at a row.
+
+    The codes are those the prototypes were learned on; None where patches are their own codes.
+    """
     learned = (
         center_lists(attr).withColumnRenamed("centers", "_ac")
         .join(center_lists(cross).withColumnRenamed("centers", "_cc"), "model")
         .join(attr_threshold.select("model", F.col("threshold").alias("_at")), "model")
         .join(cross_threshold.select("model", F.col("threshold").alias("_ct")), "model")
     )
+    codes = {"a": attr_code, "c": cross_code}
+    for kind, code in codes.items():
+        if code is not None:
+            learned = learned.join(code.select("model", F.col("mean").alias(f"_{kind}m"), F.col("directions").alias(f"_{kind}d")), "model")
+
+    def code_of(emb: Column, kind: str) -> Column:
+        return emb if codes[kind] is None else coded(emb, F.col(f"_{kind}m"), F.col(f"_{kind}d"))
+
     # one row per device model with K centers of fixed length
     joined = rows.join(F.broadcast(learned), "model")
 
@@ -204,9 +228,9 @@ def assign_rows(rows: DataFrame, features: list[str], attr: DataFrame, attr_thre
         return F.when(n.isNotNull(), let(n, lambda v: F.struct(
             v["k"].alias("proto"), (v["dist"] > F.col(threshold)).alias("novel"), v["dist"].alias("dist"))))
 
-    made = {f"a_{c}": flagged(nearest(F.col(f"zp_{c}"), F.col("_ac")), "_at") for c in features}
-    made["a_cross"] = flagged(nearest(cross_embedding(features), F.col("_cc")), "_ct")
-    return joined.withColumns(made).drop("_ac", "_cc", "_at", "_ct")
+    made = {f"a_{c}": flagged(nearest(code_of(F.col(f"zp_{c}"), "a"), F.col("_ac")), "_at") for c in features}
+    made["a_cross"] = flagged(nearest(code_of(cross_embedding(features), "c"), F.col("_cc")), "_ct")
+    return joined.withColumns(made).drop("_ac", "_cc", "_at", "_ct", "_am", "_ad", "_cm", "_cd")
 
 
 def window_assignments(assigned: DataFrame, features: list[str], shape: PatchShape = PatchShape(),

@@ -16,10 +16,6 @@ from fleetpulse.registry.queries_data import WKEY, windows, wkey
 WIN = X.WINDOWS
 
 
-def test_windows(spark, sf):
-    return windows(spark, sf).filter("split = 'test'")
-
-
 def rounded(df, cols):
     return [F.round(c, 6).alias(c) for c in cols]
 
@@ -79,16 +75,22 @@ def w9(spark, sf):
     return wkey(rows, "p", *[S.total(F.col(f"patch.{c}")).alias(c) for c in FEATURES])
 
 
-@query("w10_random_patches", f"""with {WIN}, pos as (select model, disk_id, end_day, i, r_5[i + 1 : i + 5] as patch,
-  md5('11|' || disk_id || '|' || strftime(end_day, '%Y-%m-%d') || '|' || i) as h from win, (select unnest(range(0, 26)) as i) where split = 'train')
-select {WKEY}, i as pos, list_sum(patch) as total from (select *, row_number() over (partition by model order by h, disk_id, end_day, i) as rk from pos) where rk <= 2000""")
+W10_PARTS = " union all ".join(f"select model, disk_id, end_day, '{c}' as attr, i, {c}[i + 1 : i + 5] as patch from win, (select unnest(range(0, 26)) as i) where split = 'train'" for c in FEATURES)
+
+
+@query("w10_random_patches", f"""with {WIN}, parts as ({W10_PARTS}),
+pos as (select *, md5('11|' || disk_id || '|' || strftime(end_day, '%Y-%m-%d') || '|' || attr || '|' || i) as h from parts)
+select {WKEY}, attr, i as pos, list_sum(patch) as total from (select *, row_number() over (partition by model order by h, disk_id, end_day, attr, i) as rk from pos) where rk <= 2000""")
 def w10(spark, sf):
     from fleetpulse.operators.sampling import capped
 
-    train = windows(spark, sf).filter("split = 'train'").select("model", "disk_id", "end_day", F.explode(S.all_patches(F.col("r_5"), 5)).alias("p"))
-    rows = train.select("model", "disk_id", "end_day", "p.pos", "p.patch")
-    chosen = capped(rows, ["model"], ["disk_id", "end_day", "pos"], 2000, 11)
-    return wkey(chosen, "pos", S.total(F.col("patch")).alias("total"))
+    def patches_of(c):
+        return F.transform(S.all_patches(F.col(c), 5), lambda p: F.struct(F.lit(c).alias("attr"), p["pos"].alias("pos"), p["patch"].alias("patch")))
+
+    items = F.concat(*[patches_of(c) for c in FEATURES])
+    train = windows(spark, sf).filter("split = 'train'").select("model", "disk_id", "end_day", F.explode(items).alias("p"))
+    chosen = capped(train.select("model", "disk_id", "end_day", "p.*"), ["model"], ["disk_id", "end_day", "attr", "pos"], 2000, 11)
+    return wkey(chosen, "attr", "pos", S.total(F.col("patch")).alias("total"))
 
 
 @query("w11_edge_means", f"with {WIN} select {WKEY}, {each(lambda c: r6(f'list_sum({c}[1:10]) / 10') + f' as {c}_early, ' + r6(f'list_sum({c}[21:30]) / 10') + f' as {c}_late')} from win")
@@ -159,11 +161,11 @@ def v4(spark, sf):
     return wkey(windows(spark, sf), cells(S.flatten_day_major([F.col(c) for c in FEATURES])).alias("cells"))
 
 
-@query("v6_checked_window", f"with {WIN} select split, count(*) as n, count(*) as fits_five, 0 as fits_four, sum(list_sum(r_5)) as total from win group by 1")
+@query("v6_checked_window", f"with {WIN} select split, count(*) as n, {each(lambda c: f'count(*) as {c}_five, 0 as {c}_four, sum(list_sum({c})) as {c}')} from win group by 1")
 def v6(spark, sf):
-    rows = windows(spark, sf).withColumns({"five": S.checked_window(F.col("r_5"), 5, 6), "four": S.checked_window(F.col("r_5"), 4, 7)})
-    return rows.groupBy("split").agg(F.count("*").alias("n"), F.count("five").alias("fits_five"), F.count("four").alias("fits_four"),
-                                     F.sum(S.total(F.col("five"))).alias("total"))
+    rows = windows(spark, sf).withColumns({f"{c}_{name}": S.checked_window(F.col(c), days, n) for c in FEATURES for name, days, n in (("five", 5, 6), ("four", 4, 7))})
+    return rows.groupBy("split").agg(F.count("*").alias("n"), *every(lambda c: [
+        F.count(f"{c}_five").alias(f"{c}_five"), F.count(f"{c}_four").alias(f"{c}_four"), F.sum(S.total(F.col(f"{c}_five"))).alias(c)]))
 
 
 X1_SQL = ", ".join(f"""min({c}) over w as {c}_min, max({c}) over w as {c}_max, avg({c}) over w as {c}_mean, stddev_pop({c}) over w as {c}_std,

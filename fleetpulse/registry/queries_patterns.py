@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from fleetpulse import scratch_dir
 from fleetpulse.fixed_values import ATTR_PHRASES, CROSS_PHRASES, NOVELTY_QUANTILES
 from fleetpulse.functions import trends as T
+from fleetpulse.operators.clusters import with_nearest
 from fleetpulse.operators import patterns as PT, reports as P, scaling as SC, vocabulary as V
 from fleetpulse.registry import fixtures as X
 from fleetpulse.registry.catalog import query
@@ -322,14 +323,31 @@ def l10(spark, sf):
     return v.select("model", "kind", "k", "label", "phrase", "num_patches", F.round("stats.level_mean", 6).alias("level_mean"), F.round("stats.delta", 6).alias("delta"))
 
 
-@query("j7_assignment_phrases", f"with {VOCAB}, asg as (select a.model, a.disk_id, a.end_day, a.split, a.attr, a.p, a.proto from am a) select a.model, a.attr, a.proto, coalesce({phrase_case(ATTR_PHRASES, 'unclassified pattern')}, 'unclassified pattern') as phrase, count(*) as n from asg a left join vocab v on v.model = a.model and v.k = a.proto group by 1, 2, 3, 4")
+CROSS_VOCAB = f""",
+cpart as ({_cross_parts()}),{shape_sql('cpart', 'lab2')},{CROSS_RULES.replace('model, disk_id, end_day', 'model, k').replace('group by 1, 2, 3', 'group by 1, 2')},
+cvocab as (select c.model, 'cross' as kind, c.k, coalesce(num_patches, 0) as num_patches, coalesce(label, 'UNUSED_PROTO') as label, xs
+  from (select model, unnest(range(0, 2)) as k from ccent) c left join cmean using (model, k) left join (select model, k, label from clab) using (model, k))"""
+CROSS_PHRASE = phrase_case(CROSS_PHRASES, "unclassified cross-attribute pattern")
+
+
+@query("l10_cross_vocabulary", f"with {MEANS}{CROSS_VOCAB} select model, kind, k, label, {CROSS_PHRASE} as phrase, num_patches, {r6('list_sum(xs) / 20')} as level_mean, {r6('xs[20] - xs[1]')} as delta from cvocab")
+def l10_cross(spark, sf):
+    v = Learned(spark, sf).cross_vocab()
+    return v.select("model", "kind", "k", "label", "phrase", "num_patches", F.round("stats.level_mean", 6).alias("level_mean"), F.round("stats.delta", 6).alias("delta"))
+
+
+@query("j7_assignment_phrases", f"""with {VOCAB}{CROSS_VOCAB} select a.model, 'attr' as kind, a.attr, a.proto, coalesce({phrase_case(ATTR_PHRASES, 'unclassified pattern')}, 'unclassified pattern') as phrase, count(*) as n
+from am a left join vocab v on v.model = a.model and v.k = a.proto group by 1, 2, 3, 4, 5
+union all select c.model, 'cross', null, c.proto, coalesce({CROSS_PHRASE}, 'unclassified cross-attribute pattern'), count(*)
+from cm c left join cvocab v on v.model = c.model and v.k = c.proto group by 1, 2, 3, 4, 5""")
 def j7(spark, sf):
     learned = Learned(spark, sf)
-    flat = PT.long_assignments(learned.windows(keep_days=False), FEATURES).filter("kind = 'attr' and proto >= 0")
-    maps = V.phrase_maps(learned.attr_vocab())
-    named = flat.join(F.broadcast(maps), "model").withColumn(
-        "phrase", F.coalesce(F.try_element_at("phrases", F.col("proto")), F.lit("unclassified pattern")))
-    return named.groupBy("model", "attr", "proto", "phrase").agg(F.count("*").alias("n"))
+    flat = PT.long_assignments(learned.windows(keep_days=False), FEATURES).filter("proto >= 0")
+    maps = [V.phrase_maps(v).withColumn("kind", F.lit(k)) for k, v in (("attr", learned.attr_vocab()), ("cross", learned.cross_vocab()))]
+    maps = materialize(maps[0].unionByName(maps[1]), "phrases")
+    none = F.when(F.col("kind") == "attr", "unclassified pattern").otherwise("unclassified cross-attribute pattern")
+    named = flat.join(maps, ["model", "kind"]).withColumn("phrase", F.coalesce(F.try_element_at("phrases", F.col("proto")), none))
+    return named.groupBy("model", "kind", "attr", "proto", "phrase").agg(F.count("*").alias("n"))
 
 
 @query("l11_s8_k5_vocabulary_export", f"with {VOCAB} select model, 'attr' as kind, k as cluster_id, label, {phrase_case(ATTR_PHRASES, 'unclassified pattern')} as phrase, num_patches as support_count, {r6('threshold')} as distance_cutoff, 5 as patch_len from vocab join at_t using (model)")
@@ -385,20 +403,44 @@ def r6l7(spark, sf):
     return reps.groupBy("model", F.col("proto").alias("k")).agg(F.count("*").alias("n"))
 
 
-@query("l1_l3_kmeans_prototypes")
+def clustered(spark, sf, cut, kind: str, k: int, width: int, dims: int):
+    """Per model: how often train windows hold its patches, and what must hold for the code and the centers.
+
+    ``centred``, ``orthonormal`` and ``ordered`` are about the code, ``nearest`` and ``means`` about the centers; centers are compared
+    with means taken anew, to a hundredth; rounds end when no center moves by a thousandth.
+    """
+    patches = materialize(cut(patch_rows(spark, sf), FEATURES), f"{kind}-patches")
+    code = PT.fit_embedding(patches, width, dims)
+    rows = materialize(PT.embed(patches, code).withColumn("w", F.col("n_healthy") + F.col("n_failed")), f"{kind}-codes")
+    protos = materialize(PT.fit_prototypes(rows, kind, k, dims), f"{kind}-centers")
+    matched = materialize(PT.match(rows, protos), f"{kind}-matched")
+    means = matched.groupBy("model", F.col("proto").alias("k")).agg(F.array(*[F.sum(F.get("emb", F.lit(i)) * F.col("w")) / F.sum("w") for i in range(dims)]).alias("mean"))
+    apart = F.aggregate(F.zip_with("center", "mean", lambda p, q: F.abs(p - q)), F.lit(0.0), lambda t, v: F.greatest(t, v))
+    held = protos.join(means, ["model", "k"], "left").groupBy("model").agg(F.count("*").alias("centers"), F.bool_and(F.coalesce(apart < 1e-2, F.lit(True))).alias("means"))
+    counts = with_nearest(matched, PT.center_lists(protos), ["model"], "emb", dims).groupBy("model").agg(
+        F.sum("w").alias("held"), F.bool_and(F.abs(F.sqrt("nearest.d2") - F.col("dist")) < 1e-6).alias("nearest"),
+        F.array(*[F.sum(F.get("emb", F.lit(i)) * F.col("w")) / F.sum("w") for i in range(dims)]).alias("mean_code"))
+    d = F.col("directions")
+    pairs = [F.abs(F.aggregate(F.zip_with(F.slice(d, i * width + 1, width), F.slice(d, j * width + 1, width), lambda p, q: p * q), F.lit(0.0), lambda t, v: t + v)
+                   - (1.0 if i == j else 0.0)) < 1e-9 for i in range(dims) for j in range(i + 1)]
+    shape = code.select("model", F.forall(F.array(*pairs), lambda v: v).alias("orthonormal"), (F.array_sort("variances") == F.reverse("variances")).alias("ordered"))
+    out = counts.join(held, "model").join(shape, "model")
+    return out.select("model", "held", "centers", F.forall("mean_code", lambda v: F.abs(v) < 1e-6).alias("centred"), "orthonormal", "ordered", "nearest", "means")
+
+
+def clustered_sql(table: str, k: int) -> str:
+    return f"""with {WPATCH} select model, count(*) as held, {k}::bigint as centers, true as centred, true as orthonormal, true as ordered, true as nearest, true as means
+from {table} where split = 'train' group by 1"""
+
+
+@query("l1_l3_kmeans_prototypes", clustered_sql("ap", 16))
 def l3(spark, sf):
-    patches = materialize(PT.attr_patches(patch_rows(spark, sf), FEATURES), "attr-patches")
-    code = PT.fit_embedding(patches, 3)
-    protos = PT.fit_prototypes(PT.embed(patches, code), "attr", 16)
-    return protos.select("model", "kind", "k", F.size("center").alias("dims"))
+    return clustered(spark, sf, PT.attr_patches, "attr", 16, SHAPE.days, 3)
 
 
-@query("l2_cross_kmeans_thresholds")
+@query("l2_cross_kmeans_thresholds", clustered_sql("cp", 8))
 def l2(spark, sf):
-    patches = materialize(PT.cross_patches(patch_rows(spark, sf), FEATURES), "cross-patches")
-    coded = PT.embed(patches, PT.fit_embedding(patches, 8))
-    matched = PT.match(coded, PT.fit_prototypes(coded, "cross", 8))
-    return PT.tune_threshold(matched, ["model"])
+    return clustered(spark, sf, PT.cross_patches, "cross", 8, SHAPE.days * len(FEATURES), 8)
 
 
 EMB_CENTERS = "cen as (select label, " + ", ".join(f"round(avg(embedding[{i}]::double), 6) as c{i}" for i in range(1, 65)) + " from embeddings group by 1)"

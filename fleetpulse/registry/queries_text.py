@@ -13,7 +13,7 @@ from fleetpulse.registry.catalog import query
 from fleetpulse.registry.fixtures import FEATURES, r6
 from fleetpulse.registry.queries_data import WKEY, windows, wkey
 from fleetpulse.registry.queries_features import C10_SQL, HSRC
-from fleetpulse.registry.queries_patterns import SHAPE, TUNED, VOCAB, Learned, phrase_case
+from fleetpulse.registry.queries_patterns import CROSS_PHRASE, CROSS_VOCAB, SHAPE, TUNED, VOCAB, Learned, phrase_case
 from fleetpulse.session import materialize
 
 WIN = X.WINDOWS
@@ -87,7 +87,8 @@ def _seg_stats(e: str, n: int) -> str:
             f"{three(f'({e})[{n}]')} || ', delta=' || {three(f'({e})[{n}] - ({e})[1]')} || '); raw_values=' || {listed(e)}")
 
 
-T1_SQL = VOCAB + f""",
+T1_SQL = VOCAB + CROSS_VOCAB + f""",
+cvph as (select model, k, {CROSS_PHRASE} as phrase from cvocab),
 vph as (select model, k, {phrase_case(ATTR_PHRASES, 'unclassified pattern')} as phrase from vocab),
 seg as (select a.model, a.disk_id, a.end_day, a.y, a.p, a.attr, a.raw, v.phrase, a.dist > t.threshold as novel
   from am a join at_t t using (model) join vph v on v.model = a.model and v.k = a.proto where a.split = 'test'),
@@ -95,7 +96,7 @@ per as (select model, disk_id, end_day, attr, max(y) as y, count(distinct (phras
   string_agg('days ' || (p * 5) || '-' || (p * 5 + 5) || ': ' || phrase || case when novel then ' [NOVEL' || {_seg_stats('raw', 5)} || ']' else '' end, '; ' order by p) as parts,
   flatten(list(raw order by p)) as days from seg group by 1, 2, 3, 4),
 lines as (select *, '- ' || attr || ': ' || case when kinds = 1 then one || ' across all 30 days of the window' || case when any_novel then ' [NOVEL' || {_seg_stats('days', 30)} || ']' else '' end else parts end as line from per),
-cseg as (select c.model, c.disk_id, c.end_day, c.p, case c.proto when 0 then 'calm mix' else 'failing mix' end as phrase, c.dist > t.threshold as novel from cm c join ct_t t using (model) where split = 'test'),
+cseg as (select c.model, c.disk_id, c.end_day, c.p, coalesce(v.phrase, 'unclassified cross-attribute pattern') as phrase, c.dist > t.threshold as novel from cm c join ct_t t using (model) left join cvph v on v.model = c.model and v.k = c.proto where split = 'test'),
 cper as (select model, disk_id, end_day, case when count(distinct (phrase, novel)) = 1 then '- ' || max(phrase) || ' across all 30 days of the window' || case when bool_or(novel) then ' [NOVEL]' else '' end
   else string_agg('- segment days ' || (p * 5) || '-' || (p * 5 + 5) || ': ' || phrase || case when novel then ' [NOVEL]' else '' end, {NL} order by p) end as cline from cseg group by 1, 2, 3),
 t1 as (select l.model, l.disk_id, l.end_day, max(l.y) as y, 'Window index: ' || ({INDEX.replace('disk_id', 'l.disk_id').replace('end_day', 'l.end_day')}) || {NL} || {NL} || 'Attribute-level patterns (per SMART attribute):' || {NL}
@@ -107,7 +108,7 @@ def described(spark, sf):
     learned = Learned(spark, sf)
     wins = index_of(learned.windows().filter("split = 'test'"))
     attr = V.phrase_maps(learned.attr_vocab())
-    cross = learned.cross.select("model").distinct().withColumn("phrases", F.create_map(F.lit(0), F.lit("calm mix"), F.lit(1), F.lit("failing mix")))
+    cross = V.phrase_maps(learned.cross_vocab())
     return S.describe_patterns(wins, attr, cross, FEATURES, shape=SHAPE)
 
 

@@ -283,8 +283,17 @@ def test_daily_files_batch_and_stream(spark, tmp_path):
     from fleetpulse.streaming.daily_ingest import ingest
 
     for _ in range(2):  # the second run finds nothing new
-        ingest(spark, root, f"{extra}/out", f"{extra}/ck", typed).awaitTermination()
-    assert spark.read.parquet(f"{extra}/out").count() == 74
+        ingest(spark, root, f"{extra}/out", f"{extra}/ck", typed, files_per_batch=3).awaitTermination()
+    batch = D.project_model(D.read_daily_logs(spark, [root], typed, ["20180101.csv", "20180102.csv"]), "MB1")
+    stored = spark.read.parquet(f"{extra}/out")
+    assert stored.count() == batch.count() == 70
+    assert sorted(stored.select("disk_id", "ds", "r_5").collect()) == sorted(batch.select("disk_id", "ds", "r_5").collect())
+    os.makedirs(f"{root}/log2021")
+    with open(f"{root}/log2021/20210101.csv", "w") as f:  # another order of columns, and one that this model does not keep
+        f.write("r_9,ds,model,n_x,r_5,disk_id\n9,20210101,MB1,1,5,77\n")
+    ingest(spark, root, f"{extra}/out", f"{extra}/ck", typed).awaitTermination()
+    last = spark.read.parquet(f"{extra}/out").filter("disk_id = 77").first()
+    assert (last.r_5, last.r_9, last.ds) == (5.0, 9.0, 20210101) and spark.read.parquet(f"{extra}/out").count() == 71
 
 
 def test_window_store_rewrites_only_its_partitions(spark):
