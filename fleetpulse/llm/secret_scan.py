@@ -2,8 +2,8 @@
 
 The guesses of a value are the least product over all its segmentations into dictionary words, dates, repeats, keyboard
 walks and brute-force spans (a dynamic program over the value). A value behind a credential word that needs at least
-``10**min_guesses`` guesses is a secret of kind ``guess``; placeholders such as ``password = changeme2024`` are not. For a value without
-a digit, which may be prose ("the secret is understanding"), the words of the tokenizer's vocabulary are in the dictionary too, by rank.
+``10**min_guesses`` guesses is a secret of kind ``guess``; placeholders such as ``password = changeme2024`` are not. As a value
+may be prose ("the secret is understanding"), the words of the tokenizer's vocabulary are in the dictionary too, by rank.
 
 Null texts count as empty and have no span; repeated rows get the same spans; an empty table stays empty. Texts are
 scanned whole, whatever their length. Input columns pass through, but for those named like an output column.
@@ -47,10 +47,6 @@ FIRST_WORDS = (
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "~!@#$%^&*()_+", "1qaz2wsx3edc4rfv5tgb6yhn7ujm8ik,9ol.0p;/")
 LEET = str.maketrans("4301$5@7", "aeolssat")
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)?\d\d")
-#: A value longer than this is cut into pieces for the dynamic program and the guesses are added up.
-PIECE = 256
-
-
 #: Vocabulary file whose words of four letters and more price prose.
 VOCABULARY = "word_bpe_49k.json"
 
@@ -128,29 +124,24 @@ class GuessCost:
 
     def log_guesses(self, s: str) -> float:
         """Each segment after the first doubles the guesses, for the orders in which segments may be tried."""
-        total = 0.0
-        for start in range(0, len(s), PIECE):
-            part = s[start : start + PIECE]
-            ending: list[list[tuple[int, float]]] = [[] for _ in range(len(part) + 1)]
-            for i, j, c in self.spans(part):
-                ending[j].append((i, c))
-            joint = math.log10(2)
-            best, brute = [0.0], [math.inf]  # least cost of the first k characters; the same if a brute-force span is open
-            for k in range(1, len(part) + 1):
-                opened = min(brute[k - 1], best[k - 1] + (joint if k > 1 else 0.0)) + self.brute(part[k - 1])
-                brute.append(opened)
-                best.append(min([opened, *(best[i] + c + (joint if i else 0.0) for i, c in ending[k])]))
-            total += best[-1]
-        return total
+        ending: list[list[tuple[int, float]]] = [[] for _ in range(len(s) + 1)]
+        for i, j, c in self.spans(s):
+            ending[j].append((i, c))
+        joint = math.log10(2)
+        best, brute = [0.0], [math.inf]  # least cost of the first k characters; the same if a brute-force span is open
+        for k in range(1, len(s) + 1):
+            opened = min(brute[k - 1], best[k - 1] + (joint if k > 1 else 0.0)) + self.brute(s[k - 1])
+            brute.append(opened)
+            best.append(min([opened, *(best[i] + c + (joint if i else 0.0) for i, c in ending[k])]))
+        return best[-1]
 
 
 class SecretScanner:
-    def __init__(self, min_guesses: float = 12.0, min_length: int = 8, words: tuple[str, ...] = tuple(FIRST_WORDS), prose: tuple[str, ...] | None = None):
+    def __init__(self, min_guesses: float = 12.0, min_length: int = 8, words: tuple[str, ...] | None = None):
         self.assign, self.access = re.compile(ASSIGN, re.ASCII), re.compile(ACCESS)
         self.hex = re.compile(HEX.replace("+", f"{{{LEAST['hex']},}}"))  # runs are maximal, so shorter ones can be passed over
         self.context = re.compile(CONTEXT, re.ASCII)
-        self.min_guesses, self.min_length, self.guesses = min_guesses, min_length, GuessCost(words)
-        self.prose = GuessCost(prose_words() if prose is None else prose)
+        self.min_guesses, self.min_length, self.guesses = min_guesses, min_length, GuessCost(prose_words() if words is None else words)
 
     def base(self, text: str) -> list[tuple[int, int, str]]:
         out = [(m.start(), m.end(), "hex") for m in self.hex.finditer(text)]
@@ -169,8 +160,7 @@ class SecretScanner:
         out = []
         for m in self.context.finditer(text):
             value = m[1].rstrip(".:!?)]}")
-            guesses = self.guesses if any(c.isdigit() for c in value) else self.prose
-            if len(value) >= self.min_length and guesses.log_guesses(value) >= self.min_guesses:
+            if len(value) >= self.min_length and self.guesses.log_guesses(value) >= self.min_guesses:
                 out.append((m.start(1), m.start(1) + len(value), "guess"))
         return out
 
@@ -187,11 +177,11 @@ def scan_secrets(docs: DataFrame, text: str = "text", min_guesses: float = 12.0,
     lean = importable(docs).select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(hidden))
     kind = "array<struct<kind:string,start:int,end:int>>"
     schema = lean.drop(hidden).withColumn("secrets", F.lit(None).cast(kind)).schema
-    prose = prose_words()
+    words = prose_words()
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
-        scanner = SecretScanner(min_guesses, min_length, prose=prose)
+        scanner = SecretScanner(min_guesses, min_length, words)
         for batch in batches:
             found = [[{"kind": k, "start": s, "end": e} for s, e, k in scanner.scan(t)[1]] for t in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found, arrow)], names=[*keep, "secrets"])

@@ -22,7 +22,7 @@ from fleetpulse.llm.language_id import LanguageProfiles
 from fleetpulse.llm.line_dedup import dedup_lines
 from fleetpulse.llm.quality_rules import judge_quality
 from fleetpulse.llm.resample import crcs_of, importance_resample, spans_pattern
-from fleetpulse.llm.secret_scan import scan_secrets
+from fleetpulse.llm.secret_scan import SecretScanner, scan_secrets
 from fleetpulse.llm.shard_tree import assign_shards
 from fleetpulse.llm.sharded_lloyd import cluster_vectors
 from fleetpulse.llm.source_mix import mix_sources
@@ -188,3 +188,11 @@ def test_internal_names_as_extra_columns(spark):
     for df in found:
         rows = df.collect()
         assert len(rows) == 3 and kept <= set(df.columns) and all(r["__place"] == r["at"] == "x" for r in rows)
+
+
+def test_guesses_of_long_values_and_of_words_with_a_digit():
+    scanner = SecretScanner()
+    for text in ("password: " + "a" * 250, "password: " + "a" * 30_000, "pwd: " + "ab" * 9_000, "the secret is understanding", "the secret is understanding1", "the token is configuration2"):
+        assert not scanner.guess(text)
+    for text in ("pwd: x8Kq2!vP9zLw", "pwd: " + "".join(chr(33 + (k * k * 7 + k) % 90) for k in range(4000) if chr(33 + (k * k * 7 + k) % 90) not in "\"'`,;<>")):
+        assert scanner.guess(text)
