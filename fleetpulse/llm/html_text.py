@@ -3,9 +3,12 @@
 A page is fed to the standard library's parser in chunks. Its events become lines, one for each block element, each with
 its number of text characters and of tags. Lines inside navigation, adverts, forms, reader comments and the like are
 boilerplate by their elements. Over the remaining lines the text-to-tag ratio is smoothed by a Gaussian and split into
-two clusters by a threshold; the lines of the upper cluster choose the content region: the innermost region element
-(article, main, section, div, body ...) that holds most of their text, or the article or main around it. Every line of
-that region that isn't boilerplate is kept, short paragraphs between long ones included.
+two clusters by a threshold; the lines of the upper cluster choose the content region: the article or main around the innermost
+region element that holds most of their text, or, where there is none, the innermost div or body that
+holds all of them (a section is a part of its article). Every line of that region that isn't boilerplate is kept, short paragraphs between long ones included.
+
+Headings are boilerplate by no mark, and inside an article an id counts only if all its words are marks. An article inside another
+article or main whose class or id has marks alone (``comment``) is boilerplate. A form that holds more than half of the text isn't furniture.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed, joined by one line
 break and never dropped or shortened otherwise. Null or empty pages, and pages without a content line, give an empty text. An
@@ -28,10 +31,11 @@ from fleetpulse.llm.common import free_name, importable
 CHUNK = 1 << 16
 # Elements by their part in a page.
 NO_TEXT = frozenset("head script style noscript template svg math iframe object canvas audio video select textarea button datalist title".split())
-FURNITURE = frozenset("nav footer aside form dialog menu".split())
+FURNITURE = frozenset("nav footer aside dialog menu".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 REGION = frozenset("article main section div body".split())
 BLOCK = REGION | NO_TEXT | FURNITURE | frozenset(
-    "html p h1 h2 h3 h4 h5 h6 header hgroup ul ol li dl dt dd table caption thead tbody tfoot tr blockquote pre figure figcaption "
+    "form html p h1 h2 h3 h4 h5 h6 header hgroup ul ol li dl dt dd table caption thead tbody tfoot tr blockquote pre figure figcaption "
     "address details summary fieldset legend hr center".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -56,20 +60,21 @@ WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class PageLines(HTMLParser):
-    """Collects lines as (text, number of tags, chain of region elements, boilerplate or not)."""
+    """Collects lines as (text, number of tags, chain of region elements, number of the form around them or 0)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, tuple[int, ...], int]] = []
         self.open: list[tuple[str, bool, int]] = []  # element, whether it hides its text, region number or -1
         self.hidden, self.regions, self.kinds = 0, (0,), ["page"]
+        self.forms, self.form, self.depth = 0, 0, 0
         self.text: list[str] = []
         self.tags = 0
 
     def flush(self) -> None:
         line = " ".join("".join(self.text).split()) if self.text else ""
         if line:
-            self.lines.append((line, self.tags, self.regions))
+            self.lines.append((line, self.tags, self.regions, self.form))
         if line or not self.text:
             self.tags = 0
         self.text = []
@@ -80,16 +85,18 @@ class PageLines(HTMLParser):
         in_article = any(t in ("article", "main") for t, _, _ in self.open)
         if tag == "header" and not in_article:
             return True
-        if tag in ("html", "body", "article", "main"):
+        if tag in ("html", "body", "main") or (tag == "article" and not in_article):
             return False
         for name, value in attrs:
             if name in ("hidden",) or (name == "aria-hidden" and value == "true"):
                 return True
             if name == "style" and value and re.search(r"display\s*:\s*none", value):
                 return True
-            if name in ("class", "id", "role", "aria-label") and value:
+            if name in ("class", "id", "role", "aria-label") and value and tag not in HEADINGS:
                 for token in value.split():
                     words = {w.lower() for w in WORDS.findall(token)}
+                    if in_article and (name == "id" or tag == "article") and not words <= MARKS:
+                        continue
                     if not words & UNMARKS and (words & MARKS or (words & HEADER_MARKS and not in_article)):
                         return True
         return False
@@ -117,6 +124,11 @@ class PageLines(HTMLParser):
                 self.kinds.append(tag)
                 self.regions += (region,)
             self.hidden += hides
+            if tag == "form":
+                self.depth += 1
+                if self.depth == 1:
+                    self.forms += 1
+                    self.form = self.forms
             self.open.append((tag, hides, region))
 
     def handle_startendtag(self, tag, attrs):
@@ -136,8 +148,11 @@ class PageLines(HTMLParser):
     def close_from(self, k: int) -> None:
         if any(t in BLOCK for t, _, _ in self.open[k:]):
             self.flush()
-        for _, hides, region in self.open[k:]:
+        for tag, hides, region in self.open[k:]:
             self.hidden -= hides
+            if tag == "form":
+                self.depth -= 1
+                self.form = self.form if self.depth else 0
             if region >= 0:
                 self.regions = self.regions[: self.regions.index(region)]
         del self.open[k:]
@@ -182,7 +197,7 @@ def upper_cluster(x: np.ndarray) -> np.ndarray:
 
 
 def main_text(html: str | None, sigma: float = 1.0, share: float = 0.8) -> str:
-    """Content lines of one page. ``share``: part of the chosen lines' text that the content region holds at least."""
+    """Content lines of one page. ``share``: part of the chosen lines' text that the region inside an article or main holds at least."""
     if not html:
         return ""
     page = PageLines()
@@ -190,7 +205,10 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.8) -> str:
         page.feed(html[start : start + CHUNK])
     page.close()
     page.flush()
-    lines = page.lines
+    in_form: dict[int, int] = {}
+    for t, _, _, form in page.lines:
+        in_form[form] = in_form.get(form, 0) + len(t)
+    lines = [(t, n, regions) for t, n, regions, form in page.lines if not form or 2 * in_form[form] > sum(in_form.values())]
     if not lines:
         return ""
     chars = [len(t) for t, _, _ in lines]
@@ -202,7 +220,8 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.8) -> str:
                 held[r] = held.get(r, 0) + n
     region = max(r for r, n in held.items() if n >= share * held[0])  # inner regions have larger numbers
     chain = next(regions[: regions.index(region) + 1] for _, _, regions in lines if region in regions)
-    top = next((r for r in reversed(chain) if page.kinds[r] in ("article", "main")), region)
+    around = max(r for r, n in held.items() if n == held[0] and page.kinds[r] != "section")  # a section is a part of what is around it
+    top = next((r for r in reversed(chain) if page.kinds[r] in ("article", "main")), around)
     return "\n".join(t for t, _, regions in lines if top in regions)
 
 

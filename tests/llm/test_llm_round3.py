@@ -12,11 +12,11 @@ import pytest
 from compare import compare, duck
 from pyspark.sql import functions as F
 
-from fleetpulse.llm import line_dedup, queries
+from fleetpulse.llm import html_text, line_dedup, queries
 from fleetpulse.llm.bpe import bpe_encode
 from fleetpulse.llm.exact_dedup import drop_exact_copies
 from fleetpulse.llm.hpy_lm import hpy_score
-from fleetpulse.llm.html_text import extract_main_text
+from fleetpulse.llm.html_text import extract_main_text, main_text
 from fleetpulse.llm.jaccard_join import drop_near_copies
 from fleetpulse.llm.language_id import LanguageProfiles
 from fleetpulse.llm.line_dedup import dedup_lines
@@ -196,3 +196,24 @@ def test_guesses_of_long_values_and_of_words_with_a_digit():
         assert not scanner.guess(text)
     for text in ("pwd: x8Kq2!vP9zLw", "pwd: " + "".join(chr(33 + (k * k * 7 + k) % 90) for k in range(4000) if chr(33 + (k * k * 7 + k) % 90) not in "\"'`,;<>")):
         assert scanner.guess(text)
+
+
+LONG_P = "<p>" + "a long paragraph of the article with many words in it " * 4 + "</p>"
+
+
+def test_text_that_is_no_boilerplate_stays(monkeypatch):
+    whole = " ".join(("a long paragraph of the article with many words in it " * 4).split())
+    sections = f"<body><div><section>{LONG_P * 5}</section><section><p>short</p></section></div></body>"
+    assert main_text(sections) == "\n".join([whole] * 5 + ["short"])
+    marked = f"<article><section id='related-work'>{LONG_P}</section><h2 id='social-impact'>Impact</h2>{LONG_P}<div id='comments'><p>nice</p></div></article>"
+    assert main_text(marked) == f"{whole}\nImpact\n{whole}"
+    page = f"<body><form id='aspnetForm'><div>{LONG_P * 3}</div></form></body>"
+    assert main_text(page) == "\n".join([whole] * 3)
+    assert main_text(f"<body><div>{LONG_P * 3}</div><form><p>Your name</p></form></body>") == "\n".join([whole] * 3)
+    comments = f"<main>{LONG_P * 2}<article class='comment'><p>I like it</p></article></main>"
+    assert main_text(comments) == "\n".join([whole] * 2)
+    links = "<div>" + "".join(f"<p><a href=x><b><i>link {k}</i></b></a></p>" for k in range(12)) + "</div>"
+    plain = f"<body>{links}<div>{LONG_P * 4}</div>{links}</body>"
+    assert main_text(plain) == "\n".join([whole] * 4)
+    monkeypatch.setattr(html_text, "upper_cluster", lambda x: np.ones(len(x), bool))
+    assert main_text(plain).count("link") == 24  # the clusters decide
