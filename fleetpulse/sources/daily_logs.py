@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from fleetpulse.fixed_values import MODEL_ATTRIBUTES, RAW_ATTRIBUTES, SKIPPED_DAY_FILES
 from fleetpulse.functions.scalars import parse_day
 
 ID_COLUMNS = ["disk_id", "ds", "model"]
+#: Bytes that are read of a file at a time to find its header.
+HEADER_BYTES = 1 << 16
+#: Stores whose files a task can open with its own credentials.
+ARROW_STORES = frozenset({"file", "s3", "s3a", "gs", "abfs", "abfss"})
 
 
 def log_schema(attributes: Iterable[str] = RAW_ATTRIBUTES) -> T.StructType:
@@ -18,17 +26,58 @@ def log_schema(attributes: Iterable[str] = RAW_ATTRIBUTES) -> T.StructType:
     return T.StructType(fields + [T.StructField(a, T.DoubleType()) for a in attributes])
 
 
-def file_headers(spark: SparkSession, directories: list[str]) -> DataFrame:
-    """(header, files): the files below the folders by their first line. Only the blocks at a file's start count."""
+def first_line(file, step: int = HEADER_BYTES) -> str | None:
+    """First line of an open binary file, read in steps until it ends; None for an empty file."""
+    head = b""
+    while True:
+        more = file.read(step)
+        head += more
+        if not more or b"\n" in more or b"\r" in more:
+            return re.split("[\r\n]", head.decode("utf-8", "replace"), maxsplit=1)[0] if head else None
+
+
+def _open(path: str):
+    """A file by the path Spark lists it under, in a task."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem().open_input_stream("/" + rest.lstrip("/"))
+    store, inner = fs.FileSystem.from_uri(scheme.replace("s3a", "s3") + ":" + quote(rest, safe="/@"))
+    return store.open_input_stream(inner)
+
+
+def _headers(batches):
+    for batch in batches:
+        paths, lines = batch.column(0), []
+        for path in paths.to_pylist():
+            with _open(path) as f:
+                lines.append(first_line(f))
+        yield pa.record_batch([paths, pa.array(lines, pa.string())], ["file", "header"])
+
+
+def file_headers(spark: SparkSession, directories: list[str], stores: frozenset[str] = ARROW_STORES) -> DataFrame:
+    """(header, files): the files below the folders by their first line; empty files are left out.
+
+    The list of files comes without their content; a task opens each file and reads no further than the step that ends its first
+    line. Only where a file lies in a store not named in ``stores`` are the lines found by a scan.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(directories)
+    if {f.partition(":")[0] for f in listed.inputFiles()} <= stores:
+        first = listed.filter("length > 0").select("path").mapInArrow(_headers, "file string, header string")
+    else:
+        first = scanned_headers(spark, directories)
+    return first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
+
+
+def scanned_headers(spark: SparkSession, directories: list[str]) -> DataFrame:
+    """(file, header) from a scan of all lines, of which only those of the block at a file's start count."""
     lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(directories)
     lines = lines.select(F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("at"),
                          F.col("_metadata.file_block_start").alias("start")).filter("start = 0")
-    first = lines.groupBy("file").agg(F.min_by("value", "at").alias("header"))
-    return first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    return lines.groupBy("file").agg(F.min_by("value", "at").alias("header"))
 
 
 def read_daily_logs(spark: SparkSession, directories: list[str], schema: T.StructType | None = None,
-                    skipped: list[str] | None = None) -> DataFrame:
+                    skipped: list[str] | None = None, stores: frozenset[str] = ARROW_STORES) -> DataFrame:
     """Every CSV below the listed folders as one DataFrame, each file by its own header.
 
     Files of equal headers are read together and the reads united by name, so columns that a file lacks are null. A file
@@ -36,7 +85,7 @@ def read_daily_logs(spark: SparkSession, directories: list[str], schema: T.Struc
     files named in ``skipped`` are left out. The list of files is what the driver holds, as Spark's own file index does.
     """
     wanted, parts = schema or log_schema(), []
-    for row in file_headers(spark, directories).orderBy("header").collect():
+    for row in file_headers(spark, directories, stores).orderBy("header").collect():
         header = [c.strip().strip('"') for c in row.header.lstrip("\ufeff").split(",")]
         try:
             require_columns(header)

@@ -296,6 +296,34 @@ def test_daily_files_batch_and_stream(spark, tmp_path):
     assert (last.r_5, last.r_9, last.ds) == (5.0, 9.0, 20210101) and spark.read.parquet(f"{extra}/out").count() == 71
 
 
+def test_headers_are_found_without_reading_the_files(spark, tmp_path):
+    import io
+
+    class Counted(io.BytesIO):
+        given = 0
+
+        def read(self, n=-1):
+            more = super().read(n)
+            self.given += len(more)
+            return more
+
+    big = Counted(b"disk_id,ds,model\r\n" + b"1,20180101,MB1\n" * 200_000)
+    assert D.first_line(big) == "disk_id,ds,model" and big.given <= D.HEADER_BYTES
+    wide = Counted("é,".encode() * 100_000 + b"\n1\n")  # a header longer than a step
+    assert D.first_line(wide) == "é," * 100_000 and D.first_line(Counted(b"")) is None and D.first_line(Counted(b"\n1")) == ""
+    lines = {"a b.csv": "\ufeffdisk_id,ds,model\n1,20180101,MB1\n", "c%20d.csv": "ds,model,disk_id\r\n20180101,MB1,2\r\n", "e.csv": "", "f.csv": "disk_id,ds,model"}
+    for name, text in lines.items():
+        (tmp_path / name).write_bytes(text.encode())
+    found = {r.header: len(r.files) for r in D.file_headers(spark, [str(tmp_path)]).collect()}
+    assert found == {"\ufeffdisk_id,ds,model": 1, "ds,model,disk_id": 1, "disk_id,ds,model": 1}
+    assert sorted(r.disk_id for r in D.read_daily_logs(spark, [f"file://{tmp_path}"]).collect()) == [1, 2]
+    plain = tmp_path / "plain"
+    plain.mkdir()
+    (plain / "a.csv").write_bytes(b"ds,model,disk_id\n20180101,MB1,7\n")
+    scanned = D.read_daily_logs(spark, [str(plain)], stores=frozenset())
+    assert [r.disk_id for r in scanned.collect()] == [7]
+
+
 def test_window_store_rewrites_only_its_partitions(spark):
     path = scratch_dir(spark, "test-windows")
     rows = [("MB1", r, s, 1, dt.date(2020, 1, 1), 0) for r in (1, 2) for s in ("train", "test")]
