@@ -1,14 +1,212 @@
-"""Sweeps over window and patch lengths."""
+"""Sweeps over window and patch lengths: every setting is learned and evaluated, all of them in the same jobs.
+
+A setting's windows, patches and weights are facts of the daily row they end at, so the daily rows are sorted by device once and
+carry one entry per setting. The longest patch that ends at a row is kept, and a setting takes its own last days of it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from fleetpulse.operators import metrics as M, patterns as PT, scaling as SC
+from fleetpulse.operators.windows import KEYS, SplitRule, by_device, mark_windows
+from fleetpulse.session import materialize
+
+BY = ["setting", "model"]
+
+
+@dataclass(frozen=True)
+class Setting:
+    """Lengths of one run of the sweep; studies that share them share the run."""
+
+    window_days: int
+    patch_len: int
+
+    @property
+    def shape(self) -> PT.PatchShape:
+        return PT.PatchShape(self.patch_len, self.window_days)
+
+
+def listed(settings: DataFrame) -> list[Setting]:
+    """Settings in order; a study has a handful of them, as each is a run of its own."""
+    return [Setting(*r) for r in settings.select("window_days", "patch_len").distinct().orderBy("window_days", "patch_len").collect()]
+
+
+def _ends(n: Column, y: int, size: int) -> Column:
+    """1 where a train window of ``size`` rows and class y ends."""
+    return F.when((F.col("split") == "train") & (F.col("y") == y) & (n >= size), 1).otherwise(0)
+
+
+def settings_rows(imputed: DataFrame, tags: DataFrame, rule: SplitRule, features: list[str], settings: list[Setting], round_id: int = 1) -> DataFrame:
+    """Daily rows with ``row`` (number in the device), ``split`` and ``y`` of a window that ends there, whatever its length, the
+    last days as ``raw_<attr>``, and per window length ``cover_<N>``, per setting ``h_<i>`` and ``f_<i>``: train windows
+    of either class that hold the patch ending here.
+
+    Windows are counted by differences of running totals, so a long window costs no more than a short one.
+    """
+    w = by_device()
+    sizes, longest = sorted({s.window_days for s in settings}), max(s.patch_len for s in settings)
+    rows = mark_windows(imputed, tags, rule, round_id, 1).withColumn("row", F.row_number().over(w))
+    so_far, whole = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    made = {f"raw_{c}": F.collect_list(c).over(w.rowsBetween(-(longest - 1), 0)) for c in features}
+    for n in sizes:
+        for y in (0, 1):
+            made[f"_e{y}_{n}"] = _ends(F.col("row"), y, n)
+        made[f"_t_{n}"] = F.sum(made[f"_e0_{n}"] + made[f"_e1_{n}"]).over(so_far)
+        made[f"_a_{n}"] = F.sum(made[f"_e0_{n}"] + made[f"_e1_{n}"]).over(whole)
+    rows = rows.withColumns(made)
+    covers = {}
+    for n in sizes:
+        upto = F.coalesce(F.lead(f"_t_{n}", n - 1).over(w), F.col(f"_a_{n}"))
+        covers[f"cover_{n}"] = upto - F.col(f"_t_{n}") + F.col(f"_e0_{n}") + F.col(f"_e1_{n}")
+    for i, s in enumerate(settings):
+        for name, y in (("h", 0), ("f", 1)):
+            ahead = [F.coalesce(F.lead(f"_e{y}_{s.window_days}", s.shape.offset(p)).over(w), F.lit(0)) for p in range(s.shape.count)]
+            covers[f"{name}_{i}"] = sum(ahead[1:], ahead[0])
+    rows = rows.withColumns(covers)
+    return rows.drop(*[f"_{k}_{n}" for k in ("e0", "e1", "t", "a") for n in sizes])
+
+
+def settings_scaler(rows: DataFrame, features: list[str], settings: list[Setting]) -> DataFrame:
+    """(setting, model, mean_<attr>, std_<attr>): days count once per train window that holds them; one pass for all lengths."""
+    sizes = sorted({s.window_days for s in settings})
+    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"cover_{n}").alias("cover")) for n in sizes]))
+    covered = rows.select("model", *features, cells.alias("c")).select("model", *features, F.col("c.n").alias("size"), F.col("c.cover").alias("cover"))
+    by_size = SC.scaler_row(SC.window_scaler(covered, features, ["model", "size"]), features, ["model", "size"])
+    own = F.explode(F.array(*[F.struct(F.lit(i).alias("setting"), F.lit(s.window_days).alias("size")) for i, s in enumerate(settings)]))
+    every = rows.sparkSession.range(1).select(own.alias("s")).select("s.*")
+    return by_size.join(F.broadcast(every), "size").drop("size")
+
+
+def _scaled(rows: DataFrame, features: list[str]) -> dict[str, Column]:
+    """``zp_<attr>``: the setting's last days, standardized."""
+    def last(c: str) -> Column:
+        xs = F.col(f"raw_{c}")
+        cut = F.slice(xs, F.size(xs) - F.col("days") + 1, F.col("days"))
+        return F.transform(cut, lambda v: (v - F.col(f"mean_{c}")) / F.col(f"std_{c}"))
+
+    return {f"zp_{c}": last(c) for c in features}
+
+
+def settings_patches(rows: DataFrame, scaler: DataFrame, features: list[str], settings: list[Setting]) -> DataFrame:
+    """One row per daily row that ends a patch and setting: standardized patches ``zp_<attr>`` and train weights."""
+    cells = F.array(*[F.struct(F.lit(i).alias("setting"), F.lit(s.patch_len).alias("days"), F.col(f"h_{i}").cast("long").alias("n_healthy"),
+                               F.col(f"f_{i}").cast("long").alias("n_failed")) for i, s in enumerate(settings)])
+    facts = [*KEYS, "day", "row", "split", "y", *[f"raw_{c}" for c in features]]
+    each = rows.select(*facts, F.explode(cells).alias("c")).select(*facts, "c.*").filter("row >= days")
+    joined = each.join(F.broadcast(scaler), BY)  # one row per setting and device model
+    return joined.select(*BY, "disk_id", "day", "row", "split", "y", "n_healthy", "n_failed", *[z.alias(name) for name, z in _scaled(joined, features).items()])
+
+
+def mean_centers(patches: DataFrame, features: list[str], settings: list[Setting]) -> DataFrame:
+    """(setting, model, kind, k, center): the mean patch of each attribute, and of each class over all attributes."""
+    long = max(s.patch_len for s in settings)
+    weight = F.col("n_healthy") + F.col("n_failed")
+
+    def means(xs: str, w: Column, width: int) -> Column:
+        return F.filter(F.array(*[F.round(F.sum(F.get(xs, F.lit(i)) * w) / F.sum(w), 6) for i in range(width)]), lambda v: v.isNotNull())
+
+    single = patches.groupBy(*BY).agg(*[means(f"zp_{c}", weight, long).alias(c) for c in features])
+    attr = single.select(*BY, F.lit("attr").alias("kind"), F.posexplode(F.array(*[F.col(f"`{c}`") for c in features])).alias("k", "center"))
+    both = patches.withColumn("_x", PT.cross_embedding(features)).groupBy(*BY).agg(
+        *[means("_x", F.col(n), long * len(features)).alias(n) for n in ("n_healthy", "n_failed")])
+    cross = both.select(*BY, F.lit("cross").alias("kind"), F.posexplode(F.array("n_healthy", "n_failed")).alias("k", "center"))
+    return attr.unionByName(cross).filter(F.size("center") > 0)
+
+
+def center_lists(centers: DataFrame) -> DataFrame:
+    """(setting, model, kind, ks, centers), centers in order of k."""
+    lists = centers.groupBy(*BY, "kind").agg(F.sort_array(F.collect_list(F.struct("k", "center"))).alias("c"))
+    return lists.select(*BY, "kind", F.transform("c", lambda s: s["k"]).alias("ks"), F.transform("c", lambda s: s["center"]).alias("centers"))
+
+
+def _wide_centers(centers: DataFrame) -> DataFrame:
+    lists = center_lists(centers)
+    return lists.groupBy(*BY).agg(F.max(F.when(F.col("kind") == "attr", F.col("centers"))).alias("_ac"), F.max(F.when(F.col("kind") == "cross", F.col("centers"))).alias("_cc"))
+
+
+def distances(patches: DataFrame, centers: DataFrame, features: list[str]) -> DataFrame:
+    """Adds ``d_<attr>`` and ``d_cross``, the distance of the nearest center."""
+    joined = patches.join(F.broadcast(_wide_centers(centers)), BY)
+    made = {f"d_{c}": PT.nearest(F.col(f"zp_{c}"), F.col("_ac"))["dist"] for c in features}
+    made["d_cross"] = PT.nearest(PT.cross_embedding(features), F.col("_cc"))["dist"]
+    return joined.withColumns(made).drop("_ac", "_cc", *[f"zp_{c}" for c in features])
+
+
+def tuned(hits: DataFrame, features: list[str]) -> DataFrame:
+    """(setting, model, attr threshold ``at``, cross threshold ``ct``) from the distances of train patches, all groups in one pass."""
+    train = hits.filter("n_healthy + n_failed > 0")
+    kinds = F.array(*[F.struct(F.lit("attr" if c != "cross" else c).alias("kind"), F.col(f"d_{c}").alias("dist")) for c in [*features, "cross"]])
+    long = train.select(*BY, "n_healthy", "n_failed", F.explode(kinds).alias("k")).select(*BY, "n_healthy", "n_failed", "k.*")
+    found = PT.tune_threshold(long, [*BY, "kind"])
+    return found.groupBy(*BY).agg(F.max(F.when(F.col("kind") == "attr", F.col("threshold"))).alias("at"), F.max(F.when(F.col("kind") == "cross", F.col("threshold"))).alias("ct"))
+
+
+def flagged_windows(hits: DataFrame, thresholds: DataFrame, features: list[str], settings: list[Setting]) -> DataFrame:
+    """(setting, model, disk_id, end_day, split, y, attr_novel, cross_novel): novel patches of every window of every setting.
+
+    A day's flags of all settings meet before the shuffle, as they were made from one row. A window picks its patches up with ``lag``;
+    days too early in a series to end any patch have no row here and are never looked back to.
+    """
+    joined = hits.join(F.broadcast(thresholds), BY)
+    attr = sum((F.col(f"d_{c}") > F.col("at")).cast("int") for c in features)
+    novel = joined.select(*BY, "disk_id", "day", "row", "split", "y", F.struct(attr.alias("a"), (F.col("d_cross") > F.col("ct")).cast("int").alias("c")).alias("n"))
+    days = novel.groupBy(*KEYS, "day").agg(*[F.max(c).alias(c) for c in ("row", "split", "y")], *[
+        F.max(F.when(F.col("setting") == i, F.col("n"))).alias(f"_n{i}") for i in range(len(settings))])
+    w, sums = by_device(), []
+    for i, s in enumerate(settings):
+        def total(field: str) -> Column:
+            parts = [F.coalesce(F.lag(F.col(f"_n{i}")[field], s.shape.offset(p)).over(w), F.lit(0)) for p in range(s.shape.count)]
+            return sum(parts[1:], parts[0]).cast("long")
+
+        sums.append(F.struct(F.lit(i).alias("setting"), F.lit(s.window_days).alias("size"), total("a").alias("attr_novel"), total("c").alias("cross_novel")))
+    each = days.select(*KEYS, F.col("day").alias("end_day"), "row", "split", "y", F.array(*sums).alias("_s")).filter(F.col("split").isNotNull())
+    return each.select(*KEYS, "end_day", "row", "split", "y", F.inline("_s")).filter("row >= size").drop("row", "size")
+
+
+def run_settings(imputed: DataFrame, tags: DataFrame, rule: SplitRule, features: list[str], settings: list[Setting], round_id: int = 1,
+                 centers_of: Callable[[DataFrame, list[str], list[Setting]], DataFrame] = mean_centers) -> DataFrame:
+    """Windows of every setting with their novel patches: scaler, prototypes and thresholds are learned for each setting and model.
+
+    ``centers_of`` gets the train patches of all settings and returns (setting, model, kind, k, center).
+    """
+    rows = materialize(settings_rows(imputed, tags, rule, features, settings, round_id), "sweep-rows")
+    scaler = materialize(settings_scaler(rows, features, settings), "sweep-scaler")
+    patches = settings_patches(rows, scaler, features, settings)
+    centers = materialize(centers_of(patches.filter("n_healthy + n_failed > 0"), features, settings), "sweep-centers")
+    hits = materialize(distances(patches, centers, features), "sweep-distances")
+    thresholds = materialize(tuned(hits, features), "sweep-thresholds")
+    return flagged_windows(hits, thresholds, features, settings)
+
+
+def setting_rates(windows: DataFrame, named: DataFrame, settings: list[Setting], truth: str = "y") -> DataFrame:
+    """Per study, setting, model and split: windows, novel patches and the rates of the rule "a window with a novel cross patch fails".
+
+    ``named`` lists (study, window_days, patch_len); a run that two studies share counts in both.
+    """
+    by, pred = [*BY, "split"], (F.col("cross_novel") > 0).cast("int")
+    cells = windows.groupBy(*by, F.col(truth).alias("y"), pred.alias("pred")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("attr_novel").alias("attr"), F.sum("cross_novel").alias("cross"))
+
+    def cell(y: int, p: int) -> Column:
+        return F.coalesce(F.sum(F.when((F.col("y") == y) & (F.col("pred") == p), F.col("n"))), F.lit(0))
+
+    counts = cells.groupBy(*by).agg(
+        F.sum("n").alias("windows"), F.sum("attr").alias("attr_novel"), F.sum("cross").alias("cross_novel"),
+        cell(1, 1).alias("tp"), cell(0, 1).alias("fp"), cell(0, 0).alias("tn"), cell(1, 0).alias("fn"))
+    lengths = windows.sparkSession.createDataFrame([(i, s.window_days, s.patch_len, s.shape.count) for i, s in enumerate(settings)],
+                                                   "setting int, window_days int, patch_len int, patches int")
+    runs = named.join(lengths, ["window_days", "patch_len"])
+    return M.with_rates(counts).join(F.broadcast(runs), "setting").drop("setting")
 
 
 def window_counts(daily: DataFrame, settings: DataFrame) -> DataFrame:
     """Full windows and patches per window for every setting, from one pass over the daily rows.
 
-    A device with d rows has max(0, d - N + 1) windows of N rows, so the sweep needs the row counts per
+    A device with d rows has max(0, d - N + 1) windows of N rows, so counting needs the row counts per
     device only, whatever the number of settings.
     """
     per_device = daily.groupBy("model", "disk_id").agg(F.count("*").alias("d"))
@@ -17,4 +215,3 @@ def window_counts(daily: DataFrame, settings: DataFrame) -> DataFrame:
     return joined.groupBy("study", "window_days", "patch_len", "model").agg(
         F.sum((F.col("d") - F.col("window_days") + 1) * F.col("devices")).alias("windows")).select(
         "study", "window_days", "patch_len", F.floor(F.col("window_days") / F.col("patch_len")).cast("int").alias("patches"), "model", "windows")
-

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from fleetpulse.fixed_values import HISTOGRAM_BINS
 from fleetpulse.functions import series as S
 from fleetpulse.operators import features as FX, metrics as M, models as MD, mutation as MU, neighbours as NB, reports as P, sampling as R, scaling as SC, windows as W
+from fleetpulse.plans import sensitivity as PS
 from fleetpulse.registry import fixtures as X
 from fleetpulse.registry.catalog import query
 from fleetpulse.registry.fixtures import FEATURES, RULE, r6
 from fleetpulse.registry.queries_data import WKEY, windows, wkey
 from fleetpulse.registry.queries_features import cells, cells_sql, marked, ranges, windows_of
+from fleetpulse.registry.queries_patterns import SROW, tuned_sql
 from fleetpulse.registry.queries_sampling import KEYS, h
 from fleetpulse.session import materialize
 
@@ -199,10 +201,51 @@ SWEEP = " union all ".join(
 
 @query("m11_u7_parameter_sweep", f"with {X.TELEMETRY} {SWEEP}")
 def m11(spark, sf):
-    from fleetpulse.plans.sensitivity import window_counts
-
     grid = P.settings(spark, "window", [10, 20, 40, 50]).unionByName(P.settings(spark, "patch", [2, 4, 10, 15]))
-    return window_counts(X.telemetry(spark, sf), grid)
+    return PS.window_counts(X.telemetry(spark, sf), grid)
+
+
+def run_sql(size: int, days: int) -> str:
+    """Rates of one setting from its own windows: every window cut into patches, nothing shared with other settings."""
+    zs = ", ".join(f"list_transform({c}[p * {days} + 1 : p * {days} + {days}], lambda v: (v - m_{c}) / s_{c}) as z_{c}" for c in FEATURES)
+    each_attr = " union all ".join(f"select model, disk_id, end_day, split, y, {k} as k, z_{c} as z from wp" for k, c in enumerate(FEATURES))
+
+    def centers(src: str, k: str) -> str:
+        return f"""(select model, list(c order by k) as cs from (select model, k, list(v order by i) as c from (
+  select model, k, i, round(avg(v), 6) as v from (select model, {k} as k, unnest(z) as v, unnest(range(len(z))) as i from {src} where split = 'train') group by 1, 2, 3)
+  group by 1, 2) group by 1)"""
+
+    return f"""with {X.windows_sql(size)},
+vals as ({' union all '.join(f"select model, '{c}' as attr, unnest({c}) as v from win where split = 'train'" for c in FEATURES)}),
+scaler as (select model, attr, avg(v) as mean, stddev_pop(v) + 1e-6 as std from vals group by 1, 2),
+{SROW},
+wp as materialized (select model, disk_id, end_day, split, y, p, {zs} from win join srow using (model), (select unnest(range({size // days})) as p)),
+ap as ({each_attr}), cp as (select model, disk_id, end_day, split, y, {' || '.join(f'z_{c}' for c in FEATURES)} as z from wp),
+acent as {centers('ap', 'k')}, ccent as {centers('cp', 'y')},
+am as materialized (select model, disk_id, end_day, split, y, list_min(list_transform(cs, lambda c: list_distance(c, z))) as dist from ap join acent using (model)),
+cm as materialized (select model, disk_id, end_day, split, y, list_min(list_transform(cs, lambda c: list_distance(c, z))) as dist from cp join ccent using (model)),
+{tuned_sql('am', 'at')}, {tuned_sql('cm', 'ct')},
+na as (select model, split, count(*) filter (where dist > threshold) as attr_novel from am join at_t using (model) group by 1, 2),
+nc as (select model, disk_id, end_day, split, y, count(*) filter (where dist > threshold) as n from cm join ct_t using (model) group by all),
+conf as (select model, split, count(*) as windows, cast(sum(n) as bigint) as cross_novel, count(*) filter (where y = 1 and n > 0) as tp, count(*) filter (where y = 0 and n > 0) as fp,
+  count(*) filter (where y = 0 and n = 0) as tn, count(*) filter (where y = 1 and n = 0) as fn from nc group by 1, 2),
+{X.rates_sql('conf', 'model, split, windows, cross_novel', 'rated')}
+select {size} as window_days, {days} as patch_len, {size // days} as patches, model, split, windows, attr_novel, cross_novel, tp, fp, tn, fn,
+  {', '.join(f'{r6(c)} as {c}' for c in P.STATUS_METRICS)} from rated join na using (model, split)"""
+
+
+RUNS = [(n, 5) for n in SIZES] + [(30, p) for p in (2, 4, 10, 15)]
+
+
+@query("m11_sweep_rates", f"""with runs as materialized ({' union all '.join(f'select * from ({run_sql(n, p)})' for n, p in RUNS)})
+select 'window' as study, * from runs where patch_len = 5 union all select 'patch', * from runs where window_days = 30""")
+def m11_rates(spark, sf):
+    """Ten settings of two studies, nine runs: each learns its scaler, prototypes and thresholds and flags its own windows."""
+    grid = P.settings(spark, "window", [10, 20, 40, 50]).unionByName(P.settings(spark, "patch", [2, 4, 10, 15]))
+    runs = PS.listed(grid)
+    rates = PS.setting_rates(PS.run_settings(X.imputed(spark, sf), X.failure_tags(spark, sf), RULE, FEATURES, runs), grid, runs)
+    return rates.select("study", "window_days", "patch_len", "patches", "model", "split", "windows", "attr_novel", "cross_novel", *M.COUNTS,
+                        *[F.round(c, 6).alias(c) for c in P.STATUS_METRICS])
 
 
 SENS = X.ANSWERS + f""", {X.CONF},

@@ -133,7 +133,7 @@ cm as (select model, disk_id, end_day, split, y, p, raw, least(d0, d1) as dist,
 QS = ", ".join(repr(q) for q in NOVELTY_QUANTILES)
 
 
-def _tuned(src: str, name: str) -> str:
+def tuned_sql(src: str, name: str) -> str:
     return f"""
 {name}_q as (select model, unnest([{QS}]::double[]) as q, unnest(quantile_cont(dist, [{QS}])) as tau from {src} where split = 'train' group by 1),
 {name}_s as (select q.model, q.q, q.tau, count(*) filter (where dist > tau and y = 1) as tp, count(*) filter (where dist > tau and y = 0) as fp,
@@ -143,7 +143,7 @@ def _tuned(src: str, name: str) -> str:
   select *, row_number() over (partition by model order by case when fpr <= 0.05 then 0 else 1 end, f1 desc, q) as rk from {name}_f) group by 1)"""
 
 
-TUNED = MATCHED + "," + _tuned("am", "at") + "," + _tuned("cm", "ct")
+TUNED = MATCHED + "," + tuned_sql("am", "at") + "," + tuned_sql("cm", "ct")
 
 
 @query("l4_j4_patch_distances", f"with {MATCHED} select model, attr, proto, count(*) as n, {r6('min(dist)')} as lo, {r6('max(dist)')} as hi, {r6('avg(dist)')} as mean_dist, count(*) filter (where y = 1) as n_failed from am where split = 'train' group by 1, 2, 3")
