@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from fleetpulse import scratch_dir
 from fleetpulse.functions.scalars import parse_day
 from fleetpulse.functions import series as S
-from fleetpulse.operators import long_series as LS, windows as W
+from fleetpulse.operators import incremental as I, long_series as LS, windows as W
 from fleetpulse.registry import fixtures as X
 from fleetpulse.registry.catalog import query
 from fleetpulse.registry.fixtures import FEATURES, RULE, r6
@@ -314,6 +314,22 @@ def s4(spark, sf):
     return wkey(WS.read_store(spark, path, FEATURES, model="MB1", round_id=1, split="test"), "y", "ttf", *[S.total(F.col(c)).alias(c) for c in FEATURES])
 
 
+@query("k7_w1_w3_incremental_windows", f"""with {X.windows_sql(30)} select model, disk_id, strftime(end_day, '%Y-%m-%d') as end_day,
+{', '.join(f'{r6(f"list_sum({c})")} as {c}' for c in FEATURES)}, {', '.join(f'{r6(f"{c}[1]")} as {c}_first' for c in FEATURES)} from roww where n = 30""")
+def k7_windows(spark, sf):
+    """The telemetry in three batches, each with days late by up to years; windows of the store after the last one."""
+    daily = X.telemetry(spark, sf)
+    store = I.WindowStore(scratch_dir(spark, "incremental"), tuple(FEATURES))
+    I.create(spark, store, daily.schema)
+    late = (F.col("disk_id") * 7 + F.unix_date("day")) % 61 == 0
+    period = F.when(late | (F.col("day") >= F.lit("2001-01-01").cast("date")), 2).when(F.col("day") >= F.lit("1998-01-01").cast("date"), 1).otherwise(0)
+    for batch in range(3):
+        I.advance(store, daily.filter(period == batch), batch)
+    done = I.finished(spark, store)
+    return done.select("model", "disk_id", F.col("end_day").cast("string").alias("end_day"), *[F.round(S.total(F.col(c)), 6).alias(c) for c in FEATURES],
+                       *[F.round(F.get(c, F.lit(0)), 6).alias(f"{c}_first") for c in FEATURES])
+
+
 @query("k7_missing_partitions", f"""with {ALL_ROUNDS}, asked as (select distinct model, round, split from win)
 select model, round, split from asked where not (round = 1 and split in ('train', 'val'))""")
 def k7(spark, sf):
