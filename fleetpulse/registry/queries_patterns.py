@@ -17,18 +17,22 @@ from fleetpulse.operators.clusters import with_nearest
 from fleetpulse.operators import patterns as PT, reports as P, scaling as SC, vocabulary as V
 from fleetpulse.registry import fixtures as X
 from fleetpulse.registry.catalog import query
-from fleetpulse.registry.fixtures import FEATURES, GROUPS, r6
+from fleetpulse.registry.fixtures import FEATURES, GROUPS, RULE, r6
 from fleetpulse.registry.queries_data import WKEY, wkey
 from fleetpulse.registry.queries_features import SCALER_SQL, marked
 from fleetpulse.sources import evaluation_io as E, model_store as MS
-from fleetpulse.session import materialize
+from fleetpulse.session import learned_dir, materialize
 
 SHAPE = PT.PatchShape()
 
 
+def covered_rows(spark, sf):
+    return SC.train_cover(marked(spark, sf), F.col("split") == "train")
+
+
 def learn_scaler(spark, sf):
     """The scaler is learned once and written: distances and thresholds must come from the same numbers."""
-    rows = SC.train_cover(marked(spark, sf), F.col("split") == "train")
+    rows = covered_rows(spark, sf)
     return rows, materialize(SC.window_scaler(rows, FEATURES, ["model"]), "scaler")
 
 
@@ -46,34 +50,41 @@ def attr_index():
 
 
 class Learned:
-    """Mean prototypes, matches and thresholds of both kinds, from one written table of patch rows; each is written when first used."""
+    """Mean prototypes, matches and thresholds of both kinds, from one written table of patch rows; each is learned when first
+    used and read by all later queries over the same files.
+    """
 
     def __init__(self, spark, sf):
-        rows, self.scaler = learn_scaler(spark, sf)
-        self.rows = materialize(patch_rows(spark, sf, (rows, self.scaler)), "patch-rows")
+        self.spark = spark
+        self.key = MS.fingerprint(spark, [f"{sf}/lineitem.parquet"], {"rule": RULE, "shape": SHAPE, "features": FEATURES, "round": 1})
+        self.scaler = self.once("scaler", lambda: SC.window_scaler(covered_rows(spark, sf), FEATURES, ["model"]))
+        self.rows = self.once("patch-rows", lambda: patch_rows(spark, sf, (covered_rows(spark, sf), self.scaler)))
         attr, cross = PT.attr_patches(self.rows, FEATURES), PT.cross_patches(self.rows, FEATURES)
         weight = F.col("n_healthy") + F.col("n_failed")
-        self.attr = materialize(PT.mean_prototypes(attr, "attr", attr_index(), weight, SHAPE.days), "attr-prototypes")
+        self.attr = self.once("attr-prototypes", lambda: PT.mean_prototypes(attr, "attr", attr_index(), weight, SHAPE.days))
         healthy = PT.mean_prototypes(cross, "cross", F.lit(0), F.col("n_healthy"), SHAPE.days * len(FEATURES))
         failed = PT.mean_prototypes(cross, "cross", F.lit(1), F.col("n_failed"), SHAPE.days * len(FEATURES))
-        self.cross = materialize(healthy.unionByName(failed), "cross-prototypes")
+        self.cross = self.once("cross-prototypes", lambda: healthy.unionByName(failed))
         self.attr_rows, self.cross_rows = attr, cross
 
+    def once(self, name, build):
+        return MS.learn_once(self.spark, learned_dir(self.spark), name, self.key, build)
+
     @cached_property
     def attr_matched(self):
-        return materialize(PT.match(self.attr_rows, self.attr), "attr-matched")
+        return self.once("attr-matched", lambda: PT.match(self.attr_rows, self.attr))
 
     @cached_property
     def cross_matched(self):
-        return materialize(PT.match(self.cross_rows, self.cross), "cross-matched")
+        return self.once("cross-matched", lambda: PT.match(self.cross_rows, self.cross))
 
     @cached_property
     def attr_threshold(self):
-        return materialize(PT.tune_threshold(self.attr_matched, ["model"]), "attr-threshold")
+        return self.once("attr-threshold", lambda: PT.tune_threshold(self.attr_matched, ["model"]))
 
     @cached_property
     def cross_threshold(self):
-        return materialize(PT.tune_threshold(self.cross_matched, ["model"]), "cross-threshold")
+        return self.once("cross-threshold", lambda: PT.tune_threshold(self.cross_matched, ["model"]))
 
     def windows(self, keep_days=True):
         assigned = PT.assign_rows(self.rows, FEATURES, self.attr, self.attr_threshold, self.cross, self.cross_threshold)

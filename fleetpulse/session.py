@@ -29,17 +29,21 @@ def get_session(app_name: str = "fleetpulse", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir`` for tables a job writes and reads back.
-
-    A machine-local folder is used only in local mode, where every task sees it.
-    """
+def _scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("Set spark.checkpoint.dir to a folder every executor can reach.")
         root = os.path.join(tempfile.gettempdir(), "fleetpulse-scratch")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder below ``spark.checkpoint.dir`` for tables a job writes and reads back.
+
+    A machine-local folder is used only in local mode, where every task sees it.
+    """
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df, name: str):
@@ -47,3 +51,10 @@ def materialize(df, name: str):
     path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def learned_dir(spark: SparkSession) -> str:
+    """Where tables are kept that are learned once: ``fleetpulse.learned.dir``, else a folder of this application's own, so that
+    tables that other versions of the code have learned are not read.
+    """
+    return spark.conf.get("fleetpulse.learned.dir", None) or f"{_scratch_root(spark)}/learned-{spark.sparkContext.applicationId}"
