@@ -102,12 +102,12 @@ def settings_patches(rows: DataFrame, scaler: DataFrame, features: list[str], se
 
 
 def mean_centers(patches: DataFrame, features: list[str], settings: list[Setting]) -> DataFrame:
-    """(setting, model, kind, k, center): the mean patch of each attribute, and of each class over all attributes."""
+    """(setting, model, kind, k, center): the mean patch of each attribute, and over all attributes of each class that has train windows."""
     long = max(s.patch_len for s in settings)
     weight = F.col("n_healthy") + F.col("n_failed")
 
     def means(xs: str, w: Column, width: int) -> Column:
-        return F.filter(F.array(*[F.round(F.sum(F.get(xs, F.lit(i)) * w) / F.sum(w), 6) for i in range(width)]), lambda v: v.isNotNull())
+        return F.filter(F.array(*[F.round(F.try_divide(F.sum(F.get(xs, F.lit(i)) * w), F.sum(w)), 6) for i in range(width)]), lambda v: v.isNotNull())
 
     single = patches.groupBy(*BY).agg(*[means(f"zp_{c}", weight, long).alias(c) for c in features])
     attr = single.select(*BY, F.lit("attr").alias("kind"), F.posexplode(F.array(*[F.col(f"`{c}`") for c in features])).alias("k", "center"))
