@@ -134,8 +134,7 @@ def scaled_windows(rows, train, by):
 def c2(spark, sf):
     rows = flat_windows(spark, sf)
     scaled = scaled_windows(rows, rows.filter("split = 'train'"), ["model"])
-    train = balanced_train(scaled).withColumn("vec", array_to_vector("z"))
-    return evaluated(MD.perceptron_scorer(train, "vec", 30 * len(FEATURES))(scaled.withColumn("vec", array_to_vector("z"))), "perceptron")
+    return evaluated(MD.perceptron_scorer(balanced_train(scaled), ["model"], "z", 30 * len(FEATURES), ["model", *KEYS])(scaled), "perceptron")
 
 
 def statistic_rows(spark, sf):
