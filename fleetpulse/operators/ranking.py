@@ -9,13 +9,17 @@ plain window would give.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from fleetpulse.operators.grouped import beside
 from fleetpulse.session import materialize
 
 HASH_DIGITS = 3  # 16**3 buckets per group, so a bucket holds about 1/4096 of it
 BUCKET_ROWS = 1_000_000  # rows that one task sorts, in the largest group at most
+SKETCH = 2_000  # ranks in a quantile sketch are off by a part in so many at most
+GRID = 64  # parts of equal size that cuts make, besides those around the wanted ranks
 
 
 def order_hash(keys: list[str], seed: int) -> Column:
@@ -100,47 +104,76 @@ def running_totals(df: DataFrame, by: list[str], value: str, sums: list[str], de
     return out.select(*df.columns, *[(F.col(f"_b_{c}") + F.sum(c).over(inside)).alias(f"cum_{c}") for c in sums])
 
 
+def narrowed(rows: DataFrame, held: DataFrame, keys: list[str], probs: list[float]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One step of the search for ranks: every value is placed between cuts from a sketch and only counted.
+
+    ``rows`` has keys, ``_at``, ``_v`` and ``_n``; ``held`` has keys, ``_at``, ``_rank`` and ``_left``, the wanted rank among the rows of ``_at``. Gives the
+    ranks found (those of values that equal a cut), and rows and ranks that lie strictly between two cuts.
+    """
+    at = [*keys, "_at"]
+    near = [x for p in probs for x in (p - 2 / SKETCH, p + 2 / SKETCH)]
+    grid = sorted({*(k / GRID for k in range(1, GRID)), *(min(1.0, max(0.0, x)) for x in near)})
+    # stored, so that the planner joins them by their size
+    cuts = materialize(rows.groupBy(*at).agg(F.array_distinct(F.percentile_approx("_v", grid, SKETCH)).alias("_cuts")), "cuts")
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(grid).bit_length()))])
+    below = F.aggregate(steps, F.lit(0), lambda n, s: F.when(
+        (n + s <= F.size("_cuts")) & (F.get("_cuts", n + s - 1) < F.col("_v")), n + s).otherwise(n))
+    placed = beside(rows, cuts, at).withColumn("_below", below)
+    equal = F.coalesce(F.get("_cuts", F.col("_below")) == F.col("_v"), F.lit(False))
+    placed = placed.withColumn("_slot", 2 * F.col("_below") + equal.cast("int")).drop("_cuts", "_below")
+
+    sums = placed.groupBy(*at, "_slot").agg(F.sum("_n").alias("_in"), F.min("_v").alias("_v"))
+    ahead = Window.partitionBy(*at).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_start", F.coalesce(F.sum("_in").over(ahead), F.lit(0)))
+    hits = beside(held, sums, at).filter((F.col("_start") <= F.col("_left")) & (F.col("_left") < F.col("_start") + F.col("_in")))
+    hits = materialize(hits.withColumn("_left", F.col("_left") - F.col("_start")).drop("_start", "_in"), "hits")
+
+    deeper = F.concat("_at", F.lit("."), F.col("_slot").cast("string")).alias("_at")
+    between = hits.filter("_slot % 2 = 0")
+    kept = beside(placed, materialize(between.select(*at, "_slot").distinct(), "between-cuts"), [*at, "_slot"])
+    kept = materialize(kept.select(*keys, deeper, "_v", "_n"), "between")
+    return hits.filter("_slot % 2 = 1").select(*keys, "_rank", "_v"), kept, between.select(*keys, deeper, "_rank", "_left")
+
+
 def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], weight: str | None = None,
-                    buckets: int | None = None) -> DataFrame:
+                    most_rows: int = BUCKET_ROWS) -> DataFrame:
     """Exact quantiles with linear interpolation: columns by, ``q``, ``quantile``.
 
-    Values are collapsed to counts first; ``weight`` is an integer multiplicity of the row. Bucket
-    totals then tell which buckets hold the wanted ranks, and only those buckets are sorted.
-    Nulls are ignored; a group without a value gives no row.
+    The rows of a group are not sorted: a sketch gives cuts around the wanted ranks, a pass counts the rows between cuts, and only the rows between the
+    two cuts around a rank go on, again and again until ``most_rows`` of them at most are sorted by value. Sketches and counts are combined before they are
+    shuffled, and a value that many rows hold is a cut, so it is counted and never moved. ``weight`` is an integer multiplicity of the row; rows without
+    a positive one and nulls are ignored. A null group is a group; a group without a value gives no row.
     """
-    w = F.col(weight) if weight else F.lit(1)
     keys = by or ["_g"]
-    known = df.filter(F.col(value).isNotNull())
-    grouped = known.groupBy(*by, F.col(value).alias("_v")) if by else known.groupBy(F.lit(0).alias("_g"), F.col(value).alias("_v"))
-    counts = _stored_buckets(grouped.agg(F.sum(w).cast("long").alias("_n")).filter("_n > 0"), keys, "_v", buckets)
-
-    group = Window.partitionBy(*keys)
-    totals = counts.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_in")).select(
-        *keys, "_bucket", "_in", F.sum("_in").over(group).alias("_total"),
-        F.coalesce(F.sum("_in").over(group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    points = F.array(*[F.lit(float(p)) for p in probs])
-
-    def at(p: Column) -> Column:
-        return p * (F.col("_total") - 1)
-
-    def wanted(start: Column, end: Column) -> Column:
-        def inside(rank: Column) -> Column:
-            return (start <= rank) & (rank < end)
-
-        return F.filter(points, lambda p: inside(F.floor(at(p))) | inside(F.ceil(at(p))))
-
-    holding = totals.filter(F.size(wanted(F.col("_before"), F.col("_before") + F.col("_in"))) > 0).drop("_in")
-    inside = Window.partitionBy(*keys, "_bucket").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    rows = counts.join(holding, keys + ["_bucket"]).withColumn("_end", F.col("_before") + F.sum("_n").over(inside))
-    start = F.col("_end") - F.col("_n")
-    picked = rows.withColumn("q", F.explode(wanted(start, F.col("_end"))))
-
-    def holds(rank: Column) -> Column:
-        return (start <= rank) & (rank < F.col("_end"))
-
-    pos = at(F.col("q"))
-    ends = picked.groupBy(*keys, "q").agg(
-        F.max(F.when(holds(F.floor(pos)), F.col("_v"))).alias("_lo"),
-        F.max(F.when(holds(F.ceil(pos)), F.col("_v"))).alias("_hi"),
-        F.max(pos - F.floor(pos)).alias("_f"))
-    return ends.select(*by, "q", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias("quantile"))
+    w = (F.col(weight) if weight else F.lit(1)).cast("long")
+    known = df if by else df.withColumn("_g", F.lit(0))
+    stored = materialize(known.select(*keys, F.col(value).alias("_v"), w.alias("_n")).filter("_v is not null and _n > 0"), "values")
+    totals = materialize(stored.groupBy(*keys).agg(F.sum("_n").alias("_total")), "totals")
+    points = totals.select(*keys, F.explode(F.array(*[F.lit(float(p)) for p in dict.fromkeys(probs)])).alias("q"), (F.col("_total") - 1).alias("_last"))
+    points = points.select(*keys, "q", (F.col("q") * F.col("_last")).alias("_pos"))
+    ends = F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))
+    held = points.select(*keys, F.explode(ends).alias("_rank")).distinct().select(*keys, F.lit("").alias("_at"), "_rank", F.col("_rank").alias("_left"))
+    rows, found, few = stored.withColumn("_at", F.lit("")), [], []
+    at = [*keys, "_at"]
+    while True:
+        sizes = materialize(rows.groupBy(*at).agg((F.count(F.lit(1)) > most_rows).alias("_many")), "sizes")
+        largest = sizes.agg(F.max("_many")).first()[0]
+        if not largest:
+            few.append((rows, held))
+            break
+        rows, held = beside(rows, sizes, at), beside(held, sizes, at)
+        few.append((rows.filter("not _many").drop("_many"), held.filter("not _many").drop("_many")))
+        done, rows, held = narrowed(rows.filter("_many").drop("_many"), held.filter("_many").drop("_many"), keys, probs)
+        found.append(done)
+    for own, wanted in few:
+        counts = own.groupBy(*at, "_v").agg(F.sum("_n").alias("_n"))
+        inside = Window.partitionBy(*at).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+        counts = counts.withColumn("_end", F.sum("_n").over(inside))
+        hit = beside(wanted, counts, at).filter((F.col("_end") - F.col("_n") <= F.col("_left")) & (F.col("_left") < F.col("_end")))
+        found.append(hit.select(*keys, "_rank", "_v"))
+    picked = reduce(DataFrame.unionByName, found)
+    each = beside(points, picked, keys).groupBy(*keys, "q").agg(
+        F.max(F.when(F.col("_rank") == F.floor("_pos"), F.col("_v"))).alias("_lo"),
+        F.max(F.when(F.col("_rank") == F.ceil("_pos"), F.col("_v"))).alias("_hi"),
+        F.max(F.col("_pos") - F.floor("_pos")).alias("_f"))
+    return each.select(*by, "q", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias("quantile"))
