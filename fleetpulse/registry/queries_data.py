@@ -42,14 +42,11 @@ def s1(spark, sf):
 
 
 @query("s2_scan_model_logs_skip_days", f"""with {X.TELEMETRY} select count(*) as n, count(distinct disk_id) as disks, {SUMS}
-from tel where model = 'MB1' and strftime(day, '%Y') <> '1995'""")
+from tel where model = 'MB1' and strftime(day, '%Y-%m') <> '1995-06' and strftime(day, '%Y%m%d') not in ('19940301', '19960229')""")
 def s2(spark, sf):
-    # one file per year stands in for one file per day; the skip list works on file names either way
     path = scratch_dir(spark, "model-logs")
-    rows = X.raw_log(spark, sf).filter("model = 'MB1'").withColumn("year_id", F.floor(F.col("ds") / 10000).cast("int"))
-    rows.repartitionById(16, F.pmod("year_id", F.lit(16))).drop("year_id").write.option("header", True).csv(path)
-    plain = spark.read.option("header", True).schema(LOG_SCHEMA).csv(path)
-    skipped = [r[0] for r in plain.filter(F.floor(F.col("ds") / 10000) == 1995).select("_metadata.file_name").distinct().collect()]
+    D.write_day_files(X.raw_log(spark, sf).filter("model = 'MB1'"), path)
+    skipped = [*(f"199506{k:02d}.csv" for k in range(1, 31)), "19940301.csv", "19960229.csv"]
     kept = D.read_daily_logs(spark, [path], LOG_SCHEMA, skipped)
     return kept.agg(F.count("*").alias("n"), F.countDistinct("disk_id").alias("disks"),
                     *[F.sum(c).alias(c) for c in FEATURES])

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyarrow import fs
+from pyarrow import csv, fs
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from fleetpulse.fixed_values import MODEL_ATTRIBUTES, RAW_ATTRIBUTES, SKIPPED_DAY_FILES
@@ -36,12 +36,16 @@ def first_line(file, step: int = HEADER_BYTES) -> str | None:
             return re.split("[\r\n]", head.decode("utf-8", "replace"), maxsplit=1)[0] if head else None
 
 
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path as Spark lists it, and the path in it; for use in tasks."""
+    scheme, _, rest = ("", "", path) if path.startswith("/") else path.partition(":")
+    if scheme in ("", "file"):
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(scheme.replace("s3a", "s3") + ":" + quote(rest, safe="/@"))
+
+
 def _open(path: str):
-    """A file by the path Spark lists it under, in a task."""
-    scheme, _, rest = path.partition(":")
-    if scheme == "file":
-        return fs.LocalFileSystem().open_input_stream("/" + rest.lstrip("/"))
-    store, inner = fs.FileSystem.from_uri(scheme.replace("s3a", "s3") + ":" + quote(rest, safe="/@"))
+    store, inner = _store(path)
     return store.open_input_stream(inner)
 
 
@@ -124,6 +128,15 @@ def project_model(df: DataFrame, model: str, attributes: dict[str, list[str]] =
     return df.filter(F.col("model") == model).select(*ID_COLUMNS, *kept)
 
 
+def project_models(df: DataFrame, models: Iterable[str], attributes: dict[str, list[str]] = MODEL_ATTRIBUTES) -> DataFrame:
+    """The rows of several models in one pass; an attribute that a row's own model does not keep is null."""
+    require_columns(df.columns)
+    models = list(models)
+    kept = [c for c in dict.fromkeys(c for m in models for c in attributes[m]) if c in df.columns]
+    own = [F.when(F.col("model").isin([m for m in models if c in attributes[m]]), F.col(c)).alias(c) for c in kept]
+    return df.filter(F.col("model").isin(models)).select(*ID_COLUMNS, *own)
+
+
 def with_day(df: DataFrame) -> DataFrame:
     return df.withColumn("day", parse_day(F.col("ds"))).drop("ds")
 
@@ -135,6 +148,36 @@ def write_model_logs(df: DataFrame, path: str, models: Iterable[str] = tuple(MOD
      .write.partitionBy("model", "day_file").option("header", True).csv(path))
 
 
+def write_day_files(df: DataFrame, path: str) -> int:
+    """One CSV per day, named ``<ds>.csv``; returns how many. Rows go through a task in the order of their days, so no day is held as a whole."""
+    columns = df.columns
+    place = columns.index("ds")
+
+    def write(batches):
+        store, inner = _store(path)
+        store.create_dir(inner)
+        now, file, days = None, None, []
+        for batch in batches:
+            ds = batch.column(place).to_numpy()
+            cuts = [0, *((ds[1:] != ds[:-1]).nonzero()[0] + 1).tolist(), len(ds)]
+            for start, end in zip(cuts, cuts[1:]):
+                if start == end:
+                    continue
+                if ds[start] != now:
+                    if file:
+                        file.close()
+                    now = ds[start]
+                    days.append(int(now))
+                    file = csv.CSVWriter(store.open_output_stream(f"{inner}/{now}.csv"), batch.schema)
+                file.write(batch.slice(start, end - start))
+        if file:
+            file.close()
+        yield pa.record_batch([pa.array(days, pa.int32())], ["ds"])
+
+    known = df.filter("ds is not null")
+    return known.repartition("ds").sortWithinPartitions("ds").mapInArrow(write, "ds int").count()
+
+
 def rows_per_model(df: DataFrame, models: Iterable[str] = tuple(MODEL_ATTRIBUTES)) -> DataFrame:
     """Row count of every listed model, 0 for absent ones."""
     listed = df.sparkSession.createDataFrame([(m,) for m in models], "model string")

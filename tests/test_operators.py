@@ -280,6 +280,20 @@ def test_daily_files_batch_and_stream(spark, tmp_path):
     index, summary = evaluation_index(wins, ratio=1.0)
     assert index.count() == 4 and summary.first().selected_failed == 2
 
+    from fleetpulse.plans.data import store_fleet
+    from fleetpulse.sources.window_store import read_store
+
+    assert D.write_day_files(D.read_daily_logs(spark, [root], typed).withColumn("model", F.when(F.col("disk_id") == 1, "MA1").otherwise("MB1")), f"{extra}/two") > 30
+    assert "20180101.csv" in os.listdir(f"{extra}/two")
+    known = store_fleet(spark, [f"{extra}/two"], tags, ["MA1", "MB1"], f"{extra}/fleet", rule, size=30)
+    for m in ("MA1", "MB1"):
+        own = store_windows(spark, [f"{extra}/two"], tags, m, f"{extra}/alone-{m}", rule, size=30)
+        features = [c for c in own.columns if c.startswith("r_")]
+        assert features and set(features) <= set(known)
+        cols = ["disk_id", "end_day", "split", "y", *features]
+        same = read_store(spark, f"{extra}/fleet", features, 30, m)
+        assert own.count() and sorted(same.select(*cols).collect()) == sorted(own.select(*cols).collect())
+
     from fleetpulse.streaming.daily_ingest import ingest
 
     for _ in range(2):  # the second run finds nothing new
