@@ -2,16 +2,52 @@
 
 from __future__ import annotations
 
+import bisect
+import random
 
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 
-from fleetpulse.operators import sampling as R
+from fleetpulse.operators import patterns as PT, ranking as RK, sampling as R
 
 
 def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_cuts_below_a_value_without_interpreted_steps(spark):
+    cuts = [1.0, 2.0, 2.5, 7.0, 9.0]
+    df = spark.createDataFrame([(float(v) / 2, cuts) for v in range(-2, 24)], "v double, cuts array<double>")
+    placed = RK.with_cuts_below(df, "cuts", "v", 7, "n")
+    assert "lambda" not in plan_of(placed)
+    assert {r.v: r.n for r in placed.collect()} == {v / 2: bisect.bisect_left(cuts, v / 2) for v in range(-2, 24)}
+
+
+def test_nearest_prototypes_of_a_batch_equal_the_column_form(spark):
+    rng = random.Random(3)
+    vectors = [[rng.gauss(0, 1) for _ in range(5)] for _ in range(300)] + [None, [1.0, 2.0], [1.0, None, 0.0, 0.0, 0.0], [0.0] * 5]
+    rows = spark.createDataFrame([(i, "ABC"[i % 3], v) for i, v in enumerate(vectors)], "id int, model string, emb array<double>")
+    protos = spark.createDataFrame([(m, k, [rng.gauss(0, 1) for _ in range(5)]) for m in "AB" for k in range(4)] + [("B", 4, [0.0] * 5), ("B", 5, [0.0] * 5)],
+                                   "model string, k int, center array<double>")
+    found = PT.match(rows, protos)
+    assert "lambda" not in plan_of(found)
+    plain = rows.join(PT.center_lists(protos), "model").withColumn("n", PT.nearest(F.col("emb"), F.col("centers"))).select("id", "n.k", "n.dist")
+    assert {r.id: (r.proto if r.dist is not None else None, r.dist) for r in found.collect()} == {r.id: (r.k if r.dist is not None else None, r.dist) for r in plain.collect()}
+
+
+def test_patches_leave_holes_out_and_flat_assignments_are_not_interpreted(spark):
+    rows = spark.createDataFrame([("A", 1, d, None if d == 3 else float(d), float(-d)) for d in range(1, 8)], "model string, disk_id int, day int, x double, z_x double")
+    shape = PT.PatchShape(days=3, window=6)
+    got = {r.day: (r.raw_x, r.zp_x) for r in PT.with_patches(rows, ["x"], shape).collect()}
+    assert got[2] == (None, None) and got[3] == ([1.0, 2.0], [-1.0, -2.0, -3.0]) and got[7] == ([5.0, 6.0, 7.0], [-5.0, -6.0, -7.0])
+    one = "struct<proto:int,novel:boolean,dist:double>"
+    windows = spark.createDataFrame([Row("A", 1, 6, "train", 0, [(0, False, 0.5), (1, True, 2.0)], [(2, True, 1.0), (3, False, 4.0)])],
+                                    f"model string, disk_id int, end_day int, split string, y int, p_x array<{one}>, p_cross array<{one}>")
+    flat = PT.long_assignments(windows, ["x"])
+    assert "lambda" not in plan_of(flat)
+    assert sorted((r.kind, r.attr or "", r.p, r.proto, r.novel, r.dist) for r in flat.collect()) == [
+        ("attr", "x", 0, 0, False, 0.5), ("attr", "x", 1, 1, True, 2.0), ("cross", "", 0, 2, True, 1.0), ("cross", "", 1, 3, False, 4.0)]
+
+
 def test_rows_past_a_limit_are_dropped_before_they_move(spark):
     df = spark.range(20_000).select(F.lit("g").alias("g"), F.col("id"))
     capped = R.capped(df, ["g"], ["id"], 50)
