@@ -5,8 +5,10 @@ from __future__ import annotations
 import bisect
 import random
 
+import pytest
 from pyspark.sql import Row, functions as F
 
+from fleetpulse.functions import text as X
 from fleetpulse.operators import patterns as PT, ranking as RK, sampling as R
 
 
@@ -53,3 +55,12 @@ def test_rows_past_a_limit_are_dropped_before_they_move(spark):
     capped = R.capped(df, ["g"], ["id"], 50)
     assert "SortMergeJoin" not in plan_of(capped) and "BroadcastHashJoin" in plan_of(capped)
     assert capped.count() == 50
+
+
+def test_whole_numbers_as_text(spark):
+    df = spark.createDataFrame([(1, [0.5, -0.5, 1.4999999, None, -2.6]), (2, []), (3, None), (4, [0.49999999999999994, 2.5])], "id int, xs array<double>")
+    shown = df.select("id", X.whole_numbers(F.col("xs")).alias("t"))
+    assert "lambda" not in plan_of(shown)
+    assert {r.id: r.t for r in shown.collect()} == {1: "1,-1,1,-3", 2: "", 3: None, 4: "0,3"}
+    with pytest.raises(Exception, match="not finite"):
+        spark.createDataFrame([([float("nan")],)], "xs array<double>").select(X.whole_numbers(F.col("xs"))).collect()
