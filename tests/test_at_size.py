@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import Row, functions as F
 
-from fleetpulse.functions import text as X
+from fleetpulse.functions import series as S, text as X
 from fleetpulse.operators import patterns as PT, ranking as RK, sampling as R
 
 
@@ -64,3 +64,10 @@ def test_whole_numbers_as_text(spark):
     assert {r.id: r.t for r in shown.collect()} == {1: "1,-1,1,-3", 2: "", 3: None, 4: "0,3"}
     with pytest.raises(Exception, match="not finite"):
         spark.createDataFrame([([float("nan")],)], "xs array<double>").select(X.whole_numbers(F.col("xs"))).collect()
+
+
+def test_shares_of_bins(spark):
+    rows = [([0.0, 1.0, 5.0, 9.9, 10.0, 12.0, -3.0, None, float("nan")], 0.0, 10.0), ([], 0.0, 1.0), ([4.0], None, 1.0)]
+    df = spark.createDataFrame(rows, "xs array<double>, lo double, hi double").select(S.histogram_shares(F.col("xs"), F.col("lo"), F.col("hi"), 2).alias("s"))
+    assert "lambda" not in plan_of(df)
+    assert [r.s for r in df.collect()] == [[2 / 7, 4 / 7], [0.0, 0.0], [0.0, 0.0]]
