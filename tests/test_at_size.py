@@ -5,10 +5,11 @@ from __future__ import annotations
 import bisect
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import Row, functions as F
 
-from fleetpulse.functions import series as S, text as X
+from fleetpulse.functions import series as S, text as X, trends as T
 from fleetpulse.operators import patterns as PT, ranking as RK, sampling as R
 
 
@@ -71,3 +72,17 @@ def test_shares_of_bins(spark):
     df = spark.createDataFrame(rows, "xs array<double>, lo double, hi double").select(S.histogram_shares(F.col("xs"), F.col("lo"), F.col("hi"), 2).alias("s"))
     assert "lambda" not in plan_of(df)
     assert [r.s for r in df.collect()] == [[2 / 7, 4 / 7], [0.0, 0.0], [0.0, 0.0]]
+
+
+def test_labels_of_a_batch_equal_the_column_form(spark):
+    rng = np.random.default_rng(5)
+    made = [[], [0.0], [5.0], [0.5] * 6, [3.0] * 6, [0.0, 0.0, 1e-13], None, [1.0, None, 2.0], [1.0, float("nan"), 2.0]]
+    for size in (2, 3, 5, 30):
+        for scale in (1e-8, 0.3, 40.0):
+            made += [(scale * f).tolist() for f in rng.normal(size=(40, size)).cumsum(axis=1)]
+            made += [(scale * f).tolist() for f in (rng.random((40, size)) < 0.1) * 1.0 + rng.random((40, size)) * 0.05]
+            made += [(scale * f).tolist() for f in np.sort(rng.random((20, size)), axis=1) ** 3 - rng.integers(0, 2, (20, 1))]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(made)], "id int, xs array<double>")
+    got = df.select("id", T.series_labels(F.col("xs")).alias("a"), T.series_label(F.col("xs")).alias("b")).collect()
+    assert [(r.id, r.a) for r in got] == [(r.id, r.b) for r in got]
+    assert len({r.a for r in got}) > 10
