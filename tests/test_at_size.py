@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import Row, functions as F
 
 from fleetpulse.functions import series as S, text as X, trends as T
-from fleetpulse.operators import patterns as PT, ranking as RK, sampling as R
+from fleetpulse.operators import neighbours as NB, patterns as PT, ranking as RK, sampling as R
 
 
 def plan_of(df) -> str:
@@ -86,3 +86,15 @@ def test_labels_of_a_batch_equal_the_column_form(spark):
     got = df.select("id", T.series_labels(F.col("xs")).alias("a"), T.series_label(F.col("xs")).alias("b")).collect()
     assert [(r.id, r.a) for r in got] == [(r.id, r.b) for r in got]
     assert len({r.a for r in got}) > 10
+
+
+def test_blocks_of_the_neighbour_vote_are_compared_without_copies(spark):
+    rng = np.random.default_rng(7)
+    train = [("AB"[i % 2], v.tolist(), int(i % 3 == 0)) for i, v in enumerate(rng.normal(size=(120, 8)))]
+    asked = [(i, "ABC"[i % 3], v.tolist()) for i, v in enumerate(rng.normal(size=(90, 8)))]
+    tdf, qdf = spark.createDataFrame(train, "g string, v array<double>, y int"), spark.createDataFrame(asked, "id int, g string, v array<double>")
+    few, many = (NB.knn_vote(tdf, qdf, "v", ["g"], block_rows=n) for n in (1000, 7))
+    assert "CartesianProduct" in plan_of(many) and "Generate" not in plan_of(many) and "CoGroup" not in plan_of(many)
+    got = {r.id: r.score for r in many.collect()}
+    assert got == pytest.approx({r.id: r.score for r in few.collect()})
+    assert {i for i, v in got.items() if v is None} == {i for i, g, _ in asked if g == "C"}
