@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import datetime
 import random
 
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import Row, functions as F
 
 from fleetpulse.functions import series as S, text as X, trends as T
-from fleetpulse.operators import neighbours as NB, patterns as PT, ranking as RK, sampling as R
+from fleetpulse.operators import features as FX, neighbours as NB, patterns as PT, ranking as RK, sampling as R, windows as W
 
 
 def plan_of(df) -> str:
@@ -98,3 +99,21 @@ def test_blocks_of_the_neighbour_vote_are_compared_without_copies(spark):
     got = {r.id: r.score for r in many.collect()}
     assert got == pytest.approx({r.id: r.score for r in few.collect()})
     assert {i for i, v in got.items() if v is None} == {i for i, g, _ in asked if g == "C"}
+
+
+def test_phrases_of_a_split_need_only_the_rows_its_windows_hold(spark):
+    rng = random.Random(11)
+    days = [datetime.date(2020, 1, 1) + datetime.timedelta(days=2 * d) for d in range(150)]
+    made = [("A", disk, day, float(rng.randint(0, 3))) for disk in (1, 2, 3) for day in days if disk < 3 or day.month > 5]
+    made += [("A", 1, None, 1.0), ("A", 4, days[-1], 1.0), (None, 5, days[-1], 2.0)]
+    daily = spark.createDataFrame(made, "model string, disk_id int, day date, x double")
+    months, rule = W.month_index(daily.filter("day is not null")), W.SplitRule(last_month=7, val=1, test=2)
+    cut = W.rows_of_split(daily, months, rule, "test", size=9)
+
+    def phrases(rows):
+        found = W.split_windows(FX.frame_phrases(rows, ["x"], 9), months, rule, (1,)).filter("split = 'test'")
+        return sorted((r.disk_id, r.end_day, r.x_phrase) for r in found.collect())
+
+    assert cut.columns == daily.columns
+    assert phrases(cut) == phrases(daily) and len(phrases(cut)) > 70
+    assert cut.count() < len(made) / 2
