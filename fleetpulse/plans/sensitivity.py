@@ -6,12 +6,16 @@ carry one entry per setting. The longest patch that ends at a row is kept, and a
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import types as T
 
 from fleetpulse.operators import metrics as M, patterns as PT, scaling as SC
+from fleetpulse.operators.grouped import by_group
 from fleetpulse.operators.windows import KEYS, SplitRule, by_device, mark_windows
 from fleetpulse.session import materialize
 
@@ -81,40 +85,110 @@ def settings_scaler(rows: DataFrame, features: list[str], settings: list[Setting
     return by_size.join(F.broadcast(every), "size").drop("size")
 
 
-def _scaled(rows: DataFrame, features: list[str]) -> dict[str, Column]:
-    """``zp_<attr>``: the setting's last days, standardized."""
-    def last(c: str) -> Column:
-        xs = F.col(f"raw_{c}")
-        cut = F.slice(xs, F.size(xs) - F.col("days") + 1, F.col("days"))
-        return F.transform(cut, lambda v: (v - F.col(f"mean_{c}")) / F.col(f"std_{c}"))
+def _numbers(columns: list) -> np.ndarray:
+    """Columns of numbers as one matrix; a null is a NaN."""
+    return np.stack([c.cast(pa.float64()).to_numpy(zero_copy_only=False) for c in columns], axis=1)
 
-    return {f"zp_{c}": last(c) for c in features}
 
+def _last_days(batch: pa.RecordBatch, features: list[str], longest: int) -> np.ndarray:
+    """(row, attribute, day): the last days of each row, the latest at the end; a NaN stands before the first one and for a null."""
+    out = np.full((batch.num_rows, len(features), longest), np.nan)
+    for k, c in enumerate(features):
+        lists = batch.column(f"raw_{c}")
+        lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        values = lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(batch.num_rows), lengths)
+        back = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(values))
+        out[row, k, longest - back] = values
+    return out
 
-def settings_patches(rows: DataFrame, scaler: DataFrame, features: list[str], settings: list[Setting]) -> DataFrame:
-    """One row per daily row that ends a patch and setting: standardized patches ``zp_<attr>`` and train weights."""
-    cells = F.array(*[F.struct(F.lit(i).alias("setting"), F.lit(s.patch_len).alias("days"), F.col(f"h_{i}").cast("long").alias("n_healthy"),
-                               F.col(f"f_{i}").cast("long").alias("n_failed")) for i, s in enumerate(settings)])
-    facts = [*KEYS, "day", "row", "split", "y", *[f"raw_{c}" for c in features]]
-    each = rows.select(*facts, F.explode(cells).alias("c")).select(*facts, "c.*").filter("row >= days")
-    joined = each.join(F.broadcast(scaler), BY)  # one row per setting and device model
-    return joined.select(*BY, "disk_id", "day", "row", "split", "y", "n_healthy", "n_failed", *[z.alias(name) for name, z in _scaled(joined, features).items()])
 
+@dataclass(frozen=True)
+class SettingPatches:
+    """The patches that end at daily rows, for all settings; they are cut and standardized batch by batch and never stored.
 
-def mean_centers(patches: DataFrame, features: list[str], settings: list[Setting]) -> DataFrame:
-    """(setting, model, kind, k, center): the mean patch of each attribute, and over all attributes of each class that has train windows."""
-    long = max(s.patch_len for s in settings)
-    weight = F.col("n_healthy") + F.col("n_failed")
-
-    def means(xs: str, w: Column, width: int) -> Column:
-        return F.filter(F.array(*[F.round(F.try_divide(F.sum(F.get(xs, F.lit(i)) * w), F.sum(w)), 6) for i in range(width)]), lambda v: v.isNotNull())
+    ``scales`` has the means and deviations of the attributes by setting and model; other models have no patches.
+    """
 
-    single = patches.groupBy(*BY).agg(*[means(f"zp_{c}", weight, long).alias(c) for c in features])
-    attr = single.select(*BY, F.lit("attr").alias("kind"), F.posexplode(F.array(*[F.col(f"`{c}`") for c in features])).alias("k", "center"))
-    both = patches.withColumn("_x", PT.cross_embedding(features)).groupBy(*BY).agg(
-        *[means("_x", F.col(n), long * len(features)).alias(n) for n in ("n_healthy", "n_failed")])
-    cross = both.select(*BY, F.lit("cross").alias("kind"), F.posexplode(F.array("n_healthy", "n_failed")).alias("k", "center"))
-    return attr.unionByName(cross).filter(F.size("center") > 0)
+    rows: DataFrame
+    features: list[str]
+    settings: list[Setting]
+    scales: dict[tuple, tuple[np.ndarray, np.ndarray]]
+
+    def columns(self, *kept: str) -> DataFrame:
+        """What a batch needs: ``kept`` and the facts of the settings' patches."""
+        n = range(len(self.settings))
+        return self.rows.select("model", "row", *kept, *[F.col(f"{k}_{i}").cast("long").alias(f"{k}_{i}") for i in n for k in "hf"], *[f"raw_{c}" for c in self.features])
+
+    def of(self, batch: pa.RecordBatch) -> Iterator[tuple[int, object, np.ndarray, np.ndarray]]:
+        """(setting, model, row numbers, patches by row, attribute and day)."""
+        days = _last_days(batch, self.features, max(s.patch_len for s in self.settings))
+        known = batch.column("row").to_numpy(zero_copy_only=False)
+        for (model,), own in by_group(batch, ["model"]):
+            for i, s in enumerate(self.settings):
+                if (i, model) in self.scales:
+                    mean, std = self.scales[i, model]
+                    at = own[known[own] >= s.patch_len]
+                    yield i, model, at, (days[at][:, :, -s.patch_len:] - mean[None, :, None]) / std[None, :, None]
+
+    def in_tasks(self) -> SettingPatches:
+        """The same without the table, for use inside a task."""
+        return SettingPatches(None, self.features, self.settings, self.scales)
+
+    def table(self) -> DataFrame:
+        """(setting, model, disk_id, day, row, split, y, n_healthy, n_failed, zp_<attr>): one row per daily row that ends a patch and setting."""
+        facts, own, n = ["disk_id", "day", "split", "y"], self.in_tasks(), len(self.features)
+        held = self.columns(*facts)
+        schema = T.StructType([T.StructField("setting", T.IntegerType()), held.schema["model"], *[held.schema[c] for c in ("row", *facts)],
+                               *[T.StructField(c, T.LongType()) for c in ("n_healthy", "n_failed")], *[T.StructField(f"zp_{c}", T.ArrayType(T.DoubleType())) for c in self.features]])
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i, _, at, z in own.of(batch):
+                    ends = pa.array(np.arange(len(at) + 1, dtype=np.int32) * np.int32(z.shape[2]))
+                    lists = [pa.ListArray.from_arrays(ends, pa.array(z[:, k].ravel(), from_pandas=True)) for k in range(n)]
+                    taken = [batch.column(c).take(pa.array(at)) for c in ("model", "row", *facts, f"h_{i}", f"f_{i}")]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), *taken, *lists], names=schema.fieldNames())
+
+        return held.mapInArrow(cut, schema)
+
+
+def settings_patches(rows: DataFrame, scaler: DataFrame, features: list[str], settings: list[Setting]) -> SettingPatches:
+    """Standardized patches of every setting; the scaler, a row for each setting and model, is collected, and a null in it is a NaN."""
+    def listed_of(r, name: str) -> np.ndarray:
+        return np.array([np.nan if r[f"{name}_{c}"] is None else r[f"{name}_{c}"] for c in features], np.float64)
+
+    scales = {(r["setting"], r["model"]): (listed_of(r, "mean"), listed_of(r, "std")) for r in scaler.collect() if r["model"] is not None}
+    return SettingPatches(rows, features, settings, scales)
+
+
+def mean_centers(patches: SettingPatches) -> DataFrame:
+    """(setting, model, kind, k, center): the mean patch of each attribute, and over all attributes of each class that has train windows.
+
+    Tasks add up their patches position by position; a handful of sums for each setting and model is shuffled.
+    """
+    held, own = patches.columns(), patches.in_tasks()
+    schema = T.StructType([T.StructField("setting", T.IntegerType()), held.schema["model"], T.StructField("kind", T.StringType()),
+                           *[T.StructField(c, T.IntegerType()) for c in ("k", "at")], T.StructField("s", T.DoubleType()), T.StructField("w", T.LongType())])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for i, model, at, z in own.of(batch):
+                weights = np.nan_to_num(_numbers([batch.column(f"{k}_{i}").take(pa.array(at)) for k in "hf"]))
+                used = weights.sum(axis=1) > 0
+                z, weights = np.nan_to_num(z[used]).reshape(used.sum(), -1), weights[used]
+                both, counts = weights.T @ z, weights.sum(axis=0)
+                single = both.sum(axis=0).reshape(len(own.features), -1)
+                for kind, k, x, w in [*(("attr", k, x, counts.sum()) for k, x in enumerate(single)), *(("cross", k, both[k], counts[k]) for k in (0, 1))]:
+                    sums[i, model, kind, k] = sums.get((i, model, kind, k), 0.0) + np.append(x, w)
+        out = [(*key, at, float(v), int(x[-1])) for key, x in sums.items() for at, v in enumerate(x[:-1])]
+        kinds = [pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=schema.fieldNames())
+
+    total = held.mapInArrow(added, schema).groupBy(*BY, "kind", "k", "at").agg(F.round(F.try_divide(F.sum("s"), F.sum("w")), 6).alias("v"))
+    lists = total.filter("v is not null").groupBy(*BY, "kind", "k").agg(F.sort_array(F.collect_list(F.struct("at", "v"))).alias("c"))
+    return lists.select(*BY, "kind", "k", F.transform("c", lambda s: s["v"]).alias("center"))
 
 
 def center_lists(centers: DataFrame) -> DataFrame:
@@ -123,24 +197,43 @@ def center_lists(centers: DataFrame) -> DataFrame:
     return lists.select(*BY, "kind", F.transform("c", lambda s: s["k"]).alias("ks"), F.transform("c", lambda s: s["center"]).alias("centers"))
 
 
-def _wide_centers(centers: DataFrame) -> DataFrame:
-    lists = center_lists(centers)
-    return lists.groupBy(*BY).agg(F.max(F.when(F.col("kind") == "attr", F.col("centers"))).alias("_ac"), F.max(F.when(F.col("kind") == "cross", F.col("centers"))).alias("_cc"))
-
-
-def distances(patches: DataFrame, centers: DataFrame, features: list[str]) -> DataFrame:
-    """Adds ``d_<attr>`` and ``d_cross``, the distance of the nearest center."""
-    joined = patches.join(F.broadcast(_wide_centers(centers)), BY)
-    made = {f"d_{c}": PT.nearest(F.col(f"zp_{c}"), F.col("_ac"))["dist"] for c in features}
-    made["d_cross"] = PT.nearest(PT.cross_embedding(features), F.col("_cc"))["dist"]
-    return joined.withColumns(made).drop("_ac", "_cc", *[f"zp_{c}" for c in features])
-
-
-def tuned(hits: DataFrame, features: list[str]) -> DataFrame:
+def distances(patches: SettingPatches, centers: DataFrame) -> DataFrame:
+    """The daily rows with ``d_<i>`` for each setting: the distances of the patches that end there from their nearest centers, in the order of the
+    attributes and then across them. Null where no patch ends, or the model has no scaler or no centers.
+    """
+    own, n, width = patches.in_tasks(), len(patches.settings), len(patches.features) + 1
+    found = {(r["setting"], r["model"], r["kind"]): np.array(r["centers"], np.float64) for r in center_lists(centers).collect()}  # a handful for each setting and model
+    held = patches.columns("disk_id", "day", "split", "y")
+    passed = [f for f in held.schema.fields if not f.name.startswith("raw_")]
+    schema = T.StructType([*passed, *[T.StructField(f"d_{i}", T.ArrayType(T.DoubleType())) for i in range(n)]])
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near, ends = np.full((n, batch.num_rows, width), np.nan), np.zeros((n, batch.num_rows), bool)
+            for i, model, at, z in own.of(batch):
+                attr, cross = (found.get((i, model, kind)) for kind in ("attr", "cross"))
+                ends[i, at] = attr is not None or cross is not None
+                if attr is not None:
+                    for k in range(width - 1):
+                        near[i, at, k] = PT.nearest_rows(z[:, k], attr)[0]
+                if cross is not None:
+                    near[i, at, -1] = PT.nearest_rows(z.reshape(len(z), -1), cross)[0]
+            lists = []
+            for i in range(n):
+                offsets = pa.array(np.concatenate([[0], np.cumsum(ends[i] * width)]).astype(np.int32))
+                lists.append(pa.ListArray.from_arrays(offsets, pa.array(near[i][ends[i]].ravel(), from_pandas=True), mask=pa.array(~ends[i])))
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in passed), *lists], names=schema.fieldNames())
+
+    return held.mapInArrow(measured, schema)
+
+
+def tuned(hits: DataFrame, features: list[str], settings: list[Setting]) -> DataFrame:
     """(setting, model, attr threshold ``at``, cross threshold ``ct``) from the distances of train patches, all groups in one pass."""
-    train = hits.filter("n_healthy + n_failed > 0")
-    kinds = F.array(*[F.struct(F.lit("attr" if c != "cross" else c).alias("kind"), F.col(f"d_{c}").alias("dist")) for c in [*features, "cross"]])
-    long = train.select(*BY, "n_healthy", "n_failed", F.explode(kinds).alias("k")).select(*BY, "n_healthy", "n_failed", "k.*")
+    cells = [F.when((F.col(f"h_{i}") + F.col(f"f_{i}") > 0) & F.col(f"d_{i}").isNotNull(), F.struct(
+        F.lit(i).alias("setting"), F.col(f"h_{i}").cast("long").alias("n_healthy"), F.col(f"f_{i}").cast("long").alias("n_failed"), F.col(f"d_{i}").alias("d"))) for i in range(len(settings))]
+    train = hits.select("model", F.explode(F.array_compact(F.array(*cells))).alias("c")).select("model", "c.*")
+    each = train.select(*BY, "n_healthy", "n_failed", F.posexplode("d").alias("k", "dist"))
+    long = each.withColumn("kind", F.when(F.col("k") < len(features), "attr").otherwise("cross")).drop("k")
     found = PT.tune_threshold(long, [*BY, "kind"])
     return found.groupBy(*BY).agg(F.max(F.when(F.col("kind") == "attr", F.col("threshold"))).alias("at"), F.max(F.when(F.col("kind") == "cross", F.col("threshold"))).alias("ct"))
 
@@ -148,37 +241,39 @@ def tuned(hits: DataFrame, features: list[str]) -> DataFrame:
 def flagged_windows(hits: DataFrame, thresholds: DataFrame, features: list[str], settings: list[Setting]) -> DataFrame:
     """(setting, model, disk_id, end_day, split, y, attr_novel, cross_novel): novel patches of every window of every setting.
 
-    A day's flags of all settings meet before the shuffle, as they were made from one row. A window picks its patches up with ``lag``;
-    days too early in a series to end any patch have no row here and are never looked back to.
+    A day holds the flags of all settings, as they were made from one row, and a window picks its patches up with ``lag``.
     """
-    joined = hits.join(F.broadcast(thresholds), BY)
-    attr = sum((F.col(f"d_{c}") > F.col("at")).cast("int") for c in features)
-    novel = joined.select(*BY, "disk_id", "day", "row", "split", "y", F.struct(attr.alias("a"), (F.col("d_cross") > F.col("ct")).cast("int").alias("c")).alias("n"))
-    days = novel.groupBy(*KEYS, "day").agg(*[F.max(c).alias(c) for c in ("row", "split", "y")], *[
-        F.max(F.when(F.col("setting") == i, F.col("n"))).alias(f"_n{i}") for i in range(len(settings))])
+    wide = thresholds.groupBy("model").agg(*[F.max(F.when(F.col("setting") == i, F.struct("at", "ct"))).alias(f"_t{i}") for i in range(len(settings))])
+    joined = hits.join(F.broadcast(wide), "model")  # one row per device model
+    flags = {}
+    for i in range(len(settings)):
+        d, t = F.col(f"d_{i}"), F.col(f"_t{i}")
+        attr = [(F.get(d, F.lit(k)) > t["at"]).cast("int") for k in range(len(features))]
+        flags[f"_n{i}"] = F.struct(sum(attr[1:], attr[0]).alias("a"), (F.get(d, F.lit(len(features))) > t["ct"]).cast("int").alias("c"), t.isNotNull().alias("able"))
+    days = joined.select(*KEYS, "day", "row", "split", "y", *[n.alias(name) for name, n in flags.items()])
     w, sums = by_device(), []
     for i, s in enumerate(settings):
         def total(field: str) -> Column:
-            parts = [F.coalesce(F.lag(F.col(f"_n{i}")[field], s.shape.offset(p)).over(w), F.lit(0)) for p in range(s.shape.count)]
+            parts = [F.coalesce(F.lag(F.col(f"_n{i}")[field], s.shape.offset(p)).over(w) if s.shape.offset(p) else F.col(f"_n{i}")[field], F.lit(0)) for p in range(s.shape.count)]
             return sum(parts[1:], parts[0]).cast("long")
 
-        sums.append(F.struct(F.lit(i).alias("setting"), F.lit(s.window_days).alias("size"), total("a").alias("attr_novel"), total("c").alias("cross_novel")))
+        sums.append(F.struct(F.lit(i).alias("setting"), F.lit(s.window_days).alias("size"), F.col(f"_n{i}")["able"].alias("able"), total("a").alias("attr_novel"), total("c").alias("cross_novel")))
     each = days.select(*KEYS, F.col("day").alias("end_day"), "row", "split", "y", F.array(*sums).alias("_s")).filter(F.col("split").isNotNull())
-    return each.select(*KEYS, "end_day", "row", "split", "y", F.inline("_s")).filter("row >= size").drop("row", "size")
+    return each.select(*KEYS, "end_day", "row", "split", "y", F.inline("_s")).filter("able and row >= size").drop("row", "size", "able")
 
 
 def run_settings(imputed: DataFrame, tags: DataFrame, rule: SplitRule, features: list[str], settings: list[Setting], round_id: int = 1,
-                 centers_of: Callable[[DataFrame, list[str], list[Setting]], DataFrame] = mean_centers) -> DataFrame:
+                 centers_of: Callable[[SettingPatches], DataFrame] = mean_centers) -> DataFrame:
     """Windows of every setting with their novel patches: scaler, prototypes and thresholds are learned for each setting and model.
 
-    ``centers_of`` gets the train patches of all settings and returns (setting, model, kind, k, center).
+    ``centers_of`` gets the patches of all settings, train patches having a weight, and returns (setting, model, kind, k, center).
     """
     rows = materialize(settings_rows(imputed, tags, rule, features, settings, round_id), "sweep-rows")
     scaler = materialize(settings_scaler(rows, features, settings), "sweep-scaler")
     patches = settings_patches(rows, scaler, features, settings)
-    centers = materialize(centers_of(patches.filter("n_healthy + n_failed > 0"), features, settings), "sweep-centers")
-    hits = materialize(distances(patches, centers, features), "sweep-distances")
-    thresholds = materialize(tuned(hits, features), "sweep-thresholds")
+    centers = materialize(centers_of(patches), "sweep-centers")
+    hits = materialize(distances(patches, centers), "sweep-distances")
+    thresholds = materialize(tuned(hits, features, settings), "sweep-thresholds")
     return flagged_windows(hits, thresholds, features, settings)
 
 
