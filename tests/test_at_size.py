@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import datetime
+import math
 import random
 
 import numpy as np
@@ -117,3 +118,33 @@ def test_phrases_of_a_split_need_only_the_rows_its_windows_hold(spark):
     assert cut.columns == daily.columns
     assert phrases(cut) == phrases(daily) and len(phrases(cut)) > 70
     assert cut.count() < len(made) / 2
+
+
+def test_series_statistics_of_a_batch_equal_the_column_form(spark):
+    nan, inf, rng = math.nan, math.inf, random.Random(5)
+    xs = [[rng.choice([0.0, 1.0, rng.gauss(0, 10)]) for _ in range(n)] for n in (1, 2, 3, 30, 30, 30)]
+    xs += [None, [], [None], [None, None], [1.0, None, 3.0], [None, 2.0, 3.0], [1.0, nan, 2.0], [nan], [nan, None, 2.0, 3.0, 1.0], [inf, 1.0, -inf], [inf], [4.0, 4.0]]
+    rows = spark.createDataFrame(list(enumerate(xs)), "i int, x array<double>")
+    made = rows.select("i", S.series_stats(F.col("x")).alias("s"))
+    assert "lambda" not in plan_of(made)
+
+    def plain(x):
+        return S.let(S.diffs(x), lambda d: S.let(F.transform(d, F.abs), lambda steps: F.struct(
+            F.size(x).alias("L"), F.coalesce(S.mean(x), F.lit(0.0)), F.coalesce(S.std_pop(x), F.lit(0.0)), F.coalesce(S.last(x) - S.first(x), F.lit(0.0)),
+            F.coalesce(F.array_max(x) - F.array_min(x), F.lit(0.0)), *[F.when(F.size(x) > 1, v).otherwise(F.lit(0.0)) for v in (
+                F.array_max(steps), S.mean(steps), S.std_pop(d), S.arg_first(steps, F.array_max(steps)) / (F.size(x) - 1))])))
+
+    want = {r.i: repr(tuple(r.s)) for r in rows.select("i", S.let(F.col("x"), plain).alias("s")).collect()}
+    assert {r.i: repr(tuple(r.s)) for r in made.collect()} == want
+
+
+def test_sequences_of_windows_equal_those_of_frames(spark):
+    rng = random.Random(6)
+    days = [("m", disk, day, *(rng.choice([0.0, 5.0, rng.gauss(100, 30), rng.gauss(0, 1e-5)]) if disk else 4.0 for _ in "ab")) for disk in range(4) for day in range(50)]
+    days[60] = ("m", 1, 10, math.inf, math.nan)
+    daily = spark.createDataFrame(days, "model string, disk_id int, day int, a double, b double")
+    made = FX.with_sequences(W.row_windows(daily, ["a", "b"]), ["a", "b"])
+    assert "var_pop" not in plan_of(made) and "kurtosis" not in plan_of(made)
+    found = {(r.disk_id, r.end_day): repr((r.a_seq, r.b_seq)) for r in made.collect()}
+    want = {(r.disk_id, r.end_day): repr((r.a_seq, r.b_seq)) for r in W.row_windows(FX.sequence_frames(daily, ["a", "b"]), []).collect()}
+    assert found == want and len(found) == 4 * 21
