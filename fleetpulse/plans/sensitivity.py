@@ -177,7 +177,7 @@ def mean_centers(patches: SettingPatches) -> DataFrame:
             for i, model, at, z in own.of(batch):
                 weights = np.nan_to_num(_numbers([batch.column(f"{k}_{i}").take(pa.array(at)) for k in "hf"]))
                 used = weights.sum(axis=1) > 0
-                z, weights = np.nan_to_num(z[used]).reshape(used.sum(), -1), weights[used]
+                z, weights = np.nan_to_num(z[used]).reshape(used.sum(), z.shape[1] * z.shape[2]), weights[used]  # a batch may hold no train patch
                 both, counts = weights.T @ z, weights.sum(axis=0)
                 single = both.sum(axis=0).reshape(len(own.features), -1)
                 for kind, k, x, w in [*(("attr", k, x, counts.sum()) for k, x in enumerate(single)), *(("cross", k, both[k], counts[k]) for k in (0, 1))]:
@@ -217,7 +217,7 @@ def distances(patches: SettingPatches, centers: DataFrame) -> DataFrame:
                     for k in range(width - 1):
                         near[i, at, k] = PT.nearest_rows(z[:, k], attr)[0]
                 if cross is not None:
-                    near[i, at, -1] = PT.nearest_rows(z.reshape(len(z), -1), cross)[0]
+                    near[i, at, -1] = PT.nearest_rows(z.reshape(len(z), z.shape[1] * z.shape[2]), cross)[0]
             lists = []
             for i in range(n):
                 offsets = pa.array(np.concatenate([[0], np.cumsum(ends[i] * width)]).astype(np.int32))

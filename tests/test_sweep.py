@@ -80,3 +80,22 @@ def test_threshold_scores_count_distances_above_each_quantile(spark):
         own = [x for x in rows if x[0] == m]
         assert r["tp"] == sum(x[3] for x in own if x[1] is not None and x[1] > r["tau"]) and r["fp"] == sum(x[2] for x in own if x[1] is not None and x[1] > r["tau"])
         assert r["n_failed"] == sum(x[3] for x in own) and r["n_healthy"] == sum(x[2] for x in own)
+
+
+def test_batches_without_patches_or_train_patches(spark):
+    rows, _, table, scaler = learned(spark)
+    whole = PS.settings_patches(table, scaler, FEATURES, SETTINGS)
+    key = lambda df: sorted(map(repr, df.collect()))
+    centers = PS.mean_centers(whole)
+    # some tasks get rows that no train window holds, others rows at the head of a device, where no patch ends
+    idle = [(m, 90 + k, d, d, None, 0, [1.0] * min(d, 5), [2.0] * min(d, 5), 0, 0, 0, 0) for k, m in enumerate("mn") for d in (1, 2, 9, 10)]
+    odd = table
+    for some in ([r for r in idle if r[3] < 3], [r for r in idle if r[3] > 3]):
+        odd = odd.unionByName(spark.createDataFrame(some, FACTS).coalesce(1))
+    patches = PS.settings_patches(odd, scaler, FEATURES, SETTINGS)
+    assert key(PS.mean_centers(patches)) == key(centers)
+    near = PS.distances(patches, centers)
+    assert near.count() == len(rows) + len(idle)
+    assert key(near.filter("disk_id < 90")) == key(PS.distances(whole, centers))
+    for r in near.filter("disk_id >= 90").collect():
+        assert (r["d_0"] is None, r["d_1"] is None) == (r["row"] < 5, r["row"] < 3)
